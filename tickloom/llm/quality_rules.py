@@ -36,9 +36,9 @@ class Limits:
     is the accepted number of symbols per word.
     """
 
-    dup: tuple[tuple[int, float], ...] = ((5, 0.25), (6, 0.24), (7, 0.23), (8, 0.22), (9, 0.21), (10, 0.20))
+    dup: tuple[tuple[int, float], ...] = ((5, 0.30), (6, 0.29), (7, 0.28), (8, 0.27), (9, 0.26), (10, 0.25))
     top: tuple[tuple[int, float], ...] = ((2, 0.30), (3, 0.28), (4, 0.26))
-    line: float = 0.25
+    line: float = 0.30
     symbols: float = 0.2
     min_words: int = 10
     repeat_words_percent: int = 20
