@@ -4,19 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm import bpe, packing
 from tickloom.llm.common import table
 from tickloom.llm.quality_rules import quality_rules
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded over the distinct-word table and decoded again, as digests."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens, one row per piece."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.crc32(packing.pack(table(spark, sf_dir, "documents"), path))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and the repetition-coverage verdict of every document."""
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_quality_rules": op10_quality_rules}
+    return {"op1_bpe": op1_bpe, "op6_packing": op6_packing, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
