@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import bpe, packing
 from tickloom.llm.common import table
+from tickloom.llm.jaccard import near_duplicates
 from tickloom.llm.quality_rules import quality_rules
 
 
@@ -24,13 +25,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.crc32(packing.pack(table(spark, sf_dir, "documents"), path))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 4-word shingles and a Jaccard similarity of 0.85 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and the repetition-coverage verdict of every document."""
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op6_packing": op6_packing, "op10_quality_rules": op10_quality_rules}
+    return {"op1_bpe": op1_bpe, "op6_packing": op6_packing, "op7_jaccard_join": op7_jaccard_join, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
