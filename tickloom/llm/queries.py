@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, packing
+from tickloom.llm import bpe, packing, suffix_dedup
 from tickloom.llm.common import table
 from tickloom.llm.jaccard import near_duplicates
 from tickloom.llm.quality_rules import quality_rules
@@ -19,6 +19,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 400-byte strings that start anywhere else, as counts and a digest."""
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens, one row per piece."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -36,7 +41,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op6_packing": op6_packing, "op7_jaccard_join": op7_jaccard_join, "op10_quality_rules": op10_quality_rules}
+    return {"op1_bpe": op1_bpe, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_jaccard_join": op7_jaccard_join, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
