@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, packing, suffix_dedup
+from tickloom.llm import bpe, chat, packing, suffix_dedup
 from tickloom.llm.common import table
 from tickloom.llm.jaccard import near_duplicates
 from tickloom.llm.quality_rules import quality_rules
@@ -35,13 +35,21 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, formatted and read back, as counts and digests."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    hard = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.render(chat.reconstruct(chat.conversation_events(rows.unionByName(hard)))))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and the repetition-coverage verdict of every document."""
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_jaccard_join": op7_jaccard_join, "op10_quality_rules": op10_quality_rules}
+    return {"op1_bpe": op1_bpe, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_jaccard_join": op7_jaccard_join, "op9_chat": op9_chat, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
