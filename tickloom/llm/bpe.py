@@ -15,6 +15,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,43 +67,50 @@ class Words:
         return key[0] if isinstance(key, tuple) else " " + key
 
 
-def _encode_words(path: str, words: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pattern = PieceEncoder(path), regex.compile(PATTERN)
-        for batch in batches:
-            out = []
-            for word in batch.column(0).to_pylist():
-                if word in encoder.added:
-                    ids = [encoder.added[word]]
-                else:
-                    ids = [i for part in pattern.findall(word) for i in encoder.ids(part)]
-                out.append(np.array(ids, "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["word", "value"])
-
-    return words.mapInArrow(run, "word string, value binary")
-
-
-def _gather_ids(values: pa.Array, documents: Iterator[tuple[int | None, np.ndarray]]) -> pa.Table:
-    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1] // 4 if len(values) else np.zeros(1, np.int32)
-    flat = np.frombuffer(values.buffers()[2], "<i4") if len(values) and values.buffers()[2] else np.zeros(0, np.int32)
-    starts, lengths = offsets[:-1].astype(np.int64), np.diff(offsets)
-    ids, rows = [], []
+class _Encode:
+    """Ids of words, as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self):
+        encoder, pattern = PieceEncoder(self.path), regex.compile(PATTERN)
+
+        def ids(word: str) -> bytes:
+            if word in encoder.added:
+                return array("I", [encoder.added[word]]).tobytes()
+            return array("I", [i for part in pattern.findall(word) for i in encoder.ids(part)]).tobytes()
+
+        return lambda words: list(map(ids, words))
+
+
+def _gather_ids(flat: np.ndarray, offsets: np.ndarray, documents: Iterator[tuple[int | None, np.ndarray]]) -> pa.Table:
+    flat, offsets = flat.view("<i4"), offsets // 4
+    starts, lengths = offsets[:-1], np.diff(offsets)
+    ids, rows, tables = [], [], []
+    held = 0
+
+    def close() -> None:
+        ends = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+        joined = pa.array(np.concatenate([flat[:0], *rows]), pa.int32())
+        tables.append(pa.table({"id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(ends, joined)}))
+
     for i, at in documents:
         ids.append(i)
         rows.append(flat[ragged(starts[at], lengths[at])] if len(at) else flat[:0])
-    ends = np.cumsum([0, *map(len, rows)])
-    joined = np.concatenate(rows) if rows else flat[:0]
-    arrays = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(joined, pa.int32())).cast(pa.list_(pa.int32()))
-    return pa.table({"id": pa.array(ids, pa.int64()), "ids": arrays})
+        held += len(rows[-1])
+        if held > 1 << 20:
+            close()
+            ids, rows, held = [], [], 0
+    close()
+    return pa.concat_tables(tables)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): every whole text as the ids that the tokenizers library gives it, special strings included."""
     _, added, _ = read_pieces(path)
     words = Words(sorted(added, key=len, reverse=True))
-    return over_words(
-        docs, id_col, text_col, words.keys, Words.word, lambda w: _encode_words(path, w), _gather_ids, "id long, ids array<int>"
-    )
+    return over_words(docs, id_col, text_col, words.keys, Words.word, _Encode(path), _gather_ids, "id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

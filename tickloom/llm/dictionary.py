@@ -1,18 +1,21 @@
 """Distinct-word tables: give every distinct word of a corpus a value once, and join values back by position.
 
-Texts are cut into words inside blocks of bounded size. A block keeps each document as positions in the
-block's own word list, so the shuffle carries a word once per block and not once per occurrence:
+Texts are cut into words inside blocks of bounded size, and each document is kept as positions in its
+block's own word list. Word lists are dealt by word to buckets, packed, so that the shuffle carries a
+word once per block, in a few bytes, and not once per occurrence:
 
-    pairs   (block, position, word)      one row per distinct word of a block
-    words   (word, value)                one row per distinct word of the corpus
-    back    (block, position, value)     joined on word, then brought to the block's documents
+    words      (bucket, block, words)      each block's distinct words that fall into a bucket
+    values     (block, bucket, values)     each distinct word of a bucket is evaluated once
+    documents  (block, ids, places)        joined with the values by block, then read by position
 
-No word is hot in this shape, as it has at most one row per block; blocks are bounded by bytes.
+No word is hot in this shape, as it stands at most once in a block; blocks are bounded by bytes, and
+there are as many buckets as partitions, so a bucket holds about as many words as a block.
 """
 
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -23,106 +26,146 @@ from pyspark.sql import DataFrame
 
 from tickloom.llm.common import as_bytes, blocks, text_of
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 
-#: Cuts a text into hashable keys; ``Namer`` gives the word that a key stands for.
+#: Cuts a text into hashable keys; a ``Namer`` gives the word that a key stands for.
 Splitter = Callable[[str], list]
 Namer = Callable[[object], str]
-#: From the values of a block's words (in order of position) and its documents' (id, positions) to output rows.
-Gatherer = Callable[[pa.Array, Iterator[tuple[int | None, np.ndarray]]], pa.Table]
+#: Values of sorted distinct words.
+Evaluator = Callable[[list[str]], list[bytes]]
+#: From a block's word values (bytes, offsets) and its documents' (id, positions) to output rows.
+Gatherer = Callable[[np.ndarray, np.ndarray, Iterator[tuple[int | None, np.ndarray]]], pa.Table]
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, compressed by byte planes."""
+    raw = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _expand(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    raw = pa.decompress(packed[8:], 4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel()
+
+
+def pack(items: list[bytes]) -> bytes:
+    """A list of byte strings as one."""
+    lengths = _squeeze(np.fromiter(map(len, items), np.uint32, len(items)))
+    body = b"".join(items)
+    return len(lengths).to_bytes(8, "little") + lengths + len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> tuple[bytes, np.ndarray]:
+    """The joined byte strings of a packed list, and their lengths."""
+    n = int.from_bytes(packed[:8], "little")
+    lengths, rest = _expand(packed[8 : 8 + n]), packed[8 + n :]
+    return pa.decompress(rest[8:], int.from_bytes(rest[:8], "little"), codec="zstd", asbytes=True), lengths.astype(np.int64)
+
+
+def _ordered(keys: list, name: Namer, buckets: int) -> tuple[list[tuple[int, bytes]], np.ndarray]:
+    """A block's words as sorted (bucket, word), and the place of each key among them."""
+    words = [name(k).encode() for k in keys]
+    tagged = [(zlib.crc32(w) % buckets, w) for w in words]
+    order = sorted(range(len(tagged)), key=tagged.__getitem__)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return [tagged[i] for i in order], place
 
 
 def _number() -> int:
     return TaskContext.get().partitionId() << 32
 
 
-def block_words(rows: DataFrame, split: Splitter, name: Namer) -> DataFrame:
-    """(block, position, word) of each block's distinct words, in order of first occurrence."""
-
+def _block_words(rows: DataFrame, split: Splitter, name: Namer, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, (_, bodies) in zip(itertools.count(_number()), blocks(batches, BLOCK_BYTES)):
             seen: dict = {}
             for body in bodies:
                 seen |= dict.fromkeys(split(text_of(body)))
-            words = list(map(name, seen))
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(part), number)),
-                        pa.array(np.arange(i, i + len(part), dtype=np.int32)),
-                        pa.array(part, pa.string()),
-                    ],
-                    ["block", "position", "word"],
-                )
-
-    return rows.mapInArrow(run, "block long, position int, word string")
+            tagged, _ = _ordered(list(seen), name, buckets)
+            out = [(b, number, pack([w for _, w in ws])) for b, ws in itertools.groupby(tagged, lambda t: t[0])]
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            types = [pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "block", "words"])
 
+    return rows.mapInArrow(run, "bucket int, block long, words binary")
 
-def block_documents(rows: DataFrame, split: Splitter) -> DataFrame:
-    """(block, id, places, n_places, n_words): each document as compressed positions in its block's word list."""
 
+def _block_documents(rows: DataFrame, split: Splitter, name: Namer, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, (ids, bodies) in zip(itertools.count(_number()), blocks(batches, BLOCK_BYTES)):
-            place: defaultdict = defaultdict(itertools.count().__next__)
-            packed, sizes = [], []
+            seen: defaultdict = defaultdict(itertools.count().__next__)
+            at, sizes = [], []
             for body in bodies:
                 keys = split(text_of(body))
-                at = np.fromiter(map(place.__getitem__, keys), np.uint32, len(keys))
-                packed.append(pa.compress(at.tobytes(), codec="zstd", asbytes=True) if len(at) else b"")
-                sizes.append(len(at))
+                at.append(np.fromiter(map(seen.__getitem__, keys), np.int64, len(keys)))
+                sizes.append(len(keys))
+            every = np.concatenate(at)
+            often = np.argsort(-np.bincount(every, minlength=len(seen)), kind="stable")  # low numbers for frequent words pack well
+            rank = np.empty(len(seen), np.int64)
+            rank[often] = np.arange(len(seen))
+            _, place = _ordered(list(seen), name, buckets)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(ids), number)),
-                    pa.array(ids, pa.int64()),
-                    pa.array(packed, pa.binary()),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(np.full(len(ids), len(place), np.int32)),
+                    pa.array([number], pa.int64()),
+                    pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([sizes], pa.list_(pa.int64())),
+                    pa.array([_squeeze(rank[every])], pa.binary()),
+                    pa.array([_squeeze(place[often])], pa.binary()),
                 ],
-                ["block", "id", "places", "n_places", "n_words"],
+                ["block", "ids", "sizes", "ranks", "places"],
             )
 
-    return rows.mapInArrow(run, "block long, id long, places binary, n_places long, n_words int")
+    return rows.mapInArrow(run, "block long, ids array<long>, sizes array<long>, ranks binary, places binary")
 
 
 def over_words(
-    docs: DataFrame,
-    id_col: str,
-    text_col: str,
-    split: Splitter,
-    name: Namer,
-    evaluate: Callable[[DataFrame], DataFrame],
-    gather: Gatherer,
-    schema: str,
+    docs: DataFrame, id_col: str, text_col: str, split: Splitter, name: Namer, evaluate: Callable[[], Evaluator], gather: Gatherer, schema: str
 ) -> DataFrame:
     """Evaluates each distinct word once and gathers the values of every document's words.
 
-    ``evaluate`` maps the distinct words (word) to (word, value). Both views of a block come from the
-    same deterministic scan, so they agree on its number and its word list, which is checked.
+    ``evaluate()`` is called in the tasks and gives the evaluator. The two views of a block come from
+    the same deterministic scan, so they agree on its number and its words; their number is checked.
     """
     rows = as_bytes(docs, id_col, text_col)
-    pairs = block_words(rows, split, name)
-    words = evaluate(pairs.select("word").distinct())
-    back = pairs.join(words, "word").select("block", "position", "value")
-
-    def assemble(documents: pa.Table, values: pa.Table) -> pa.Table:
-        documents, values = documents.combine_chunks(), values.combine_chunks()
+    spark = docs.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+
+    def values(table: pa.Table) -> pa.Table:
+        lists = []
+        for packed in table["words"].to_pylist():
+            body, lengths = unpack(packed)
+            ends = np.cumsum(lengths)
+            lists.append([body[a:b].decode() for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)])
+        distinct = sorted(set(itertools.chain.from_iterable(lists)))
+        known = dict(zip(distinct, evaluate()(distinct), strict=True))
+        out = [pack(list(map(known.__getitem__, ws))) for ws in lists]
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "values": pa.array(out, pa.binary())})
+
+    found = _block_words(rows, split, name, buckets).groupBy("bucket").applyInArrow(values, "block long, bucket int, values binary")
+
+    def assemble(documents: pa.Table, table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        parts = [unpack(v) for v in table["values"].to_pylist()]
+        flat = np.frombuffer(b"".join(p[0] for p in parts), np.uint8)
+        lengths = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+        offsets = np.concatenate(([0], np.cumsum(lengths)))
 
         def each() -> Iterator[tuple[int | None, np.ndarray]]:
-            columns = (documents[c].to_pylist() for c in ("id", "places", "n_places"))
-            for i, places, n in zip(*columns, strict=True):
-                raw = pa.decompress(places, 4 * n, codec="zstd", asbytes=True) if n else b""
-                yield i, np.frombuffer(raw, np.uint32)
-
-        if documents.num_rows and (documents["n_words"].to_numpy() != values.num_rows).any():
-            raise RuntimeError("a block's words and documents were cut from different rows")
-        order = np.argsort(values["position"].to_numpy())
-        column = values["value"].take(pa.array(order)).combine_chunks() if values.num_rows else pa.array([], schema_type)
-        return gather(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column, each())
-
-    schema_type = pa.binary() if dict(words.dtypes)["value"] == "binary" else pa.int32()
-    left = block_documents(rows, split).groupBy("block")
-    return left.cogroup(back.groupBy("block")).applyInArrow(assemble, schema)
+            for row in documents.to_pylist():
+                places = _expand(row["places"])
+                if len(places) != len(lengths):
+                    raise RuntimeError("a block's words and documents were cut from different rows")
+                at = places[_expand(row["ranks"])]
+                ends = np.cumsum(row["sizes"])
+                for i, a, b in zip(row["ids"], (ends - row["sizes"]).tolist(), ends.tolist(), strict=True):
+                    yield i, at[a:b]
+
+        return gather(flat, offsets, each())
+
+    left = _block_documents(rows, split, name, buckets).groupBy("block")
+    return left.cogroup(found.groupBy("block")).applyInArrow(assemble, schema)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ attention work. Every task packs what it reads, in groups of bounded size, so no
 no task holds more than a group: documents of over one sequence give whole sequences first, then the
 rests go, in descending length, each to the sequence of lowest cost that still has room for it. What
 fits nowhere is cut over the remaining room, cheapest sequence first, so a group leaves less than one
-sequence of padding; that last room is closed into power-of-two sequences where it is cheap to do so.
+sequence of padding.
 
 Defined results: null text is an empty text, which is the end id alone; an empty table gives an empty
 result; repeated rows are packed once each; other columns are ignored.
