@@ -84,6 +84,30 @@ def by_block(
     return df.mapInArrow(run, schema)
 
 
+def squeeze(bodies: list[bytes]) -> pa.Array:
+    """Byte strings compressed one by one, each after its length."""
+    return pa.array([len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True) for b in bodies], pa.binary())
+
+
+def loose(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
+def slices(batch: pa.RecordBatch, columns: list[str], limit: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose compressed ``columns`` hold about ``limit`` bytes when loose; a larger row stands alone."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        sizes += [int.from_bytes(b[:8], "little") for b in batch.column(c).to_pylist()]
+    begin = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and held + size > limit:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += size
+    if batch.num_rows > begin:
+        yield batch.slice(begin)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalises 64-bit values so that every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))

@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import as_bytes, by_block, staged
+from tickloom.llm.common import as_bytes, by_block, loose, slices, squeeze, staged
 from tickloom.llm.graph import components
 from tickloom.llm.shingles import set_key, shingle_sets
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Slots of the frequency table, so many bytes are sent to each task.
 SLOTS = 1 << 21
 #: The most prefix shingles that a document can be asked to share.
@@ -109,38 +109,32 @@ def _representatives(rows: DataFrame, k: int, percent: int) -> DataFrame:
 def _texts(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, body): the compressed texts that stand for the wanted (node, key, rep)."""
 
-    def squeeze(ids: list, bodies: list[bytes]) -> pa.RecordBatch:
-        packed = [len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True) for b in bodies]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["rep", "body"])
+    def packed(ids: list, bodies: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), squeeze(bodies)], ["rep", "body"])
 
     def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [set_key(s) for s in shingle_sets(list(map(_loose, batch.column(2).to_pylist())), k)]
-            mask = pa.array([a == b for a, b in zip(keys, batch.column(1).to_pylist(), strict=True)], pa.bool_())
-            yield batch.select([0, 2]).filter(mask)
+            for part in slices(batch, ["body"], BLOCK_BYTES):
+                keys = [set_key(s) for s in shingle_sets(list(map(loose, part.column("body").to_pylist())), k)]
+                mask = [a == b for a, b in zip(keys, part.column("key").to_pylist(), strict=True)]
+                yield part.select(["node", "body"]).filter(pa.array(mask, pa.bool_()))
 
-    packed = by_block(rows, squeeze, "rep long, body binary", BLOCK_BYTES)
-    found = packed.join(wanted, "rep").select("node", "key", "body").mapInArrow(matching, "node long, body binary")
+    texts = by_block(rows, packed, "rep long, body binary", BLOCK_BYTES)
+    found = texts.join(wanted, "rep").select("node", "key", "body").mapInArrow(matching, "node long, body binary")
     return staged(found.dropDuplicates(["node"]), "texts")
 
 
-def _loose(packed: bytes) -> bytes:
-    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
-
-
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose whole shingle sets are similar enough."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                bodies = dict(zip(a, part.column(2).to_pylist(), strict=True)) | dict(zip(b, part.column(3).to_pylist(), strict=True))
-                sets = dict(zip(bodies, shingle_sets(list(map(_loose, bodies.values())), k), strict=True))
+            for part in slices(batch, ["body_a", "body_b"], BLOCK_BYTES):
+                a, b, x, y = (part.column(i).to_pylist() for i in range(4))
+                bodies = dict(zip(a, x, strict=True)) | dict(zip(b, y, strict=True))
+                sets = dict(zip(bodies, shingle_sets(list(map(loose, bodies.values())), k), strict=True))
                 mask = []
-                for x, y in zip(a, b, strict=True):
-                    s, t = sets[x], sets[y]
+                for s, t in ((sets[i], sets[j]) for i, j in zip(a, b, strict=True)):
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     mask.append(100 * both >= percent * (len(s) + len(t) - both))
                 yield part.select([0, 1]).filter(pa.array(mask, pa.bool_()))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Rolling, as_bytes, blocks, by_block, mix, staged
+from tickloom.llm.common import Rolling, as_bytes, by_block, loose, mix, squeeze, staged
 from tickloom.llm.dictionary import ragged
 from tickloom.llm.suffixes import reaching, suffix_array
 
@@ -98,14 +98,6 @@ def digests(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def _squeezed(bodies: list[bytes]) -> pa.Array:
-    return pa.array([len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True) for b in bodies], pa.binary())
-
-
-def _loose(packed: bytes) -> bytes:
-    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
-
-
 def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
@@ -140,7 +132,7 @@ def _region_bytes(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def texts(ids: list, bodies: list[bytes]) -> pa.RecordBatch:
         distinct = list(dict.fromkeys(b for b in bodies if len(b) >= length))
         d1, d2 = digests(distinct)
-        return _batch(d1=d1, d2=d2, body=_squeezed(distinct))
+        return _batch(d1=d1, d2=d2, body=squeeze(distinct))
 
     one = by_block(rows, texts, "d1 long, d2 long, body binary", BLOCK_BYTES).groupBy("d1", "d2").agg(F.first("body").alias("body"))
     places = wanted.groupBy("d1", "d2").agg(F.collect_list(F.struct("key", "r1", "r2", "n", "low", "size", "rivals")).alias("places"))
@@ -148,7 +140,7 @@ def _region_bytes(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                body = _loose(batch.column(0)[i].as_py())
+                body = loose(batch.column(0)[i].as_py())
                 inner = batch.column(1)[i].values
                 low, size = inner.field("low").to_numpy(), inner.field("size").to_numpy()
                 raw = [body[a : a + s + length] for a, s in zip(low.tolist(), size.tolist(), strict=True)]
@@ -231,12 +223,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     def packed(ids: list, bodies: list[bytes]) -> pa.RecordBatch:
         d1, d2 = digests(bodies)
-        return _batch(doc_id=pa.array(ids, pa.int64()), d1=d1, d2=d2, body=_squeezed(bodies))
+        return _batch(doc_id=pa.array(ids, pa.int64()), d1=d1, d2=d2, body=squeeze(bodies))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, runs, kept = [], [], []
-            for body, hits in zip(map(_loose, batch.column(1).to_pylist()), batch.column(2), strict=True):
+            for body, hits in zip(map(loose, batch.column(1).to_pylist()), batch.column(2), strict=True):
                 edges = np.zeros(len(body) + 1, np.int64)
                 if hits.is_valid:
                     low = hits.values.field("low").to_numpy()
