@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, chat, packing, suffix_dedup
+from tickloom.llm.ann import nearest
 from tickloom.llm.common import table
 from tickloom.llm.jaccard import near_duplicates
 from tickloom.llm.quality_rules import quality_rules
@@ -35,6 +37,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth embedding, by inner product."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one of control strings, formatted and read back, as counts and digests."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -49,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_jaccard_join": op7_jaccard_join, "op9_chat": op9_chat, "op10_quality_rules": op10_quality_rules}
+    return {"op1_bpe": op1_bpe, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_jaccard_join": op7_jaccard_join, "op8_ann": op8_ann, "op9_chat": op9_chat, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
