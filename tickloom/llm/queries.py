@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, chat, packing, quality_classifier, suffix_dedup
+from tickloom.llm import bpe, chat, html_extraction, packing, quality_classifier, suffix_dedup
 from tickloom.llm.ann import nearest
 from tickloom.llm.common import table
 from tickloom.llm.jaccard import near_duplicates
@@ -29,6 +29,13 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "p_quality", "p_toxic", quality_classifier.kept().alias("kept"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    text = F.col("main_text")
+    return pages.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 400-byte strings that start anywhere else, as counts and a digest."""
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400))
@@ -64,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality_classifier": op2_quality_classifier, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_jaccard_join": op7_jaccard_join, "op8_ann": op8_ann, "op9_chat": op9_chat, "op10_quality_rules": op10_quality_rules}
+    return {"op1_bpe": op1_bpe, "op2_quality_classifier": op2_quality_classifier, "op3_html_extraction": op3_html_extraction, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_jaccard_join": op7_jaccard_join, "op8_ann": op8_ann, "op9_chat": op9_chat, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
