@@ -15,7 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tickloom.llm.common import as_bytes, by_block, text_of
 
@@ -126,3 +127,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     return by_block(as_bytes(docs, id_col, text_col), work, SCHEMA, 8 << 20)
+
+
+def verdict(text: Column, limits: Limits = Limits()) -> Column:
+    """``kept`` of ``quality_rules`` as a condition on a text column."""
+
+    @F.arrow_udf("boolean")
+    def judge(bodies: pa.Array) -> pa.Array:
+        return pa.array([measure(b, limits)[-1] for b in bodies.to_pylist()], pa.bool_())
+
+    return judge(F.coalesce(text.cast("binary"), F.lit(b"")))

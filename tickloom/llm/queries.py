@@ -13,6 +13,7 @@ from tickloom.llm.ann import nearest
 from tickloom.llm.common import table
 from tickloom.llm.jaccard import near_duplicates
 from tickloom.llm.quality_rules import quality_rules
+from tickloom.llm.token_counts import token_counts
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of every document."""
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 400-byte strings that start anywhere else, as counts and a digest."""
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400))
@@ -71,8 +77,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality_classifier": op2_quality_classifier, "op3_html_extraction": op3_html_extraction, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_jaccard_join": op7_jaccard_join, "op8_ann": op8_ann, "op9_chat": op9_chat, "op10_quality_rules": op10_quality_rules}
+    return {
+        f.__name__: f
+        for f in (
+            op1_bpe,
+            op2_quality_classifier,
+            op3_html_extraction,
+            op4_token_counts,
+            op5_suffix_dedup,
+            op6_packing,
+            op7_jaccard_join,
+            op8_ann,
+            op9_chat,
+            op10_quality_rules,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL cannot express these operators; they are tested against brute-force versions."""
     return {}

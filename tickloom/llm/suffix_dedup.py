@@ -216,6 +216,30 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     return hits.groupBy("d1", "d2").agg(F.collect_list("hit").alias("hits"))
 
 
+def _edges(size: int, hits: pa.Scalar, length: int) -> np.ndarray:
+    """True for each byte of a text of ``size`` bytes that a repeated string covers."""
+    edges = np.zeros(size + 1, np.int64)
+    if hits.is_valid:
+        inner = hits.values.field("runs")
+        low = np.repeat(hits.values.field("low").to_numpy(), inner.value_lengths().to_numpy())
+        flat = inner.flatten()
+        np.add.at(edges, low + flat.field("first").to_numpy(), 1)
+        np.add.at(edges, low + flat.field("last").to_numpy() + length, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def _strip(bodies: Iterator[bytes], hits: pa.Array, length: int) -> tuple[list, list, list]:
+    """Sizes, removed spans and kept bytes of texts."""
+    sizes, runs, kept = [], [], []
+    for body, h in zip(bodies, hits, strict=True):
+        gone = _edges(len(body), h, length)
+        begin, last = _runs(gone)
+        sizes.append(len(body))
+        runs.append([{"begin": a, "end": b + 1} for a, b in zip(begin.tolist(), last.tolist(), strict=True)])
+        kept.append(np.frombuffer(body, np.uint8)[~gone].tobytes() if len(begin) else body)
+    return sizes, runs, kept
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept): every row's removed byte spans (begin, end) and what is left of its bytes."""
     rows = as_bytes(docs, id_col, text_col)
@@ -227,21 +251,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, runs, kept = [], [], []
-            for body, hits in zip(map(loose, batch.column(1).to_pylist()), batch.column(2), strict=True):
-                edges = np.zeros(len(body) + 1, np.int64)
-                if hits.is_valid:
-                    low = hits.values.field("low").to_numpy()
-                    inner = hits.values.field("runs")
-                    low = np.repeat(low, inner.value_lengths().to_numpy())
-                    flat = inner.flatten()
-                    np.add.at(edges, low + flat.field("first").to_numpy(), 1)
-                    np.add.at(edges, low + flat.field("last").to_numpy() + length, -1)
-                gone = np.cumsum(edges[:-1]) > 0
-                begin, last = _runs(gone)
-                sizes.append(len(body))
-                runs.append([{"begin": a, "end": b + 1} for a, b in zip(begin.tolist(), last.tolist(), strict=True)])
-                kept.append(np.frombuffer(body, np.uint8)[~gone].tobytes() if len(begin) else body)
+            sizes, runs, kept = _strip(map(loose, batch.column(1).to_pylist()), batch.column(2), length)
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             yield _batch(doc_id=batch.column(0), n_bytes=np.array(sizes, np.int64), spans=pa.array(runs, kind), kept=pa.array(kept, pa.binary()))
 
@@ -250,6 +260,30 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     return joined.mapInArrow(strip, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
 
 
+def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated strings cut out of the text, all other columns as they are.
+
+    A character of which only some bytes are removed goes as a whole.
+    """
+    spans = repeated_spans(as_bytes(docs, id_col, text_col), length).select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), F.col("hits").alias("__hits"))
+
+    @F.arrow_udf("struct<d1:long,d2:long>")
+    def named(bodies: pa.Array) -> pa.Array:
+        found = bodies.to_pylist()
+        d1, d2 = digests(found) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.StructArray.from_arrays([pa.array(d1), pa.array(d2)], ["d1", "d2"])
+
+    @F.arrow_udf("string")
+    def cut(bodies: pa.Array, hits: pa.Array) -> pa.Array:
+        return pa.array([b.decode("utf-8", "ignore") for b in _strip(iter(bodies.to_pylist()), hits, length)[2]], pa.string())
+
+    body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    keyed = docs.withColumn("__name", named(body))
+    joined = keyed.join(spans, (F.col("__name.d1") == F.col("__d1")) & (F.col("__name.d2") == F.col("__d2")), "left")
+    new = F.when(F.col("__hits").isNull(), F.col(text_col)).otherwise(cut(body, F.col("__hits")))
+    return joined.withColumn(text_col, new).drop("__name", "__d1", "__d2", "__hits")
+
+
 def digest(removed: DataFrame) -> DataFrame:
     """Counts and a digest of what is left of every row."""
     lost = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"])
