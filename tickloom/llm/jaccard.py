@@ -8,7 +8,8 @@ Each document picks the ``l`` from 1 to ``MOST`` with the least estimated cost o
 lists and of verifying what shares ``l`` of them, so documents of common shingles need more matches.
 
 Candidates are verified exactly, on whole texts, in two rounds. In the first, the documents of a prefix
-shingle meet only its first document, and what links joins one component. In the second, pairs whose
+shingle meet only its first document, if they share a good part of their prefixes with it, and what
+links joins one component. In the second, pairs whose
 documents are still in different components and which share enough prefix shingles are verified. Large
 families of near copies thus cost a star and not all their pairs; a link that the second round leaves
 out joins documents of one component already, so components are those of all links.
@@ -41,6 +42,11 @@ SLOTS = 1 << 21
 MOST = 4
 #: Prefix lists of more documents than this are paired in tiles.
 TILE = 256
+#: Texts that are compared to one sending of another.
+RUN = 2000
+#: Pairs of the first round share this part of the shorter prefix, in percent.
+LIKELY = 30
+STAR_ROUNDS = 2
 #: Bits of a shingle that prefix lists go by; a chance meeting is only one more candidate.
 TOKEN_SHIFT = np.uint64(24)
 
@@ -125,24 +131,59 @@ def _texts(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose whole shingle sets are similar enough."""
+    """Those pairs (a, b) whose whole shingle sets are similar enough.
+
+    The texts of the b of one a are brought to one run of rows behind the text of a, which is sent once
+    and not once a pair; an a of very many b has several such runs.
+    """
+    degree = F.count("*").over(Window.partitionBy("a"))
+    dealt = pairs.withColumn("run", F.pmod(F.xxhash64("b"), F.ceil(degree / RUN)))
+    dealt = staged(dealt, "pairs")
+    heads = dealt.select("a", "run").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "run", F.lit(None).cast("long").alias("b"), "body")
+    members = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "run", "b", "body")
+    rows = heads.unionByName(members).repartition("a", "run").sortWithinPartitions("a", "run", F.asc_nulls_first("b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, np.uint64)
         for batch in batches:
-            for part in slices(batch, ["body_a", "body_b"], BLOCK_BYTES):
-                a, b, x, y = (part.column(i).to_pylist() for i in range(4))
-                bodies = dict(zip(a, x, strict=True)) | dict(zip(b, y, strict=True))
-                sets = dict(zip(bodies, shingle_sets(list(map(loose, bodies.values())), k), strict=True))
-                mask = []
-                for s, t in ((sets[i], sets[j]) for i, j in zip(a, b, strict=True)):
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    mask.append(100 * both >= percent * (len(s) + len(t) - both))
-                yield part.select([0, 1]).filter(pa.array(mask, pa.bool_()))
-
-    left = texts.select(F.col("node").alias("a"), F.col("body").alias("body_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b")
-    return staged(joined.mapInArrow(verify, "a long, b long"), "links")
+            for part in slices(batch, ["body"], BLOCK_BYTES):
+                found: list[tuple[int, int]] = []
+                sets = shingle_sets(list(map(loose, part.column("body").to_pylist())), k)
+                for a, b, s in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), sets, strict=True):
+                    if b is None:
+                        head = s
+                        continue
+                    both = len(np.intersect1d(head, s, assume_unique=True))
+                    if 100 * both >= percent * (len(head) + len(s) - both):
+                        found.append((a, b))
+                columns = list(zip(*found, strict=True)) or [(), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    return staged(rows.mapInArrow(verify, "a long, b long"), "links")
+
+
+def _stars(lists: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Likely pairs (a, b) of each prefix list's leader and its members in other components.
+
+    The leader is the member with most company in its lists, which a family's original has more of than
+    its changed copies. With labels, only members outside the largest leader's component are led.
+    """
+    if labels is None:
+        rows = lists.withColumn("component", F.col("node"))
+    else:
+        rows = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rank = F.struct("weight", -F.col("node"))
+    me = F.struct(rank.alias("rank"), "node", "n", "component")
+    by_token = Window.partitionBy("token")
+    led = rows.select("token", "node", "n", "component", me.alias("me"), F.max(me).over(by_token).alias("leader"))
+    if labels is not None:
+        led = led.where(F.col("component") != F.col("leader.component")).withColumn("leader", F.max("me").over(by_token))
+    led = led.where(F.col("component") != F.col("leader.component"))
+    pairs = led.select(
+        F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"), F.least("n", "leader.n").alias("small"), F.greatest("n", "leader.n").alias("large")
+    )
+    pairs = pairs.where(100 * F.col("small") >= percent * F.col("large")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("small").alias("small"))
+    return pairs.where(100 * F.col("shared") >= LIKELY * (F.floor(F.col("small") * (100 - percent) / 100) + 1)).select("a", "b")
 
 
 def _tiles(lists: DataFrame, percent: int) -> DataFrame:
@@ -197,20 +238,25 @@ def near_duplicates(
     rows = as_bytes(docs, id_col, text_col)
     sets = _representatives(rows, words, percent)
     listed = sets.select("node", "n", "share", F.posexplode("tokens").alias("place", "token"))
-    by_token = Window.partitionBy("token")
-    lists = listed.select("*", F.count("*").over(by_token).alias("members"), F.min("node").over(by_token).alias("leader"))
-    lists = staged(lists.where("members > 1"), "lists")
-
-    stars = lists.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    stars = staged(stars, "stars")
-    texts = _texts(rows, sets.select("node", "key", "rep").join(lists.select("node").distinct(), "node"), words)
-    links = _linked(stars, texts, words, percent)
-    first = components(links)
+    lists = listed.withColumn("members", F.count("*").over(Window.partitionBy("token"))).where("members > 1")
+    lists = staged(lists, "lists")
+    central = lists.groupBy("node").agg(F.sum(F.least("members", F.lit(1 << 20))).alias("weight"))
+    lists = staged(lists.join(central, "node"), "lists")
+    texts = _texts(rows, sets.select("node", "key", "rep").join(central.select("node"), "node"), words)
+
+    tested = links = first = None
+    for _ in range(STAR_ROUNDS):
+        stars = _stars(lists, first, percent)
+        stars = staged(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), "stars")
+        found = _linked(stars, texts, words, percent)
+        tested = stars if tested is None else tested.unionByName(stars)
+        links = found if links is None else links.unionByName(found)
+        first = components(links)
 
     labelled = lists.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
-    left = staged(labelled.join(mixed, "token").drop("leader"), "lists")
-    more = _linked(_rest(left, stars, percent), texts, words, percent)
+    left = staged(labelled.join(mixed, "token").drop("weight"), "lists")
+    more = _linked(_rest(left, tested, percent), texts, words, percent)
     linked = components(links.unionByName(more))
 
     def keys(ids: list, bodies: list[bytes]) -> pa.RecordBatch:
