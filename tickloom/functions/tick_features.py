@@ -93,23 +93,28 @@ def wavelet_kernels(scales: int = 32) -> list[list[float]]:
 
 
 def wavelet_energy(window: int = 128, scales: int = 32) -> Column:
-    """Normalised energies by scale of the last ``delta_t`` values, as an array.
+    """Energies by scale of the last ``delta_t`` values, as an array; ``normalised`` makes shares of them.
 
-    Kernels are constants, and an energy is a fold over the last values' array, padded on the left with
-    its first value, so that all of it stays in the JVM.
+    The kernels are one constant array, and an energy is a fold over the last values, padded on the left
+    with the first of them, so that all of it stays in the JVM and in one small expression.
     """
     kernels = wavelet_kernels(scales)
     taps = max(map(len, kernels))
     logs = F.transform(F.collect_list("delta_t").over(last_rows(window)), lambda x: F.log1p(clip(x, 0, 1e6)))
-    padded = F.concat(F.array_repeat(F.get(logs, F.lit(0)), taps), logs)
-    energies = []
-    for k in kernels:
-        part = F.slice(padded, -len(k), len(k))
-        conv = F.aggregate(F.zip_with(part, F.array(*map(F.lit, k)), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-        energies.append(conv * conv)
-    every = F.array(*energies)
-    total = F.aggregate(every, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(every, lambda e: F.when(total > 1e-8, e / total).otherwise(e))
+    rows = F.transform(F.array(logs), lambda v: F.concat(F.array_repeat(F.get(v, F.lit(0)), taps), v))
+    table = F.array(*(F.array(*map(F.lit, k)) for k in kernels))
+
+    def energy(values: Column, k: Column) -> Column:
+        part = F.zip_with(F.slice(values, -F.size(k), F.size(k)), k, lambda x, y: x * y)
+        return F.pow(F.aggregate(part, F.lit(0.0), lambda s, v: s + v), F.lit(2.0))
+
+    return F.flatten(F.transform(rows, lambda v: F.transform(table, lambda k: energy(v, k))))
+
+
+def normalised(energies: str) -> Column:
+    """Shares of the energies of a column, which stay as they are if they are next to nothing."""
+    total = F.aggregate(energies, F.lit(0.0), lambda s, v: s + v)
+    return F.when(total > 1e-8, F.transform(energies, lambda e: F.try_divide(e, total))).otherwise(F.col(energies))
 
 
 def rule_regime(hf_energy: Column, velocity_var: Column, cusum_energy: Column) -> Column:

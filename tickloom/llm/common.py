@@ -80,6 +80,7 @@ def by_block(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, bodies in blocks(batches, limit):
             yield work(ids, bodies)
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return df.mapInArrow(run, schema)
 
@@ -143,7 +144,7 @@ class Rolling:
                 t[0] = 1
                 tables.append(np.cumprod(t))
             held = (tables[0], tables[1])
-            if size <= 1 << 22:
+            if size <= 1 << 20:
                 cls._powers[which] = held
         return held
 

@@ -35,7 +35,7 @@ from tickloom.llm.common import as_bytes, by_block, loose, slices, squeeze, stag
 from tickloom.llm.graph import components
 from tickloom.llm.shingles import set_key, shingle_sets
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1_000_000
 #: Slots of the frequency table, so many bytes are sent to each task.
 SLOTS = 1 << 21
 #: The most prefix shingles that a document can be asked to share.

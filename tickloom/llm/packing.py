@@ -24,7 +24,7 @@ from tickloom.llm.common import as_bytes, blocks
 from tickloom.llm.tokenizing import WordTokenizer
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 8 << 20
 
 
 def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int]]:

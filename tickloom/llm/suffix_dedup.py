@@ -33,7 +33,7 @@ from tickloom.llm.dictionary import ragged
 from tickloom.llm.suffixes import reaching, suffix_array
 
 GRAM = 100
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1_000_000
 #: Starts of a longer text that are looked at together.
 SEGMENT = 8 << 20
 #: Bytes of regions in a shard, on average.

@@ -67,7 +67,7 @@ class WordTokenizer:
     a full table becomes the older one, from which chunks that recur move back. Chunks outside the plain Latin range go through the tokenizers library.
     """
 
-    LIMIT = 500_000
+    LIMIT = 150_000
     _shared: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str):
