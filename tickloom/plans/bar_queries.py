@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import bar_features as C
@@ -15,7 +16,8 @@ QUERIES, ORACLE = {}, {}
 def query(oracle: str | None = None):
     def keep(f):
         def naive(spark, d):
-            return f(spark, d).withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz")) if oracle is None or "bar_start" in oracle else f(spark, d)
+            df = f(spark, d)
+            return df.withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz")) if "bar_start" in df.columns else df
 
         QUERIES[f.__name__] = naive
         if oracle:
@@ -132,8 +134,8 @@ def vol_cluster(spark, d):
 
 
 @query(f"""WITH {LR}, m AS (SELECT symbol, bar_start, row_number() OVER ({BW}) AS row, list(log_return) OVER {last(20, BW)} AS v FROM l),
-  c AS (SELECT symbol, bar_start, list_filter(v, x -> x IS NOT NULL) AS v FROM m WHERE row > 3), a AS (SELECT *, list_avg(v) AS m FROM c)
-  SELECT symbol, bar_start, round({clip("list_avg(list_transform(v, x -> (x - m) * (x - m) * (x - m))) / pow(list_avg(list_transform(v, x -> (x - m) * (x - m))), 1.5)", -3, 3)}, 6) + 0.0 AS skew FROM a""")
+  c AS (SELECT symbol, bar_start, [x FOR x IN v IF x IS NOT NULL] AS v FROM m WHERE row > 3), a AS (SELECT *, list_avg(v) AS m FROM c)
+  SELECT symbol, bar_start, round({clip("list_avg([(x - m) * (x - m) * (x - m) FOR x IN v]) / pow(list_avg([(x - m) * (x - m) FOR x IN v]), 1.5)", -3, 3)}, 6) + 0.0 AS skew FROM a""")
 def skew20(spark, d):
     df = _with_returns(spark, d).withColumns({"skew": C.realised_skew(), "row": F.row_number().over(B.by_bar())})
     return rounded(df.where("row > 3"), BAR_KEYS, ["skew"])
@@ -179,10 +181,8 @@ _DAY = BARS + ", day AS (SELECT symbol, CAST(bar_start AS DATE) AS day, arg_max(
 
 
 @query(f"""WITH {_DAY}, s AS (SELECT *, stddev_samp(ret) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS std FROM dr),
-  i AS (SELECT *, 1 / nullif(lag(std) OVER (PARTITION BY symbol ORDER BY day), 0) AS inv FROM s) SELECT symbol, day, round(inv / sum(inv) OVER (PARTITION BY day), 6) + 0.0 AS weight FROM i""")
+  i AS (SELECT *, 1 / nullif(lag(std) OVER (PARTITION BY symbol ORDER BY day), 0) AS inv FROM s) SELECT symbol, CAST(day AS VARCHAR) AS day, round(inv / sum(inv) OVER (PARTITION BY day), 6) + 0.0 AS weight FROM i""")
 def inverse_vol_portfolio(spark, d):
     bars = hourly(spark, d).groupBy("symbol", F.to_date("bar_start").alias("day")).agg(F.max_by("close", "bar_start").alias("close"))
-    from pyspark.sql import Window
-
     bars = bars.withColumn("ret", F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("day")) - 1)
-    return metrics.inverse_volatility(bars, "symbol", "day", "ret", 10).select("symbol", "day", r("weight").alias("weight"))
+    return metrics.inverse_volatility(bars, "symbol", "day", "ret", 10).select("symbol", F.col("day").cast("string").alias("day"), r("weight").alias("weight"))

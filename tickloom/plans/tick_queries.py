@@ -254,9 +254,9 @@ def scatter_signals(spark, d):
     return rounded(joins.scatter(df, signals, list(KEYS), "value", 0.0), KEYS, ["value"])
 
 
-@query(f"""WITH {TICKS}, h AS (SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS n FROM ticks GROUP BY 1, 2) SELECT symbol, day, n FROM h""")
+@query(f"""WITH {TICKS}, h AS (SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS n FROM ticks GROUP BY 1, 2) SELECT symbol, CAST(day AS VARCHAR) AS day, n FROM h""")
 def event_counts(spark, d):
-    return B.event_counts(ticks(spark, d).withColumn("day", F.to_date("ts")), "symbol", "day")
+    return B.event_counts(ticks(spark, d).withColumn("day", F.to_date("ts").cast("string")), "symbol", "day")
 
 
 @query(f"""WITH RECURSIVE {TICKS}, n AS (SELECT symbol, seq, mid, row_number() OVER ({W}) AS i FROM ticks),
@@ -319,8 +319,8 @@ def feature_vector(spark, d):
     return df.select(*KEYS, F.transform(vector, lambda x: F.round(x, 5)).alias("features"), regime.alias("regime"))
 
 
-@query(sql(TICKS, KEYS, {"mean": f"avg(mid) OVER {last(50)}"}, "ticks"))
+@query(sql(TICKS, KEYS, {"mean": f"avg(mid) OVER {last(50)}"}, "ticks", digits=4))
 def chunked_window(spark, d):
     """A frame computed in chunks of a symbol's rows with a halo, so that one symbol is many tasks' work."""
     df = splits.windowed(ticks(spark, d), {"mean": lambda w: F.avg("mid").over(w.rowsBetween(-49, 0))}, 50, 500)
-    return rounded(df, KEYS, ["mean"])
+    return rounded(df, KEYS, ["mean"], 4)
