@@ -319,8 +319,8 @@ def feature_vector(spark, d):
     return df.select(*KEYS, F.transform(vector, lambda x: F.round(x, 5)).alias("features"), regime.alias("regime"))
 
 
-@query(sql(TICKS, KEYS, {"mean": f"avg(mid) OVER {last(50)}"}, "ticks", digits=4))
+@query(sql(TICKS, KEYS, {"mean": f"avg(mid) OVER {last(50)}"}, "ticks", digits=3))
 def chunked_window(spark, d):
     """A frame computed in chunks of a symbol's rows with a halo, so that one symbol is many tasks' work."""
     df = splits.windowed(ticks(spark, d), {"mean": lambda w: F.avg("mid").over(w.rowsBetween(-49, 0))}, 50, 500)
-    return rounded(df, KEYS, ["mean"], 4)
+    return rounded(df, KEYS, ["mean"], 3)
