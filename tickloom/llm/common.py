@@ -35,11 +35,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     This cuts lineage, so that a lost executor costs a re-read and not the work before it, and
-    lets two consumers share one computation.
+    lets two consumers share one computation. Nothing refers to the shuffles behind it any more; a
+    collection in the driver lets Spark's cleaner remove their files now and not some time later.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

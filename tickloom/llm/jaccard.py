@@ -116,18 +116,12 @@ def _texts(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, body): the compressed texts that stand for the wanted (node, key, rep)."""
 
     def packed(ids: list, bodies: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), squeeze(bodies)], ["rep", "body"])
+        keys = [set_key(s) if len(s) else None for s in shingle_sets(bodies, k)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), squeeze(bodies)], ["rep", "key", "body"])
 
-    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, ["body"], BLOCK_BYTES):
-                keys = [set_key(s) for s in shingle_sets(list(map(loose, part.column("body").to_pylist())), k)]
-                mask = [a == b for a, b in zip(keys, part.column("key").to_pylist(), strict=True)]
-                yield part.select(["node", "body"]).filter(pa.array(mask, pa.bool_()))
-
-    texts = by_block(rows, packed, "rep long, body binary", BLOCK_BYTES)
-    found = texts.join(wanted, "rep").select("node", "key", "body").mapInArrow(matching, "node long, body binary")
-    return staged(found.dropDuplicates(["node"]), "texts")
+    texts = by_block(rows, packed, "rep long, key binary, body binary", BLOCK_BYTES)
+    found = texts.join(wanted, ["rep", "key"]).dropDuplicates(["rep", "key"])  # dealt by the join already
+    return staged(found.select("node", "body"), "texts")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -139,9 +133,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     degree = F.count("*").over(Window.partitionBy("a"))
     dealt = pairs.withColumn("run", F.pmod(F.xxhash64("b"), F.ceil(degree / RUN)))
     dealt = staged(dealt, "pairs")
-    heads = dealt.select("a", "run").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "run", F.lit(None).cast("long").alias("b"), "body")
-    members = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "run", "b", "body")
-    rows = heads.unionByName(members).repartition("a", "run").sortWithinPartitions("a", "run", F.asc_nulls_first("b"))
+    heads = dealt.select("a", "run", F.lit(None).cast("long").alias("b"), F.col("a").alias("node")).distinct()
+    wanted = heads.unionByName(dealt.withColumn("node", F.col("b")))
+    rows = wanted.join(texts, "node").select("a", "run", "b", "body").repartition("a", "run").sortWithinPartitions("a", "run", F.asc_nulls_first("b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.zeros(0, np.uint64)
