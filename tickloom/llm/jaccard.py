@@ -14,8 +14,12 @@ documents are still in different components and which share enough prefix shingl
 families of near copies thus cost a star and not all their pairs; a link that the second round leaves
 out joins documents of one component already, so components are those of all links.
 
-The frequency estimate counts shingles that a block of documents holds at least twice, in a table of
-fixed size; it decides the order and ``l``, hence the cost, and never the result.
+Before the second round's texts are sent, pairs are tried on sketches: how many shingles of a set fall
+into each of about n / 4 buckets. Sets share no more than the sum of the lesser counts, so a pair for
+which that is too little cannot link. This bound is exact and loses nothing.
+
+The frequency estimate sums, in a table of fixed size, what tasks count well above the mean of their
+slots; it decides the order and ``l``, hence the cost, and never the result.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; repeated
 rows each get their row, in one component; a row without an id takes the component of an equal set, if
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import as_bytes, by_block, loose, slices, squeeze, staged
+from tickloom.llm.common import as_bytes, blocks, by_block, loose, slices, squeeze, staged
 from tickloom.llm.graph import components
 from tickloom.llm.shingles import set_key, shingle_sets
 
@@ -54,16 +58,17 @@ TOKEN_SHIFT = np.uint64(24)
 def _frequencies(rows: DataFrame, k: int) -> np.ndarray:
     """Log2 of the estimated document frequency by slot of the fixed table."""
 
-    def work(ids: list, bodies: list[bytes]) -> pa.RecordBatch:
-        sets = shingle_sets(bodies, k)
-        every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-        heads = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(heads, len(every)))
-        often = counts >= 4
-        slots = (every[heads[often]] % np.uint64(SLOTS)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[often].astype(np.int64))], ["slot", "n"])
-
-    counted = by_block(rows, work, "slot int, n long", BLOCK_BYTES).groupBy("slot").agg(F.sum("n").alias("n"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = np.zeros(SLOTS, np.int32), 0
+        for _, bodies in blocks(batches, BLOCK_BYTES):
+            slots = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(bodies, k)]) % np.uint64(SLOTS)
+            names, n = np.unique(slots, return_counts=True)
+            held[names.astype(np.int64)] += n.astype(np.int32)
+            total += len(slots)
+        often = np.flatnonzero(held >= max(4, 4 * total / SLOTS))
+        yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int32)), pa.array(held[often].astype(np.int64))], ["slot", "n"])
+
+    counted = rows.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     found = counted.select("slot", F.floor(F.log2("n")).cast("byte").alias("level")).toArrow()
     table = np.zeros(SLOTS, np.uint8)
     table[found["slot"].to_numpy()] = found["level"].to_numpy()
@@ -113,29 +118,73 @@ def _representatives(rows: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, body): the compressed texts that stand for the wanted (node, key, rep)."""
+    """(node, sketch, body): the sketches and compressed texts that stand for the wanted (node, key, rep)."""
 
     def packed(ids: list, bodies: list[bytes]) -> pa.RecordBatch:
-        keys = [set_key(s) if len(s) else None for s in shingle_sets(bodies, k)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), squeeze(bodies)], ["rep", "key", "body"])
+        sets = shingle_sets(bodies, k)
+        columns = [[set_key(s) if len(s) else None for s in sets], list(map(sketch, sets))]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.binary()) for c in columns), squeeze(bodies)], ["rep", "key", "sketch", "body"])
 
-    texts = by_block(rows, packed, "rep long, key binary, body binary", BLOCK_BYTES)
+    texts = by_block(rows, packed, "rep long, key binary, sketch binary, body binary", BLOCK_BYTES)
     found = texts.join(wanted, ["rep", "key"]).dropDuplicates(["rep", "key"])  # dealt by the join already
-    return staged(found.select("node", "body"), "texts")
+    return staged(found.select("node", "sketch", "body"), "texts")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose whole shingle sets are similar enough.
+def _dealt(pairs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
+    """Rows (a, run, b, <column>), one run after the other: first that of a, with null b, then those of its b.
 
-    The texts of the b of one a are brought to one run of rows behind the text of a, which is sent once
-    and not once a pair; an a of very many b has several such runs.
+    What stands for an a is thus sent once and not once a pair; an a of very many b has several such runs.
     """
     degree = F.count("*").over(Window.partitionBy("a"))
-    dealt = pairs.withColumn("run", F.pmod(F.xxhash64("b"), F.ceil(degree / RUN)))
-    dealt = staged(dealt, "pairs")
+    dealt = staged(pairs.withColumn("run", F.pmod(F.xxhash64("b"), F.ceil(degree / RUN))), "pairs")
     heads = dealt.select("a", "run", F.lit(None).cast("long").alias("b"), F.col("a").alias("node")).distinct()
     wanted = heads.unionByName(dealt.withColumn("node", F.col("b")))
-    rows = wanted.join(texts, "node").select("a", "run", "b", "body").repartition("a", "run").sortWithinPartitions("a", "run", F.asc_nulls_first("b"))
+    rows = wanted.join(texts.select("node", column), "node").select("a", "run", "b", column)
+    return rows.repartition("a", "run").sortWithinPartitions("a", "run", F.asc_nulls_first("b"))
+
+
+def _pairs_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) or [(), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+
+def sketch(shingles: np.ndarray) -> bytes | None:
+    """How many shingles fall into each bucket, a power of two of them; null if a byte cannot hold a count."""
+    buckets = 1 << max(3, (len(shingles) // 4).bit_length())
+    counts = np.bincount((shingles & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def can_link(x: bytes | None, y: bytes | None, percent: int) -> bool:
+    """False only if sets of these sketches cannot be similar enough."""
+    if x is None or y is None:
+        return True
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (x, y))
+    size = min(len(a), len(b))
+    a, b = a.reshape(-1, size).sum(0), b.reshape(-1, size).sum(0)
+    both = int(np.minimum(a, b).sum())
+    return 100 * both >= percent * (int(a.sum()) + int(b.sum()) - both)
+
+
+def _plausible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) that sketches do not rule out."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for a, b, s in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
+                if b is None:
+                    head = s
+                elif can_link(head, s, percent):
+                    found.append((a, b))
+            yield _pairs_of(found)
+
+    return _dealt(pairs, texts, "sketch").mapInArrow(compare, "a long, b long")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose whole shingle sets are similar enough."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.zeros(0, np.uint64)
@@ -150,10 +199,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     both = len(np.intersect1d(head, s, assume_unique=True))
                     if 100 * both >= percent * (len(head) + len(s) - both):
                         found.append((a, b))
-                columns = list(zip(*found, strict=True)) or [(), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+                yield _pairs_of(found)
 
-    return staged(rows.mapInArrow(verify, "a long, b long"), "links")
+    return staged(_dealt(pairs, texts, "body").mapInArrow(verify, "a long, b long"), "links")
 
 
 def _stars(lists: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
@@ -250,7 +298,7 @@ def near_duplicates(
     labelled = lists.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
     left = staged(labelled.join(mixed, "token").drop("weight"), "lists")
-    more = _linked(_rest(left, tested, percent), texts, words, percent)
+    more = _linked(_plausible(_rest(left, tested, percent), texts, percent), texts, words, percent)
     linked = components(links.unionByName(more))
 
     def keys(ids: list, bodies: list[bytes]) -> pa.RecordBatch:
