@@ -45,6 +45,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> str:
+    """The name of a table of ``df`` in the warehouse, in buckets by ``key``: joins on it do not deal it again."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).saveAsTable(table_name)
+    spark.sparkContext._jvm.System.gc()
+    return table_name
+
+
 def as_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns, ``id`` and ``body``: the text as UTF-8 bytes, null as empty."""
     return df.select(

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import as_bytes, blocks, by_block, loose, slices, squeeze, staged
+from tickloom.llm.common import as_bytes, blocks, bucketed, by_block, loose, slices, squeeze, staged
 from tickloom.llm.graph import components
 from tickloom.llm.shingles import set_key, shingle_sets
 
@@ -117,8 +117,8 @@ def _representatives(rows: DataFrame, k: int, percent: int) -> DataFrame:
     return staged(one.withColumn("node", F.monotonically_increasing_id()), "sets")
 
 
-def _texts(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, sketch, body): the sketches and compressed texts that stand for the wanted (node, key, rep)."""
+def _texts(rows: DataFrame, wanted: DataFrame, k: int) -> str:
+    """The table (node, sketch, body) of the sketches and compressed texts that stand for the wanted (node, key, rep)."""
 
     def packed(ids: list, bodies: list[bytes]) -> pa.RecordBatch:
         sets = shingle_sets(bodies, k)
@@ -127,7 +127,7 @@ def _texts(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     texts = by_block(rows, packed, "rep long, key binary, sketch binary, body binary", BLOCK_BYTES)
     found = texts.join(wanted, ["rep", "key"]).dropDuplicates(["rep", "key"])  # dealt by the join already
-    return staged(found.select("node", "sketch", "body"), "texts")
+    return bucketed(found.select("node", "sketch", "body"), "texts", "node")
 
 
 def _dealt(pairs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
@@ -284,7 +284,8 @@ def near_duplicates(
     lists = staged(lists, "lists")
     central = lists.groupBy("node").agg(F.sum(F.least("members", F.lit(1 << 20))).alias("weight"))
     lists = staged(lists.join(central, "node"), "lists")
-    texts = _texts(rows, sets.select("node", "key", "rep").join(central.select("node"), "node"), words)
+    text_table = _texts(rows, sets.select("node", "key", "rep").join(central.select("node"), "node"), words)
+    texts = docs.sparkSession.table(text_table)  # in buckets by node, so that no round deals the texts anew
 
     tested = links = first = None
     for _ in range(STAR_ROUNDS):
@@ -299,6 +300,7 @@ def near_duplicates(
     mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
     left = staged(labelled.join(mixed, "token").drop("weight"), "lists")
     more = _linked(_plausible(_rest(left, tested, percent), texts, percent), texts, words, percent)
+    docs.sparkSession.sql(f"DROP TABLE {text_table}")
     linked = components(links.unionByName(more))
 
     def keys(ids: list, bodies: list[bytes]) -> pa.RecordBatch:
