@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from tickloom.llm.common import as_bytes, blocks, text_of
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 
 #: Cuts a text into hashable keys; a ``Namer`` gives the word that a key stands for.
 Splitter = Callable[[str], list]
@@ -99,11 +99,11 @@ def _block_documents(rows: DataFrame, split: Splitter, name: Namer, buckets: int
             at, sizes = [], []
             for body in bodies:
                 keys = split(text_of(body))
-                at.append(np.fromiter(map(seen.__getitem__, keys), np.int64, len(keys)))
+                at.append(np.fromiter(map(seen.__getitem__, keys), np.int32, len(keys)))
                 sizes.append(len(keys))
             every = np.concatenate(at)
             often = np.argsort(-np.bincount(every, minlength=len(seen)), kind="stable")  # low numbers for frequent words pack well
-            rank = np.empty(len(seen), np.int64)
+            rank = np.empty(len(seen), np.uint32)
             rank[often] = np.arange(len(seen))
             _, place = _ordered(list(seen), name, buckets)
             yield pa.RecordBatch.from_arrays(
