@@ -28,7 +28,7 @@ def near(found, expected):
     for c in expected.columns:
         a, b = found[c], expected[c]
         if b.dtype.kind == "f":
-            np.testing.assert_allclose(a.astype(float), b.astype(float), atol=2e-3 if c == "mean" else 2e-4)
+            np.testing.assert_allclose(a.astype(float), b.astype(float), atol=2e-4)
         else:
             assert list(map(str, a)) == list(map(str, b)), c
 
