@@ -158,6 +158,18 @@ def test_suffix_dedup(docs, monkeypatch, crowd):
     assert Counter(map(tuple, suffix_dedup.digest(suffix_dedup.remove_repeats(docs, 400)).collect())) == want
 
 
+def test_suffix_dedup_past_16_mib(spark):
+    rng = np.random.default_rng(3)
+    prose = lambda n: rng.integers(97, 123, n, "u1").tobytes().decode()
+    passage, seam = prose(400), prose(400)
+    edge = suffix_dedup.SEGMENT - 200  # a passage over the seam of two segments
+    long = prose(edge) + seam + prose((17 << 20) - edge - 400) + passage + prose(77)
+    rows = [(1, long), (2, prose(50) + passage + prose(60)), (3, seam + prose(500))]
+    kept = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400)
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in kept.select("doc_id", "spans").collect()}
+    assert found == {1: [(edge, edge + 400), (17 << 20, (17 << 20) + 400)], 2: [(50, 450)], 3: [(0, 400)]}
+
+
 def test_packing(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)

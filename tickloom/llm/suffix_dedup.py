@@ -41,6 +41,8 @@ SHARD_BYTES = 2 << 20
 #: Regions of one key from which on strings are counted instead.
 CROWD = 2000
 PLACE_BITS = np.uint64(24)
+#: Bytes that the places of one array can tell apart.
+PLACES = 1 << int(PLACE_BITS)
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -61,12 +63,34 @@ def _pieces(bodies: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]
             yield d, at, body[at : at + SEGMENT + length - 1] if len(body) > SEGMENT else body
 
 
+def _groups(pieces: Iterator[tuple[int, int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Consecutive pieces whose places fit ``PLACE_BITS``, so that one array can hold them."""
+    group: list[tuple[int, int, bytes]] = []
+    held = 0
+    for piece in pieces:
+        if len(piece[2]) > PLACES:
+            raise ValueError(f"a piece of {len(piece[2])} bytes is longer than the {PLACES} places of an array")
+        if group and held + len(piece[2]) > PLACES:
+            yield group
+            group, held = [], 0
+        group.append(piece)
+        held += len(piece[2])
+    if group:
+        yield group
+
+
 def regions(bodies: list[bytes], length: int) -> dict[str, np.ndarray]:
-    """Regions of all texts: document, first and last start, the anchor's key and two hashes of the region's bytes."""
-    found = list(_pieces(bodies, length))
+    """Regions of all texts: document, first and last start, the anchor's key and two hashes of the region's bytes.
+
+    A long text is looked at in segments, each in arrays of its own; an anchor depends only on the bytes of
+    its string, so a string's key is the same in any segment and at any place.
+    """
     names = ("document", "low", "high", "key", "r1", "r2")
-    if not found:
-        return {c: np.zeros(0, np.int64) for c in names}
+    found = [_group_regions(g, length) for g in _groups(_pieces(bodies, length))]
+    return {c: np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in names}
+
+
+def _group_regions(found: list[tuple[int, int, bytes]], length: int) -> dict[str, np.ndarray]:
     data = np.frombuffer(b"".join(p[2] for p in found), np.uint8)
     sizes = np.array([len(p[2]) for p in found])
     begins = np.cumsum(sizes) - sizes
