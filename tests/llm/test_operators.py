@@ -242,6 +242,21 @@ def test_html(spark):
     assert (found[7], found[8], found[9]) == ("", "plain <words>", "")
 
 
+def test_html_names_around_and_inside_the_text():
+    text = lambda body: html_extraction.main_text(html_extraction.Page(f"<html><body>{body}</body></html>"), None)
+    prose = "<p>" + "A sentence of the text. " * 9 + "</p>"
+    kept = ("A sentence of the text. " * 9).strip()
+    article = f"<article><div class='entry-header'><h1>Title</h1></div>{prose}<section class='legal'><p>The law says so.</p></section><div class='ad'>Buy</div></article>"
+    want = f"Title\n\n{kept}\n\nThe law says so."
+    for name in ("has-sidebar", "no-sidebar", "content-sidebar", "main-menu-layout", "sidebar"):
+        assert text(f"<div class='{name}'>{article}</div>") == want, name
+        assert text(f"<div class='{name}'><div>{prose}</div></div><div class='site-footer'>All rights</div>") == kept, name
+    assert text(f"<form id='page'>{article}</form>") == want
+    comments = f"<div id='comments'><article>{'<p>Me too.</p>' * 3}</article></div>"
+    assert text(f"<main>{article}{comments}</main>") == text(f"{article}{comments}") == want
+    assert text(f"<article>{prose}<div class='related'><a href='/'>Another page</a></div></article><div class='sidebar'>Side</div>") == kept
+
+
 def test_token_counts(docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     scores = token_counts.read_scores(path)

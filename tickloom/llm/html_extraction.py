@@ -58,22 +58,55 @@ ENDS_PARAGRAPH = frozenset(
 #: Elements that end an open one of their own group when they begin.
 GROUPS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Words of class and id attributes that name furniture.
-FURNITURE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|aside|menu\w*|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|"
-    r"comments?|commentlist|respond|replies|reply|disqus|notice\w*|notification\w*|cookies?|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|"
-    r"share|sharing|social|related|recommended|recirc\w*|widget|pagination|pager|copyright|legal|disclaimer|skip)(?:$|[\s_-])",
-    re.I,
+FURNITURE_WORDS = frozenset(
+    "ad ads advert sponsor promo banner sidebar side aside menu nav breadcrumb breadcrumbs footer foot header masthead topbar toolbar "
+    "comment comments commentlist respond replies reply disqus notice notification cookie cookies consent gdpr alert popup modal overlay newsletter "
+    "subscribe signup login search share sharing social related recommended recirc widget pagination pager copyright legal disclaimer skip".split()
 )
+#: Words that furniture words may begin with, whatever follows.
+FURNITURE_STEMS = ("advert", "sponsor", "promo", "menu", "nav", "notice", "notification", "recirc", "widget")
+#: Those that also name sections of an article; there they count only for elements that are mostly links.
+SECTION_WORDS = frozenset(
+    "header foot legal related recommended alert social notice notification disclaimer copyright side aside search signup login widget menu masthead skip".split()
+)
+#: First words of names that tell what an element holds or lacks, not what it is.
+LAYOUT_WORDS = frozenset("has no with without".split())
+PARTS = re.compile(r"[-_]+")
 DIGITS = re.compile(r"\d+")
 
 
+def furniture_words(label: str) -> set[str]:
+    """The furniture words in class and id names; names like has-sidebar describe the layout and give none."""
+    out = set()
+    for name in label.lower().split():
+        parts = [w for w in PARTS.split(name) if w]
+        if len(parts) < 2 or parts[0] not in LAYOUT_WORDS:
+            for w in parts:
+                stem = next((x for x in FURNITURE_STEMS if w.startswith(x)), None)
+                if stem or w in FURNITURE_WORDS:
+                    out.add(stem or w)
+    return out
+
+
+class Element:
+    """What decides if an element is furniture: its own marks, and the text and links below it."""
+
+    __slots__ = ("above", "chars", "inside", "linked", "main", "named", "sections", "strict")
+
+    def __init__(self, above: int, strict: bool, named: bool, sections: bool, main: bool, inside: bool):
+        self.above, self.strict, self.named, self.sections, self.main, self.inside = above, strict, named, sections, main, inside
+        self.chars = self.linked = 0
+
+
 class Page:
     """A page as blocks of text: (path, furniture, characters in links, text), and how often each path stands in it."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, bool, int, str]] = []
         self.counts: dict[str, int] = defaultdict(int)
-        self._stack: list[tuple[str, str, bool]] = []
+        self._stack: list[tuple[str, str, int]] = []
+        self._elements = [Element(-1, False, False, False, False, False)]
+        self._owners: list[int] = []
         self._parts: list[str] = []
         self._linked = 0
         at = 0
@@ -99,6 +132,7 @@ class Page:
             else:
                 self._start(name, token["rest"])
         self._close()
+        self._decide()
 
     def _text(self, raw: str) -> None:
         if raw:
@@ -111,9 +145,41 @@ class Page:
             text = " ".join(html.unescape("".join(self._parts)).split())
             if text:
                 path = next((p for n, p, _ in reversed(self._stack) if n not in INLINE), "")
-                self.blocks.append((path, bool(self._stack) and self._stack[-1][2], self._linked, text))
+                self.blocks.append((path, False, self._linked, text))
+                self._owners.append(self._stack[-1][2] if self._stack else 0)
         self._parts, self._linked = [], 0
 
+    def _decide(self) -> None:
+        """Marks the blocks in furniture, once the text below each element is known.
+
+        A name or a form around the main article, or around most of the text of a page without one, marks nothing.
+        """
+        every = self._elements
+        strict = [False] * len(every)
+        for k, e in enumerate(every[1:], 1):
+            strict[k] = strict[e.above] or e.strict
+        for (_, _, linked, text), k in zip(self.blocks, self._owners, strict=True):
+            if not strict[k]:
+                every[k].chars += len(text)
+                every[k].linked += min(linked, len(text))
+        for e in reversed(every[1:]):
+            every[e.above].chars += e.chars
+            every[e.above].linked += e.linked
+        own = [e.chars - e.linked for e in every]
+        around: set[int] = set()
+        mains = [k for k, e in enumerate(every) if e.main and not e.inside and own[k]]
+        if mains:
+            k = max(mains, key=lambda k: own[k])  # the first of the largest; comments may be articles too
+            while k >= 0:
+                around.add(k)
+                k = every[k].above
+        furniture = strict
+        for k, e in enumerate(every[1:], 1):
+            holds = k in around if mains else own[k] > 0 and own[k] >= SHARE * own[0]
+            marked = e.named or (e.sections and (not e.inside or 2 * e.linked >= e.chars))
+            furniture[k] = furniture[k] or furniture[e.above] or (marked and not holds)
+        self.blocks = [(p, furniture[k], n, t) for (p, _, n, t), k in zip(self.blocks, self._owners, strict=True)]
+
     def _pop_to(self, names: set[str] | frozenset[str], stop: frozenset[str]) -> None:
         for k in range(len(self._stack) - 1, -1, -1):
             n = self._stack[k][0]
@@ -134,26 +200,30 @@ class Page:
             self._pop_to(GROUPS[name], frozenset({"ul", "ol", "dl", "table"}))
         if name in VOID:
             return
-        above = self._stack[-1] if self._stack else ("", "", False)
+        above = self._stack[-1] if self._stack else ("", "", 0)
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if rest.strip(" /") else {}
         label = attributes.get("class", "") + " " + attributes.get("id", "")
-        inside = any(n in MAIN for n, _, _ in self._stack)
-        furniture = (
-            above[2]
-            or name in FURNITURE
+        owner = self._elements[above[2]]
+        inside = owner.inside or owner.main
+        strict = (
+            (name in FURNITURE and name != "form")
             or (name == "header" and not inside)
-            or (name not in MAIN and name not in ("html", "body") and FURNITURE_WORDS.search(label) is not None)
             or attributes.get("role", "").lower() in FURNITURE_ROLES
             or "hidden" in attributes
             or attributes.get("aria-hidden") == "true"
             or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         )
+        words = furniture_words(label) if name not in MAIN and name not in ("html", "body") and label != " " else set()
+        element = above[2]
+        if strict or words or name in MAIN or name == "form":
+            element = len(self._elements)
+            self._elements.append(Element(above[2], strict, name == "form" or bool(words - SECTION_WORDS), bool(words), name in MAIN, inside))
         path = above[1]
         if name not in INLINE:
             kind = DIGITS.sub("", ".".join(sorted(attributes.get("class", "").split())[:3]))
             path = f"{path}/{name}.{kind}" if kind else f"{path}/{name}"
             self.counts[path] += 1
-        self._stack.append((name, path, furniture))
+        self._stack.append((name, path, element))
 
     def _end(self, name: str) -> None:
         if name == "p" and not any(n == "p" for n, _, _ in self._stack):
