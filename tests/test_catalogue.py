@@ -48,6 +48,21 @@ def test_query(spark, duck, data, name):
         near(found.sort_values(**order), expected.sort_values(**order))
 
 
+def test_as_of_grid_after_a_long_gap(spark):
+    from tickloom.operators.bars import as_of_grid
+
+    day = 86_400_000_000_000
+    # symbol b has no tick on its grid before the end, and three days without one before it
+    rows = [("a", 0, 0, 1.0), ("a", day, 1, 2.0), ("b", 0, 0, 5.0), ("b", day, 1, 6.0), ("b", day, 2, 7.0), ("b", day + 1, 3, None), ("b", 4 * day, 4, 8.0)]
+    made = spark.createDataFrame(rows, "symbol string, timestamp_ns long, seq long, mid double")
+    found = {(r["symbol"], r["timestamp_ns"]): r["price"] for r in as_of_grid(made, 60_000, 300).collect()}
+    want = {}
+    for symbol, end in (("a", day), ("b", 4 * day)):
+        for at in range(end - 300_000_000_000, end + 1, 60_000_000_000):
+            want[symbol, at] = [v for s, t, _, v in rows if s == symbol and t <= at and v is not None][-1]
+    assert found == want
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -69,12 +69,16 @@ def last_bars(n: int):
 def as_of_grid(ticks: DataFrame, step_ms: int = 100, span_s: int = 300, value: str = "mid") -> DataFrame:
     """The last value at or before each point of a grid over the last ``span_s`` seconds of every symbol.
 
-    Grid points and ticks are merged and filled, so that no range join is needed.
+    Grid points and ticks are merged and filled, so that no range join is needed; of the ticks before a
+    symbol's grid only the last is wanted, however old it is.
     """
     ends = ticks.groupBy("symbol").agg(F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"))
     begin = F.greatest(F.col("first_ns"), F.col("last_ns") - span_s * 1_000_000_000)
     grid = ends.select("symbol", F.explode(F.sequence(begin, F.col("last_ns"), F.lit(step_ms * 1_000_000))).alias("timestamp_ns"))
-    near = ticks.join(F.broadcast(ends), "symbol").where(F.col("timestamp_ns") >= begin - 86_400_000_000_000).select("symbol", "timestamp_ns", "seq", F.col(value).alias("value"))
+    bounded = ticks.join(F.broadcast(ends), "symbol").select("symbol", "timestamp_ns", "seq", F.col(value).alias("value"), begin.alias("begin"))
+    near = bounded.where("timestamp_ns >= begin").drop("begin")
+    before = bounded.where("timestamp_ns < begin and value is not null").groupBy("symbol").agg(F.max(F.struct("timestamp_ns", F.col("seq").cast("long").alias("seq"), "value")).alias("tick"))
+    near = near.unionByName(before.select("symbol", "tick.*"))
     merged = near.withColumn("kind", F.lit(0)).unionByName(grid.select("symbol", "timestamp_ns", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("value"), F.lit(1).alias("kind")))
     past = Window.partitionBy("symbol").orderBy("timestamp_ns", "kind", F.asc_nulls_last("seq")).rowsBetween(Window.unboundedPreceding, 0)
     filled = merged.withColumn("price", F.last("value", ignorenulls=True).over(past))
