@@ -63,6 +63,24 @@ def test_as_of_grid_after_a_long_gap(spark):
     assert found == want
 
 
+def test_fracdiff_full(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tickloom.plans import bar_queries
+
+    close = 50 + np.random.default_rng(4).normal(size=520).cumsum()
+    bars = spark.createDataFrame([("a", k, float(x)) for k, x in enumerate(close)], "symbol string, k long, close double")
+    monkeypatch.setattr(bar_queries, "six_hourly", lambda spark, d: bars.select("symbol", F.timestamp_seconds(F.col("k") * 21_600).alias("bar_start"), "close"))
+    weights = [1.0]
+    while len(weights) < 500 and abs(w := -weights[-1] * (0.45 - len(weights) + 1) / len(weights)) > 1e-5:
+        weights.append(w)
+    assert len(weights) == 500
+    found = [r["fracdiff"] for r in catalogue.queries()["fracdiff_full"](spark, "").orderBy("bar_start").collect()]
+    assert found[:499] == [None] * 499
+    np.testing.assert_allclose(found[499:], [np.dot(weights, close[k - 499 : k + 1][::-1]) for k in range(499, 520)], atol=2e-6)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

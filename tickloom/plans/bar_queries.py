@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import bar_features as C
 from tickloom.operators import bars as B
 from tickloom.operators import labels, metrics, recurrences, simulate
-from tickloom.plans.base import BAR_KEYS, BARS, BW, hourly, last, r, rounded, sql
+from tickloom.plans.base import BAR_KEYS, BARS, BW, six_hourly, last, r, rounded, sql
 
 QUERIES, ORACLE = {}, {}
 
@@ -44,27 +44,27 @@ LR = BARS + f", l AS (SELECT *, ln(close / {lag('close')}) AS log_return FROM ba
 
 
 def _with_returns(spark, d):
-    return hourly(spark, d).where("close > 0").withColumn("log_return", C.log_return())
+    return six_hourly(spark, d).where("close > 0").withColumn("log_return", C.log_return())
 
 
 @query(sql(BARS, BAR_KEYS, {f"sma_{n}": f"(close - {mean('close', n)}) / ({mean('close', n)})" for n in (10, 20, 50, 100, 200)}, "bars"))
 def sma_distance(spark, d):
-    return rounded(hourly(spark, d), BAR_KEYS, {f"sma_{n}": C.sma_distance(n) for n in (10, 20, 50, 100, 200)})
+    return rounded(six_hourly(spark, d), BAR_KEYS, {f"sma_{n}": C.sma_distance(n) for n in (10, 20, 50, 100, 200)})
 
 
 @query(sql(BARS, BAR_KEYS, {f"roc_{n}": f"(close - coalesce({lag('close', n)}, close)) / coalesce({lag('close', n)}, close)" for n in (5, 10, 20, 50)}, "bars", digits=4))
 def roc(spark, d):
-    return rounded(hourly(spark, d), BAR_KEYS, {f"roc_{n}": C.roc(n) for n in (5, 10, 20, 50)}, 4)
+    return rounded(six_hourly(spark, d), BAR_KEYS, {f"roc_{n}": C.roc(n) for n in (5, 10, 20, 50)}, 4)
 
 
 @query(sql(TR, BAR_KEYS, {"tr": "tr", "atr_ratio": f"{mean('tr', 5)} / ({mean('tr', 20)} + 1e-12)"}, "t"))
 def true_range(spark, d):
-    return rounded(hourly(spark, d).withColumn("tr", C.true_range()), BAR_KEYS, {"tr": F.col("tr"), "atr_ratio": C.atr_ratio()})
+    return rounded(six_hourly(spark, d).withColumn("tr", C.true_range()), BAR_KEYS, {"tr": F.col("tr"), "atr_ratio": C.atr_ratio()})
 
 
 @query(sql(BARS, BAR_KEYS, {f"width_{n}": f"stddev_samp(close) OVER {last(n, BW)} / ({mean('close', n)})" for n in (20, 50)}, "bars"))
 def bollinger(spark, d):
-    return rounded(hourly(spark, d), BAR_KEYS, {f"width_{n}": C.bollinger_width(n) for n in (20, 50)})
+    return rounded(six_hourly(spark, d), BAR_KEYS, {f"width_{n}": C.bollinger_width(n) for n in (20, 50)})
 
 
 @query(sql(LR, BAR_KEYS, {f"var_{n}": f"var_samp(log_return) OVER {last(n, BW)}" for n in (10, 20)}, "l"))
@@ -75,7 +75,7 @@ def return_variance(spark, d):
 @query(sql(BARS, BAR_KEYS, {"surge": f"{mean('volume', 5)} / greatest({mean('volume', 20)}, 1e-10)", "volume_roc": f"(volume - coalesce({lag('volume', 5)}, volume)) / greatest(coalesce({lag('volume', 5)}, volume), 1e-10)",
   "liquidity": clip(f"{mean('volume', 12)} / greatest({mean('volume', 288)}, 1e-10)", 0, 10)}, "bars"))
 def volume_surge(spark, d):
-    return rounded(hourly(spark, d), BAR_KEYS, {"surge": C.volume_surge(), "volume_roc": C.volume_roc(), "liquidity": C.liquidity_surge()})
+    return rounded(six_hourly(spark, d), BAR_KEYS, {"surge": C.volume_surge(), "volume_roc": C.volume_roc(), "liquidity": C.liquidity_surge()})
 
 
 def _ema_sql(x: str, span: int, name: str, source: str) -> str:
@@ -93,24 +93,24 @@ def _emas(df, **spans):
 
 @query(f"WITH RECURSIVE {BARS}, {_ema_sql('close', 12, 'fast', 'bars')}, {_ema_sql('close', 26, 'slow', 'bars')} SELECT b.symbol, b.bar_start, round((f.y - s.y) / b.close, 6) + 0.0 AS macd FROM bars b JOIN fast f ON f.symbol = b.symbol AND f.bar_start = b.bar_start JOIN slow s ON s.symbol = b.symbol AND s.bar_start = b.bar_start")
 def macd(spark, d):
-    df = _emas(hourly(spark, d), fast=("close", 12), slow=("close", 26))
+    df = _emas(six_hourly(spark, d), fast=("close", 12), slow=("close", 26))
     return rounded(df, BAR_KEYS, {"macd": (F.col("fast") - F.col("slow")) / F.col("close")})
 
 
 @query(f"WITH RECURSIVE {BARS}, {_ema_sql('volume * (close - open) / greatest(high - low, 1e-10)', 10, 'num', 'bars')}, {_ema_sql('volume', 10, 'den', 'bars')} SELECT n.symbol, n.bar_start, round(n.y / d.y, 6) + 0.0 AS ofi FROM num n JOIN den d ON n.symbol = d.symbol AND n.bar_start = d.bar_start")
 def ofi(spark, d):
-    df = _emas(hourly(spark, d).withColumn("flow", C.flow()), num=("flow", 10), den=("volume", 10))
+    df = _emas(six_hourly(spark, d).withColumn("flow", C.flow()), num=("flow", 10), den=("volume", 10))
     return rounded(df, BAR_KEYS, {"ofi": F.col("num") / F.col("den")})
 
 
 @query(f"WITH RECURSIVE {BARS}, {_ema_sql('tib', 20, 'e', 'bars')} SELECT symbol, bar_start, round(y, 6) + 0.0 AS tib_ema FROM e")
 def tib_ema(spark, d):
-    return rounded(_emas(hourly(spark, d), tib_ema=("tib", 20)), BAR_KEYS, ["tib_ema"])
+    return rounded(_emas(six_hourly(spark, d), tib_ema=("tib", 20)), BAR_KEYS, ["tib_ema"])
 
 
 @query(sql(BARS, BAR_KEYS, {"z": f"CASE WHEN count(*) OVER {last(90, BW)} >= 5 THEN {clip(f'(volume - {mean('volume', 90)}) / greatest(stddev_samp(volume) OVER {last(90, BW)}, 1e-10)', -10, 10)} END"}, "bars"))
 def rolling_z(spark, d):
-    return rounded(hourly(spark, d), BAR_KEYS, {"z": C.rolling_z("volume")})
+    return rounded(six_hourly(spark, d), BAR_KEYS, {"z": C.rolling_z("volume")})
 
 
 _WEIGHTS = C.fractional_weights(most=30)
@@ -118,13 +118,19 @@ _WEIGHTS = C.fractional_weights(most=30)
 
 @query(sql(BARS, BAR_KEYS, {"fracdiff": " + ".join(f"({w!r}::DOUBLE) * {lag('close', k) if k else 'close'}" for k, w in enumerate(_WEIGHTS))}, "bars"))
 def fracdiff(spark, d):
-    return rounded(hourly(spark, d), BAR_KEYS, {"fracdiff": C.fractional_difference("close", most=30)})
+    """The filter's first 30 weights only, as its SQL has a lag for each; ``fracdiff_full`` is the whole filter."""
+    return rounded(six_hourly(spark, d), BAR_KEYS, {"fracdiff": C.fractional_difference("close", most=30)})
+
+
+@query()
+def fracdiff_full(spark, d):
+    return rounded(six_hourly(spark, d), BAR_KEYS, {"fracdiff": C.fractional_difference("close")})
 
 
 @query(sql(BARS + f", c AS (SELECT *, 100 * (close - coalesce({lag('close', 5)}, close)) / coalesce({lag('close', 5)}, close) AS roc5 FROM bars)", BAR_KEYS,
   {"micro": f"CASE WHEN count(roc5) OVER {last(60, BW)} >= 5 THEN {clip(f'roc5 / greatest(max(abs(roc5)) OVER {last(60, BW)}, 1e-8)', -1, 1)} END"}, "c"))
 def micro_momentum(spark, d):
-    return rounded(hourly(spark, d).withColumn("roc5", 100 * C.roc(5)), BAR_KEYS, {"micro": C.micro_momentum()})
+    return rounded(six_hourly(spark, d).withColumn("roc5", 100 * C.roc(5)), BAR_KEYS, {"micro": C.micro_momentum()})
 
 
 @query(sql(LR, BAR_KEYS, {"cluster": clip(f"ln(greatest(var_samp(log_return) OVER {last(10, BW)}, 1e-12) / greatest(var_samp(log_return) OVER {last(100, BW)}, 1e-12))", -5, 5)}, "l") + f" QUALIFY row_number() OVER ({BW}) > 12")
@@ -143,25 +149,25 @@ def skew20(spark, d):
 
 @query(sql(BARS + f", t AS (SELECT *, (close - {mean('close', 200)}) / ({mean('close', 200)}) AS trend FROM bars)", BAR_KEYS, {"macro": clip(f"trend / greatest(stddev_samp(trend) OVER {last(60, BW)}, 1e-10)", -5, 5)}, "t") + f" QUALIFY row_number() OVER ({BW}) > 2")
 def macro(spark, d):
-    df = hourly(spark, d).withColumn("trend", C.sma_distance(200)).withColumns({"macro": C.macro_alignment(), "row": F.row_number().over(B.by_bar())})
+    df = six_hourly(spark, d).withColumn("trend", C.sma_distance(200)).withColumns({"macro": C.macro_alignment(), "row": F.row_number().over(B.by_bar())})
     return rounded(df.where("row > 2"), BAR_KEYS, ["macro"])
 
 
 @query(sql(BARS, BAR_KEYS, {"cvd": f"sum(tib * volume) OVER ({BW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}, "bars", digits=3))
 def cvd(spark, d):
-    return rounded(hourly(spark, d), BAR_KEYS, {"cvd": C.cumulative_delta()}, 3)
+    return rounded(six_hourly(spark, d), BAR_KEYS, {"cvd": C.cumulative_delta()}, 3)
 
 
 @query(sql(BARS, BAR_KEYS, {"bounded": f"least(greatest(close, quantile_cont(close, 0.01) OVER ({BW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), quantile_cont(close, 0.99) OVER ({BW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"}, "bars"))
 def winsorise(spark, d):
-    return rounded(hourly(spark, d), BAR_KEYS, {"bounded": C.winsorised("close")})
+    return rounded(six_hourly(spark, d), BAR_KEYS, {"bounded": C.winsorised("close")})
 
 
 ATR = TR + f", a AS (SELECT *, {mean('tr', 14)} AS atr FROM t)"
 
 
 def _with_atr(spark, d):
-    return hourly(spark, d).withColumn("tr", C.true_range()).withColumn("atr", F.avg("tr").over(B.last_bars(14)))
+    return six_hourly(spark, d).withColumn("tr", C.true_range()).withColumn("atr", F.avg("tr").over(B.last_bars(14)))
 
 
 @query(f"""WITH {ATR}, n AS (SELECT *, row_number() OVER ({BW}) AS i FROM a),
@@ -183,6 +189,6 @@ _DAY = BARS + ", day AS (SELECT symbol, CAST(bar_start AS DATE) AS day, arg_max(
 @query(f"""WITH {_DAY}, s AS (SELECT *, stddev_samp(ret) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS std FROM dr),
   i AS (SELECT *, 1 / nullif(lag(std) OVER (PARTITION BY symbol ORDER BY day), 0) AS inv FROM s) SELECT symbol, CAST(day AS VARCHAR) AS day, round(inv / sum(inv) OVER (PARTITION BY day), 6) + 0.0 AS weight FROM i""")
 def inverse_vol_portfolio(spark, d):
-    bars = hourly(spark, d).groupBy("symbol", F.to_date("bar_start").alias("day")).agg(F.max_by("close", "bar_start").alias("close"))
+    bars = six_hourly(spark, d).groupBy("symbol", F.to_date("bar_start").alias("day")).agg(F.max_by("close", "bar_start").alias("close"))
     bars = bars.withColumn("ret", F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("day")) - 1)
     return metrics.inverse_volatility(bars, "symbol", "day", "ret", 10).select("symbol", F.col("day").cast("string").alias("day"), r("weight").alias("weight"))

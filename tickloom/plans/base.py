@@ -30,7 +30,8 @@ def path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.events_as_path(spark, sf_dir)
 
 
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def six_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars of all bar queries and of ``BARS``: six hours wide."""
     return B.ohlcv(S.events_as_ticks(spark, sf_dir), "6 hours")
 
 
