@@ -1,12 +1,14 @@
-"""HTML extraction by equivalence-class template deduction over the pages of a host.
+"""HTML extraction by the paths that the pages of a host have in common.
 
-A page's tokens are its elements, told apart by their paths. A token's occurrence vector says how often
-it stands in each page of its host; grouped aggregation keeps it as sums of hashes of (page, count), so
-two tokens have equal sums if their vectors are equal, and no host's pages meet in one task. Tokens of a
-host with equal vectors and enough support form an equivalence class. A class is valid if its tokens
-stand once a page or under one parent path, and valid classes nest by path; the template is their tree.
-Its slots hold what varies, and the deepest slot that still has most of the host's text outside menus
-and other furniture is the main one. Pages of a host too small to have a template use their own tree.
+A page's tokens are its elements, told apart by their paths. Grouped aggregation counts for each path of
+a host the pages it stands in, how often it does, and its text, so no host's pages meet in one task. A
+path with enough support is valid if it stands once in each of its pages. The deepest valid path that
+still has most of the host's text outside menus and other furniture is the main slot. Pages of a host too
+small for that use their own tree.
+
+This is less than template deduction: text blocks are no tokens, classes of equal occurrence vectors do
+not change which paths are valid, and fixed text that a host repeats inside the main slot stays, unless
+it is named as furniture.
 
 The main slot's blocks, without the furniture inside it, are the text: character references are
 decoded, white space inside a block becomes one space, blocks are trimmed and joined by an empty line.
@@ -249,18 +251,10 @@ class Page:
 def main_slot(tokens: list[dict]) -> str:
     """The main slot's path from a host's supported tokens (path, s1, s2, pages, total, chars).
 
-    Tokens are put into classes by equal vectors; a class is valid if each of its tokens stands once a
-    page, or if all stand under one parent. Among the paths of valid classes, from the outermost in,
+    A path is valid if it stands once in each of its pages. Among valid paths, from the outermost in,
     the deepest that has the wanted share of the text is taken; an article or main element ends the search.
     """
-    classes: dict[tuple, list[dict]] = defaultdict(list)
-    for t in tokens:
-        classes[t["s1"], t["s2"]].append(t)
-    valid: list[dict] = []
-    for members in classes.values():
-        once = all(t["total"] == t["pages"] for t in members)
-        if once or len({t["path"].rpartition("/")[0] for t in members}) == 1:
-            valid += [t for t in members if t["total"] == t["pages"]]  # a slot that stands several times a page is a list's, nested in another
+    valid = [t for t in tokens if t["total"] == t["pages"]]  # what stands several times a page is an item of a list
     every = max((t["chars"] for t in tokens), default=0)
     best = ""
     for t in sorted(valid, key=lambda t: (t["path"].count("/"), t["path"])):
