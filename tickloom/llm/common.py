@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,17 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where the session names none."""
+    """The folder in ``spark.checkpoint.dir``. Only a local session may be without: it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
-        folder = "/tmp/checkpoints"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no column of the frames is called so."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
@@ -84,15 +99,38 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[list
         yield ids, bodies
 
 
+def tidy() -> None:
+    """Gives memory back at a task's end: the Python worker stays for other tasks, and what it holds counts against its executor."""
+    Rolling.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(run: Callable) -> Callable:
+    """``run``, a function over an iterator of batches, with ``tidy`` after it."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
+
+
 def by_block(
     df: DataFrame, work: Callable[[list, list[bytes]], pa.RecordBatch], schema: str, limit: int
 ) -> DataFrame:
     """Applies ``work`` to blocks of rows of (id, body), inside the tasks that read them."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, bodies in blocks(batches, limit):
             yield work(ids, bodies)
-        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return df.mapInArrow(run, schema)
 
@@ -144,6 +182,10 @@ class Rolling:
         self.sums[0] = 0
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=self.sums[1:])
 
+    @classmethod
+    def forget(cls) -> None:
+        cls._powers.clear()
+
     @classmethod
     def _tables(cls, n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
         held = cls._powers.get(which)

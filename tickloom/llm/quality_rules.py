@@ -2,8 +2,8 @@
 
 Each document is measured inside the task that reads it; nothing is shuffled. Words are hashed once,
 the hashes of all n-grams follow by one multiply-add per length in numpy, and sorting them finds the
-n-grams that occur more than once. What counts is the share of word characters inside duplicated
-n-grams and lines, so long repeats weigh more than short ones.
+n-grams that occur more than once. What counts is the share of characters (code points, not bytes)
+inside duplicated n-grams and lines, so long repeats weigh more than short ones.
 
 Defined results: null text is an empty text (no words, so the base rules fail); repeated rows each
 get their row; an empty table gives an empty result; other columns are ignored.
@@ -11,6 +11,7 @@ get their row; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import as_bytes, by_block, text_of
+from tickloom.llm.common import as_bytes, by_block, text_of, tidied
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -33,8 +34,9 @@ class Limits:
     """Largest accepted shares of a document's word characters.
 
     ``dup`` maps an n-gram length to the share inside duplicated n-grams, ``top`` to the share that
-    the most frequent n-gram covers, ``line`` is for lines that repeat an earlier line; ``symbols``
-    is the accepted number of symbols per word.
+    the most frequent n-gram covers (of equally frequent ones the first in the text); ``line`` is for
+    lines that repeat an earlier line, among all characters; ``symbols`` is the accepted number of
+    symbols per word.
     """
 
     dup: tuple[tuple[int, float], ...] = ((5, 0.30), (6, 0.29), (7, 0.28), (8, 0.27), (9, 0.26), (10, 0.25))
@@ -66,8 +68,8 @@ def _top_share(grams: np.ndarray, n: int, lengths: np.ndarray, size: int, total:
     s = np.sort(grams)
     if len(s) < 3 or not (s[2:] == s[:-2]).any():
         return 0.0
-    heads = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    top = s[heads[np.argmax(np.diff(np.append(heads, len(s))))]]
+    _, first, counts = np.unique(grams, return_index=True, return_counts=True)
+    top = grams[first[counts == counts.max()].min()]
     return float(lengths[_covered(grams == top, n, size)].sum()) / total
 
 
@@ -76,6 +78,8 @@ def measure(body: bytes, limits: Limits) -> tuple:
     text = text_of(body)
     words = body.split()
     n = len(words)
+    plain = len(text) == len(body)
+    chars = len if plain else lambda x: len(text_of(x))
     word_chars = len(text) - sum(map(text.count, BLANKS))
     n_symbols = sum(map(text.count, SYMBOLS))
     seen: set[bytes] = set()
@@ -83,14 +87,14 @@ def measure(body: bytes, limits: Limits) -> tuple:
     for line in body.split(b"\n"):
         if line in seen:
             n_dup_lines += 1
-            dup_line_chars += len(line)
+            dup_line_chars += chars(line)
         elif line and not line.isspace():
             seen.add(line)
     n_repeat = 0
     dup_share = top_share = 0.0
     bad = n_symbols > limits.symbols * n
     if n >= 2:
-        lengths = np.fromiter(map(len, words), np.int64, n)
+        lengths = np.fromiter(map(chars, words), np.int64, n)
         total = int(lengths.sum())
         hashes = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
         dup, top = dict(limits.dup), dict(limits.top)
@@ -111,7 +115,7 @@ def measure(body: bytes, limits: Limits) -> tuple:
                         share = float(lengths[inside].sum()) / total
                         dup_share = max(dup_share, share)
                         bad |= share > dup[size]
-    line_share = dup_line_chars / max(1, len(body))
+    line_share = dup_line_chars / max(1, len(text))
     bad |= line_share > limits.line
     failed = n < limits.min_words or 100 * n_repeat > limits.repeat_words_percent * n
     return n, word_chars, n_symbols, n_dup_lines, n_repeat, failed, line_share, dup_share, top_share, not (failed or bad)
@@ -133,7 +137,9 @@ def verdict(text: Column, limits: Limits = Limits()) -> Column:
     """``kept`` of ``quality_rules`` as a condition on a text column."""
 
     @F.arrow_udf("boolean")
-    def judge(bodies: pa.Array) -> pa.Array:
-        return pa.array([measure(b, limits)[-1] for b in bodies.to_pylist()], pa.bool_())
+    @tidied
+    def judge(bodies: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in bodies:
+            yield pa.array([measure(b.as_py(), limits)[-1] for b in part], pa.bool_())
 
     return judge(F.coalesce(text.cast("binary"), F.lit(b"")))
