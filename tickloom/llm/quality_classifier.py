@@ -8,13 +8,17 @@ less those of its base rate are the evidence that a document gives by itself.
 Sites come in two levels, host (``source``) and path (``source`` and ``lang``). Grouped aggregation over
 all documents gives each site the sum of its documents' probabilities. A host's rate is shrunk towards the global
 one, and a path's towards its host's, by beta priors whose strengths are estimated from the spread of
-the rates over sites, so that sparse sites follow their parents. A document's posterior log odds are its
-evidence plus those of its path.
+the rates over sites, so that sparse sites follow their parents. A document's own probability is taken out
+of the rates of its sites and of the global one, so that its evidence counts once: its posterior log odds
+are its evidence plus those of what the others say of its path.
+
+Each text is scored once: evidence is written with the carried columns before sites are summed up.
 
 Defined results: null text is an empty text; a null host or path is a site; repeated rows each get their
-row; labels that are null or repeated count once or not; without usable labels of both kinds a model
-gives no evidence and the rate one half, and documents are kept; an empty table gives an empty result;
-other columns stay as they are in ``with_posteriors``.
+row and stand for each other in the rates; of labels of one id one counts, by order of its values, and
+those with a null do not; without usable labels of both kinds a model gives no evidence and the rate one
+half, and documents are kept; an empty table gives an empty result; other columns stay as they are in
+``with_posteriors``, except ``p_quality`` and ``p_toxic``, which it sets.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import blocks, staged, text_of
+from tickloom.llm.common import blocks, staged, text_of, tidied, unused
 
 BLOCK_BYTES = 4 << 20
 #: Site tables of at most so many rows are sent to the tasks; larger ones are joined by shuffling.
@@ -112,7 +116,7 @@ def _log_odds(p):
     return np.log(p) - np.log1p(-p)
 
 
-def fit_logistic(rows: np.ndarray, columns: np.ndarray, n: int, width: int, y: np.ndarray, steps: int = 300, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: np.ndarray, columns: np.ndarray, n: int, width: int, y: np.ndarray, steps: int = 100, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by full gradient steps with momentum; (rows, columns) are the places of the ones."""
     w, b = np.zeros(width), float(_log_odds(y.mean()))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
@@ -129,15 +133,17 @@ def fit_logistic(rows: np.ndarray, columns: np.ndarray, n: int, width: int, y: n
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits both models on at most ``sample`` labelled documents, with at most ``features`` features a target."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), *(F.col(t).cast("int").alias(t) for t in TARGETS)).dropna()
-    known = known.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
+    known = known.groupBy("id").agg(F.min(F.struct(*TARGETS)).alias("y")).select("id", "y.*").orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
-    train = texts.join(F.broadcast(known), "id").select("body", *TARGETS)  # ``sample`` rows of three numbers at most
+    # ``sample`` rows of three numbers at most are broadcast; the texts that they label are kept, so that all are read once
+    train = staged(texts.join(F.broadcast(known), "id").select("body", *TARGETS), "train")
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
         for batch in batches:
             pairs = pa.array(list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)), pa.list_(pa.int32()))
             yield from blocks([pa.RecordBatch.from_arrays([pairs, batch.column(0)], ["y", "body"])], BLOCK_BYTES)
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Features()
         for ys, bodies in labelled(batches):
@@ -161,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int
     index = {f: i for i, f in enumerate(sorted(chosen))}
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
+    @tidied
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Features(sent.value)
         for ys, bodies in labelled(batches):
@@ -183,60 +190,75 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int
     return Model(index, weights, bias, base)
 
 
-def _shrunk(sites: DataFrame, by: list[str], target: str, parent: str) -> DataFrame:
-    """Adds ``<target>_rate_<level>``: the sites' rates with a beta prior around the parent's rate.
+def _strengths(sites: DataFrame, parent: str) -> dict[str, float]:
+    """For each target the strength of a beta prior around the rates in ``<target><parent>``.
 
-    The prior's strength is the moment estimate from the spread of raw rates around their parents' over
-    what binomial noise alone would give; no more spread than that means full shrinkage.
+    It is the moment estimate from the spread of raw rates around their parents' over what binomial noise
+    alone would give; no more spread than that means full shrinkage.
     """
-    raw = F.col(f"{target}_sum") / F.col("n")
-    p = F.col(parent)
-    spread = sites.agg(
-        F.sum(F.col("n") * (raw - p) ** 2).alias("between"), F.sum(p * (1 - p)).alias("noise"), F.sum("n").alias("n"), F.sum(F.col("n") ** 2).alias("n2"), F.avg(p * (1 - p)).alias("var")
-    ).first()
-    if not spread["n"]:
-        return sites.withColumn(f"{target}_rate_{by[-1]}", p)
-    room = spread["n"] - spread["n2"] / spread["n"]
-    variance = max(0.0, (spread["between"] - spread["noise"]) / room) if room > 0 else 0.0
-    strength = min(1e9, max(1.0, spread["var"] / variance - 1)) if variance > 0 else 1e9
-    return sites.withColumn(f"{target}_rate_{by[-1]}", (F.col(f"{target}_sum") + strength * p) / (F.col("n") + strength))
-
-
-def with_posteriors(docs: DataFrame, model: Model, text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """``docs`` with ``p_quality`` and ``p_toxic``, all other columns and rows as they are."""
+    n, aggs = F.col("n"), [F.sum("n").alias("n"), F.sum(F.col("n") ** 2).alias("n2")]
+    for t in TARGETS:
+        raw, p = F.col(t) / n, F.col(t + parent)
+        aggs += [F.sum(n * (raw - p) ** 2).alias(f"{t}_between"), F.sum(p * (1 - p)).alias(f"{t}_noise"), F.avg(p * (1 - p)).alias(f"{t}_var")]
+    found = sites.agg(*aggs).first()
+    out = {}
+    for t in TARGETS:
+        room = found["n"] - found["n2"] / found["n"] if found["n"] else 0
+        variance = max(0.0, (found[f"{t}_between"] - found[f"{t}_noise"]) / room) if room > 0 else 0.0
+        out[t] = min(1e9, max(1.0, found[f"{t}_var"] / variance - 1)) if variance > 0 else 1e9
+    return out
+
+
+def site_sums(scored: DataFrame, host: str, path: str, chance: dict[str, Column]) -> tuple[DataFrame, dict[str, float], dict[str, float], dict[str, float]]:
+    """The table (host, path, n, sums, host_n, host sums) of all paths; global sums; strengths for hosts and for paths."""
+    summed = scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count("*").alias("n"), *(F.sum(chance[t]).alias(t) for t in TARGETS))
+    paths = staged(summed, "paths")
+    hosts = staged(paths.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("n", *TARGETS))), "hosts")
+    row = hosts.agg(*(F.sum(c).alias(c) for c in ("n", *TARGETS))).first()
+    every = {c: row[c] or 0 for c in ("n", *TARGETS)}
+    rate = {t: (every[t] + 0.5) / (every["n"] + 1) for t in TARGETS}
+    of_hosts = _strengths(hosts.withColumns({f"{t}_global": F.lit(rate[t]) for t in TARGETS}), "_global")
+    shrunk = {f"{t}_host": (F.col(t) + of_hosts[t] * rate[t]) / (F.col("n") + of_hosts[t]) for t in TARGETS}
+    named = hosts.withColumns(shrunk).select(F.col("host").alias("h"), F.col("n").alias("host_n"), *(F.col(t).alias(f"host_{t}") for t in TARGETS), *shrunk)
+    joined = paths.join(named, F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    return joined, every, of_hosts, _strengths(joined, "_host")
+
+
+def with_posteriors(
+    docs: DataFrame, model: Model, text_col: str = "text", host_col: str = "source", path_col: str = "lang", carry: list[str] | None = None
+) -> DataFrame:
+    """``docs``, or its columns ``carry``, with ``p_quality`` and ``p_toxic``, and all rows as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<quality:double,toxic:double>")
+    @tidied
     def evidence(bodies: Iterator[pa.Array]) -> Iterator[pa.Array]:
         find = Features(sent.value.index)
         for batch in bodies:
-            e = np.array([sent.value.evidence(find(b)) for b in batch.to_pylist()]).reshape(-1, 2)
+            e = np.array([sent.value.evidence(find(b.as_py())) for b in batch]).reshape(-1, 2)
             yield pa.StructArray.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], list(TARGETS))
 
-    own = "__evidence"
+    columns = [c for c in (docs.columns if carry is None else carry) if c not in ("p_quality", "p_toxic")]
+    own, host, path = (unused(n, docs) for n in ("evidence", "host", "path"))
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    scored = docs.withColumn(own, evidence(body))
+    scored = docs.select(*columns, F.col(host_col).alias(host), F.col(path_col).alias(path), evidence(body).alias(own))
+    scored = staged(scored, "evidence")
     base = dict(zip(TARGETS, model.base.tolist(), strict=True))
     chance = {t: 1 / (1 + F.exp(-(F.col(f"{own}.{t}") + base[t]))) for t in TARGETS}
-    by_path = scored.groupBy(F.col(host_col).alias("__host"), F.col(path_col).alias("__path")).agg(
-        F.count("*").alias("n"), *(F.sum(chance[t]).alias(f"{t}_sum") for t in TARGETS)
-    )
-    paths = staged(by_path, "paths")
-    every = paths.agg(F.sum("n").alias("n"), *(F.sum(f"{t}_sum").alias(t) for t in TARGETS)).first()
-    hosts = paths.groupBy("__host").agg(F.sum("n").alias("n"), *(F.sum(f"{t}_sum").alias(f"{t}_sum") for t in TARGETS))
-    for t in TARGETS:
-        rate = (every[t] + 0.5) / (every["n"] + 1) if every["n"] else 0.5
-        hosts = _shrunk(staged(hosts.withColumn(f"__{t}", F.lit(rate)), "hosts"), ["__host"], t, f"__{t}")
-    hosts = hosts.select(F.col("__host").alias("__h"), *(F.col(f"{t}_rate___host") for t in TARGETS))
-    paths = paths.join(hosts, F.col("__host").eqNullSafe(F.col("__h"))).drop("__h")
+    sites, every, of_hosts, of_paths = site_sums(scored, host, path, chance)
+    prefix = unused("site", docs)
+    sites = staged(sites.select(*(F.col(c).alias(f"{prefix}_{c}") for c in ("host", "path", "n", *TARGETS, "host_n", *(f"host_{t}" for t in TARGETS)))), "sites")
+    side = F.broadcast(sites) if sites.count() <= FEW_SITES else sites
+    joined = scored.join(side, F.col(host).eqNullSafe(F.col(f"{prefix}_host")) & F.col(path).eqNullSafe(F.col(f"{prefix}_path")), "left")
+    out = {}
     for t in TARGETS:
-        paths = _shrunk(staged(paths, "paths"), ["__host", "__path"], t, f"{t}_rate___host")
-    rates = staged(paths.select("__host", "__path", *(F.col(f"{t}_rate___path").alias(f"__{t}_rate") for t in TARGETS)), "rates")
-    side = F.broadcast(rates) if rates.count() <= FEW_SITES else rates
-    joined = scored.join(side, F.col(host_col).eqNullSafe(F.col("__host")) & F.col(path_col).eqNullSafe(F.col("__path")), "left")
-    prior = {t: F.log(F.col(f"__{t}_rate")) - F.log1p(-F.col(f"__{t}_rate")) for t in TARGETS}
-    out = joined.withColumns({f"p_{t}": 1 / (1 + F.exp(-(F.col(f"{own}.{t}") + prior[t]))) for t in TARGETS})
-    return out.drop(own, "__host", "__path", *(f"__{t}_rate" for t in TARGETS))
+        others = lambda total: F.greatest(total - chance[t], F.lit(0.0))  # noqa: B023, E731
+        above = (others(F.lit(float(every[t]))) + 0.5) / max(1, every["n"])
+        of_host = (others(F.col(f"{prefix}_host_{t}")) + of_hosts[t] * above) / (F.col(f"{prefix}_host_n") - 1 + of_hosts[t])
+        rate = (others(F.col(f"{prefix}_{t}")) + of_paths[t] * of_host) / (F.col(f"{prefix}_n") - 1 + of_paths[t])
+        rate = F.least(F.greatest(rate, F.lit(1e-9)), F.lit(1 - 1e-9))
+        out[f"p_{t}"] = 1 / (1 + F.exp(-(F.col(f"{own}.{t}") + F.log(rate) - F.log1p(-rate))))
+    return joined.select(*columns, *(v.alias(k) for k, v in out.items()))
 
 
 def kept() -> Column:
