@@ -1,9 +1,13 @@
 """Chat formatting by event-sourced reconstruction, with DataFrame functions only.
 
-A log holds events of conversations: ``message`` starts a turn's text anew, ``delta`` appends to it,
-``edit`` replaces it, and ``regenerate`` throws a turn's text and all later turns away. The log is
-partitioned by conversation, its events are sorted by sequence, and one fold over them gives the final
-turns. They are rendered between control marks; the characters that begin marks are escaped in texts
+A log holds events of conversations: ``message`` starts a turn, ``delta`` appends to a turn's text,
+``edit`` replaces it, and ``regenerate`` throws a turn's text and all later turns away and starts it anew.
+Logs are partitioned by conversation and turn and sorted by sequence. A running count tells which message
+an event belongs to, and one fold over the events of a message gives its text: what follows the last
+event that sets the text anew. Events before a regeneration of their turn or an earlier one are left out.
+Final messages are gathered by conversation, in order of their first events.
+
+They are rendered between control marks; the characters that begin marks are escaped in texts
 and roles, so what a text holds is never read as a mark, and the rendering is reversible.
 
     <|begin|><|turn:user|>text<|end|><|turn:assistant|>text<|end|>
@@ -11,14 +15,16 @@ and roles, so what a text holds is never read as a mark, and the rendering is re
 ``loss`` flags the rendering's segments: the text of assistant turns alone is learned from.
 
 Defined results: null text and null role are empty; an event without kind is a message; events of equal
-sequence are taken in order of turn, kind, role and text; a null turn or sequence comes first; repeated
-rows are events of their own; a null conversation is a conversation; an empty table gives an empty result;
-other columns are ignored.
+sequence are taken in order of turn, kind, role and text; a null turn or sequence comes first, and no
+regeneration reaches a null turn; a delta or edit of a turn that does not stand starts it; a role that an
+event leaves empty stays that of its message, or of the one that it regenerates; several messages of one
+turn number are turns of their own; repeated rows are events of their own; a null conversation is a
+conversation; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BEGIN = "<|begin|>"
@@ -54,35 +60,35 @@ def conversation_events(rows: DataFrame) -> DataFrame:
 
 
 def reconstruct(events: DataFrame) -> DataFrame:
-    """(conv_id, turns): the final (role, text) of every turn of a log (conv_id, sequence, kind, turn, role, text).
+    """(conv_id, turns): the final (role, text) of every message of a log (conv_id, sequence, kind, turn, role, text).
 
     Each message is a turn, also if several have one number; deltas, edits and regenerations go to the
-    latest turn of their number.
+    latest message of their number. Only conversations with regenerations are joined to those.
     """
-    empty = F.lit("")
-    event = F.struct(
-        "sequence", "turn", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")
-    )
-    logs = events.groupBy("conv_id").agg(F.array_sort(F.collect_list(event)).alias("log"))
-
-    # the fold gives each event the place of the turn it belongs to; texts are then joined once per turn
-    plain = F.forall("log", lambda e: e["kind"] == "message")
-    as_turns = F.transform("log", lambda e: F.struct(e["turn"].alias("turn"), e["role"].alias("role"), e["text"].alias("text")))
-    none = F.slice(as_turns, 1, 0)
-
-    def put(turns: Column, e: Column) -> Column:
-        at = F.array_max(F.transform(turns, lambda t, i: F.when(t["turn"].eqNullSafe(e["turn"]), i)))
-        mine = F.get(turns, at)
-        role = F.coalesce(F.when(e["role"] != "", e["role"]), mine["role"], empty)
-        text = F.when(e["kind"] == "delta", F.concat(F.coalesce(mine["text"], empty), e["text"])).otherwise(e["text"])
-        new = F.struct(e["turn"].alias("turn"), role.alias("role"), text.alias("text"))
-        append = F.concat(turns, F.array(F.struct(e["turn"].alias("turn"), e["role"].alias("role"), e["text"].alias("text"))))
-        changed = F.when(at.isNull(), F.concat(turns, F.array(new))).otherwise(F.transform(turns, lambda t, i: F.when(i == at, new).otherwise(t)))
-        redone = F.concat(F.filter(turns, lambda t: ~(t["turn"] >= e["turn"])), F.array(new))
-        return F.when(e["kind"] == "message", append).when(e["kind"] == "regenerate", redone).otherwise(changed)
-
-    folded = F.when(plain, as_turns).otherwise(F.aggregate("log", none, put))
-    return logs.select("conv_id", F.transform(folded, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    order = ("sequence", "turn", "kind", "role", "text")
+    log = events.select("conv_id", "sequence", "turn", *(F.coalesce(c, F.lit(d)).alias(c) for c, d in (("kind", "message"), ("role", ""), ("text", ""))))
+    again = log.where("kind = 'regenerate'").groupBy(F.col("conv_id").alias("c")).agg(F.collect_list(F.struct(*order)).alias("again"))
+    log = log.join(again, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    gone = F.exists("again", lambda g: (F.struct(*order) < g) & (F.col("turn") >= g["turn"]))
+    log = log.withColumn("gone", F.coalesce(gone, F.lit(False))).drop("c", "again")
+
+    of_turn = Window.partitionBy("conv_id", "turn").orderBy(F.asc_nulls_first("sequence"), "kind", "role", "text")
+    begins = F.col("kind").isin("message", "regenerate") & ~F.col("gone")
+    earlier_role = F.last(F.nullif("role", F.lit("")), ignorenulls=True).over(of_turn.rowsBetween(Window.unboundedPreceding, -1))
+    log = log.withColumns({"message": F.count_if(begins).over(of_turn.rowsBetween(Window.unboundedPreceding, 0)), "earlier_role": earlier_role})
+    log = log.where("not gone").withColumn("role", F.when((F.col("kind") == "regenerate") & (F.col("role") == ""), F.coalesce("earlier_role", "role")).otherwise(F.col("role")))
+    parts = F.array_sort(F.collect_list(F.struct("sequence", "kind", "role", "text")))
+    messages = log.groupBy("conv_id", "turn", "message").agg(parts.alias("parts"))
+    resets = F.transform("parts", lambda p, i: F.when(p["kind"] != "delta", i).otherwise(0))  # the fold begins at the last of them
+    texts = F.slice("parts", F.array_max(resets) + 1, F.size("parts"))
+    roles = F.filter("parts", lambda p: p["role"] != "")
+    message = F.struct(
+        F.get("parts", F.lit(0))["sequence"].alias("sequence"), "turn", "message",
+        F.coalesce(F.get(roles, F.size(roles) - 1)["role"], F.lit("")).alias("role"),
+        F.array_join(F.transform(texts, lambda p: p["text"]), "").alias("text"),
+    )
+    turns = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("turns"))
+    return turns.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def render(conversations: DataFrame, learned: str = "assistant") -> DataFrame:

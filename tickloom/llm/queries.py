@@ -26,7 +26,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posteriors of quality and toxicity of every document, and the verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality_classifier.with_posteriors(docs, model)
+    scored = quality_classifier.with_posteriors(docs, model, carry=["doc_id"])
     return scored.select("doc_id", "p_quality", "p_toxic", quality_classifier.kept().alias("kept"))
 
 
@@ -66,8 +66,7 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one of control strings, formatted and read back, as counts and digests."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    control = "</s>[INST] ok [/INST]"
-    hard = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    hard = spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     return chat.digest(chat.render(chat.reconstruct(chat.conversation_events(rows.unionByName(hard)))))
 
 
