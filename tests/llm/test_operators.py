@@ -242,6 +242,53 @@ def test_html(spark):
     assert (found[7], found[8], found[9]) == ("", "plain <words>", "")
 
 
+def neutral_host(rng, host, n):
+    """Pages whose main text no element or name gives away, and their main texts."""
+    prose = lambda k: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(k))
+    fixed = [prose(12) for _ in range(3)]
+    pages = []
+    for k in range(n):
+        own = [prose(rng.randint(20, 50)) for _ in range(rng.randint(2, 5))]
+        side = "".join(f"<li>{prose(3)}</li>" for _ in range(3))
+        notice = f"<div class='q7'><p>{fixed[2]}</p></div>" if k % 3 else ""
+        inside = f"<p>{fixed[0]}</p>{notice}" + "".join(f"<p>{t}</p>" for t in own) + f"<p>{fixed[1]}</p>"
+        html = f"<html><body><div class='q1'><ul>{side}</ul></div><div class='q2'><div class='q3'>{inside}</div></div><div class='q4'><p>{prose(4)}</p></div></body></html>"
+        pages.append((f"http://{host}/{k}", html, own))
+    return pages
+
+
+def test_html_template_of_neutral_names(spark):
+    rng = random.Random(11)
+    pages = [p for h in ("a.example", "b.example", "c.example") for p in neutral_host(rng, h, 12)]
+    copy = pages[0]
+    pages += [(f"http://a.example/copy{k}", copy[1], copy[2]) for k in range(30)]  # most pages of the host are copies of one
+    rows = [(k, u, h, "x") for k, (u, h, _) in enumerate(pages)]
+    found = {r["page_id"]: r["main_text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string, main_text string").repartition(5)).collect()}
+
+    def brute(u, h):
+        """The paragraphs of the element of most text that fewer than half of the host's pages hold."""
+        host = [set(re.findall("<p>(.*?)</p>", x)) for v, x, _ in pages if v.split("/")[2] == u.split("/")[2]]
+        mine = re.findall("<p>(.*?)</p>", re.search("<div class='q3'>.*<div class='q4'>", h)[0])
+        return [t for t in mine if 2 * sum(t in s for s in host) < len(host)]
+
+    for k, (u, h, own) in enumerate(pages):
+        if "b.example" in u or "c.example" in u:
+            assert found[k] == "\n\n".join(own) == "\n\n".join(brute(u, h))
+            assert html_extraction.main_text(html_extraction.Page(h), None) != found[k]  # the template decides
+        elif h == copy[1]:
+            assert all(t in found[k] for t in own)
+
+
+def test_html_class_over_two_slots_is_no_template():
+    token = lambda path, text=None, s=1, pages=6: {"path": path, "text": text, "s1": s, "s2": s, "pages": pages, "total": pages, "chars": 10}
+    root = [token("/b", s=5, pages=9), token("/b/x", s=5, pages=9), token("/b/y", s=5, pages=9)]
+    straddling = [token("/b/x", 1), token("/b/y", 2)]
+    assert html_extraction.nested_classes(root + straddling) == [root]
+    nested = [token("/b/x/n"), token("/b/x/n", 3)]
+    assert html_extraction.nested_classes(root + nested) == [root, nested]
+    assert html_extraction.template(root + nested)[1] == [3]
+
+
 def test_html_names_around_and_inside_the_text():
     text = lambda body: html_extraction.main_text(html_extraction.Page(f"<html><body>{body}</body></html>"), None)
     prose = "<p>" + "A sentence of the text. " * 9 + "</p>"

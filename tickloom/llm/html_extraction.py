@@ -1,21 +1,26 @@
-"""HTML extraction by the paths that the pages of a host have in common.
+"""HTML extraction by template deduction over the pages of a host.
 
-A page's tokens are its elements, told apart by their paths. Grouped aggregation counts for each path of
-a host the pages it stands in, how often it does, and its text, so no host's pages meet in one task. A
-path with enough support is valid if it stands once in each of its pages. The deepest valid path that
-still has most of the host's text outside menus and other furniture is the main slot. Pages of a host too
-small for that use their own tree.
+A page's tokens are its elements, told apart by their paths, and its blocks of text, told apart by path and
+text. A token's occurrence vector says how often it stands in each page of its host. Grouped aggregation
+sums hashes of (page, count), so tokens have equal sums if they have equal vectors, and no host's pages
+meet in one task.
 
-This is less than template deduction: text blocks are no tokens, classes of equal occurrence vectors do
-not change which paths are valid, and fixed text that a host repeats inside the main slot stays, unless
-it is named as furniture.
+Tokens of one vector form an equivalence class. A class is valid if it has enough support, its tokens stand
+once in each of its pages, and it nests: all its tokens lie in one slot of the classes placed before it,
+which have more pages; the slots of a class are the insides of its elements. The valid classes are the
+host's template. Their blocks of text are the template's own and no data. What is left in the slots are
+the data, and the deepest slot with most of the host's data outside menus and other furniture is the main
+one. Pages of a host too small for that use their own tree, and so do pages without the main slot.
+
+A page of whose main slot the template's texts would take more than half is a copy of others, and its text
+is data.
 
 The main slot's blocks, without the furniture inside it, are the text: character references are
 decoded, white space inside a block becomes one space, blocks are trimmed and joined by an empty line.
 
 Defined results: null html and pages without text give an empty text; a null or odd url belongs to the
 host ""; repeated rows each get their row; an empty table gives an empty result; other columns stay as
-they are.
+they are, except ``main_text``, which is set.
 """
 
 from __future__ import annotations
@@ -30,12 +35,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import staged, text_of
+from tickloom.llm.common import staged, text_of, tidied, unused
 
-#: Template tables of at most so many hosts are sent to the tasks; larger ones are joined by shuffling.
-FEW_HOSTS = 20_000
-#: A token of the template stands in this share of a host's pages.
+#: Template tables of at most so many bytes are sent to the tasks; larger ones are joined by shuffling.
+FEW_BYTES = 8 << 20
+#: An element of the template stands in this share of a host's pages, a text of it in that one.
 SUPPORT = 0.3
+TEXT_SUPPORT = 0.5
 #: The main slot has this share of the host's text.
 SHARE = 0.6
 
@@ -248,43 +254,83 @@ class Page:
         return out
 
 
-def main_slot(tokens: list[dict]) -> str:
-    """The main slot's path from a host's supported tokens (path, s1, s2, pages, total, chars).
+def text_name(path: str, text: str) -> int:
+    """A 63-bit name of a block of text."""
+    return xxhash.xxh64_intdigest(f"{path}\n{text}") >> 1
+
 
-    A path is valid if it stands once in each of its pages. Among valid paths, from the outermost in,
-    the deepest that has the wanted share of the text is taken; an article or main element ends the search.
+def nested_classes(tokens: list[dict]) -> list[list[dict]]:
+    """The valid classes of a host's supported tokens (path, text, s1, s2, pages, total, chars), outer ones first.
+
+    ``text`` names a block of text and is null for an element.
+    """
+    classes: dict[tuple, list[dict]] = defaultdict(list)
+    for t in tokens:
+        if t["total"] == t["pages"]:  # what stands several times a page is an item of a list
+            classes[t["pages"], t["s1"], t["s2"]].append(t)
+    placed: list[list[dict]] = []
+    slots: set[str] = set()
+    for _, members in sorted(classes.items(), key=lambda c: (-c[0][0], min((t["path"].count("/"), t["path"]) for t in c[1]), c[0])):
+        inside = set()
+        for t in members:
+            above = t["path"] if t["text"] is not None else t["path"].rpartition("/")[0]
+            while above and above not in slots:
+                above = above.rpartition("/")[0]
+            inside.add(above)
+        if len(inside) == 1 or not placed:
+            placed.append(members)
+            slots.update(t["path"] for t in members if t["text"] is None)
+    return placed
+
+
+def template(tokens: list[dict]) -> tuple[str, list[int]]:
+    """The main slot's path, and the names of the texts that are a host's own.
+
+    Of the template's elements, from the outermost in, the deepest that has the wanted share of the data
+    is the main slot; an article or main element ends the search.
     """
-    valid = [t for t in tokens if t["total"] == t["pages"]]  # what stands several times a page is an item of a list
-    every = max((t["chars"] for t in tokens), default=0)
+    valid = [t for members in nested_classes(tokens) for t in members]
+    texts = [t for t in valid if t["text"] is not None]
+    data = {t["path"]: t["chars"] for t in tokens if t["text"] is None}
+    for t in texts:
+        path = t["path"]
+        while path:
+            data[path] = data.get(path, 0) - t["chars"]
+            path = path.rpartition("/")[0]
+    every = max(data.values(), default=0)
     best = ""
-    for t in sorted(valid, key=lambda t: (t["path"].count("/"), t["path"])):
-        inside = not best or t["path"].startswith(best + "/")
-        if inside and t["chars"] >= SHARE * every and every:
-            best = t["path"]
+    for path in sorted((t["path"] for t in valid if t["text"] is None), key=lambda p: (p.count("/"), p)):
+        inside = not best or path.startswith(best + "/")
+        if inside and data[path] >= SHARE * every and every > 0:
+            best = path
             if best.rpartition("/")[2].partition(".")[0] in MAIN:
                 break
-    return best
+    return best, sorted(t["text"] for t in texts)
 
 
 def _within(path: str, slot: str) -> bool:
     return not slot or path == slot or path.startswith(slot + "/")
 
 
-def main_text(page: Page, slot: str | None) -> str:
-    """The text of a page's main slot; without one of that path, of the one its own tree gives."""
+def main_text(page: Page, slot: str | None, fixed: frozenset[int] = frozenset()) -> str:
+    """The data in a page's main slot; without one of that path, of the one its own tree gives."""
     masses = page.masses()
     if slot is None or (slot and slot not in page.counts) or not masses.get(slot, 1 if not slot else 0):
-        every = [{"path": p, "s1": n, "s2": 0, "pages": 1, "total": n, "chars": masses.get(p, 0)} for p, n in page.counts.items()]
-        slot = main_slot(every)
+        own = [{"path": p, "text": None, "s1": n, "s2": 0, "pages": 1, "total": n, "chars": masses.get(p, 0)} for p, n in page.counts.items()]
+        slot, _ = template(own)
     articles = [p for p in page.counts if _within(p, slot) and p.rpartition("/")[2].partition(".")[0] in MAIN and masses.get(p, 0)]
     shortest = [p for p in articles if not any(q != p and _within(p, q) for q in articles)]
-    kept = []
+    kept, data = [], []
     for path, furniture, linked, text in page.blocks:
         if furniture or not _within(path, slot) or (shortest and not any(_within(path, a) for a in shortest)):
             continue
         if not shortest and linked >= len(text) and "/li" in path:  # a menu that nothing names
             continue
         kept.append(text)
+        if fixed and text_name(path, text) not in fixed:
+            data.append(text)
+    if fixed and 2 * sum(map(len, data)) >= sum(map(len, kept)):
+        kept = data
     return "\n\n".join(kept)
 
 
@@ -293,51 +339,74 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, slot): the main slot of every host of more than one page."""
+    """(host, slot, fixed): the main slot and the names of the template's texts of every host of more than one page."""
 
+    names = ("host", "path", "text", "s1", "s2", "pages", "total", "chars")
+
+    @tidied
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string()] * 2 + [pa.int64()] * 6
         for batch in batches:
-            sums: dict[tuple[str, str], list[int]] = {}
-            for host, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums: dict[tuple, list[int]] = {}
+            for host, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                body = body.as_py()
                 page = Page(text_of(body))
-                masses = page.masses()
-                key = xxhash.xxh64_intdigest(body)
-                for path, n in [("", 1), *page.counts.items()]:
-                    h = xxhash.xxh64_intdigest(key.to_bytes(8, "little") + n.to_bytes(4, "little"))
-                    row = sums.setdefault((host, path), [0] * 5)
-                    for i, x in enumerate((h & 0xFFFFFFFF, h >> 32, 1, n, masses.get(path, 0))):
+                key = xxhash.xxh64_intdigest(body).to_bytes(8, "little")
+                found: dict[tuple, list[int]] = {("", None): [1, 0]}
+                for path, chars in page.masses().items():
+                    found[path, None] = [0, chars]
+                for path, n in page.counts.items():
+                    found.setdefault((path, None), [0, 0])[0] = n
+                for path, furniture, linked, text in page.blocks:
+                    row = found.setdefault((path, text_name(path, text)), [0, 0])
+                    row[0] += 1
+                    row[1] += 0 if furniture else max(0, len(text) - linked)
+                for (path, text), (n, chars) in found.items():
+                    h = xxhash.xxh64_intdigest(key + n.to_bytes(4, "little"))
+                    row = sums.setdefault((host, path, text), [0] * 5)
+                    for i, x in enumerate((h & 0xFFFFFFFF, h >> 32, 1, n, chars)):
                         row[i] += x
-            columns = list(zip(*((*k, *v) for k, v in sums.items()), strict=True)) or [()] * 7
-            types = [pa.string()] * 2 + [pa.int64()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "path", "s1", "s2", "pages", "total", "chars"])
+            columns = list(zip(*((*k, *v) for k, v in sums.items()), strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     body = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = pages.select(host_of(F.col(url_col)).alias("host"), body.alias("body"))
-    schema = "host string, path string, s1 long, s2 long, pages long, total long, chars long"
-    found = rows.mapInArrow(tokens, schema).groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("s1", "s2", "pages", "total", "chars")))
-    found = staged(found, "tokens")
-    sizes = found.where("path = ''").select("host", F.col("pages").alias("of")).where("of > 1")
-    supported = found.where("path != ''").join(sizes, "host").where(F.col("pages") >= F.greatest(F.lit(2), SUPPORT * F.col("of")))
-    listed = supported.groupBy("host").agg(F.collect_list(F.struct("path", "s1", "s2", "pages", "total", "chars")).alias("tokens"))
-
-    @F.arrow_udf("string")
+    summed = ("s1", "s2", "pages", "total", "chars")
+    schema = "host string, path string, text long, " + ", ".join(f"{c} long" for c in summed)
+    found = rows.mapInArrow(tokens, schema).groupBy("host", "path", "text").agg(*(F.sum(c).alias(c) for c in summed))
+    found = staged(found.where("pages > 1"), "tokens")
+    sizes = found.where("path = '' and text is null").select("host", F.col("pages").alias("of"))
+    share = F.when(F.col("text").isNull(), SUPPORT).otherwise(TEXT_SUPPORT)
+    supported = found.where("path != ''").join(sizes, "host").where(F.col("pages") >= share * F.col("of"))
+    listed = supported.groupBy("host").agg(F.collect_list(F.struct("path", "text", *summed)).alias("tokens"))  # as many as a few pages have
+
+    @F.arrow_udf("struct<slot:string,fixed:array<bigint>>")
     def deduce(column: pa.Array) -> pa.Array:
-        return pa.array([main_slot(t) for t in column.to_pylist()], pa.string())
+        slots, fixed = zip(*map(template, column.to_pylist()), strict=True) if len(column) else ((), ())
+        return pa.StructArray.from_arrays([pa.array(slots, pa.string()), pa.array(fixed, pa.list_(pa.int64()))], ["slot", "fixed"])
 
-    return staged(listed.select("host", deduce("tokens").alias("slot")), "templates")
+    return staged(listed.select("host", deduce("tokens").alias("t")).select("host", "t.slot", "t.fixed"), "templates")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` with ``main_text``; all other columns and rows as they are."""
     found = templates(pages, url_col, html_col)
-    side = F.broadcast(found) if found.count() <= FEW_HOSTS else found
+    host, slot, fixed = (unused(n, pages) for n in ("host", "slot", "fixed"))
+    size = found.agg(F.sum(F.octet_length("host") + F.octet_length("slot") + 8 * F.size("fixed"))).first()[0] or 0
+    side = F.broadcast(found) if size <= FEW_BYTES else found
 
     @F.arrow_udf("string")
-    def text(bodies: pa.Array, slots: pa.Array) -> pa.Array:
-        pairs = zip(bodies.to_pylist(), slots.to_pylist(), strict=True)
-        return pa.array([main_text(Page(text_of(b)), s) for b, s in pairs], pa.string())
-
-    own = side.select(F.col("host").alias("__host"), F.col("slot").alias("__slot"))
-    joined = pages.join(own, host_of(F.col(url_col)) == F.col("__host"), "left")
+    @tidied
+    def text(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for bodies, slots, texts in columns:
+            out = []
+            for b, s, t in zip(bodies, slots.to_pylist(), texts, strict=True):
+                known = frozenset(t.values.to_pylist()) if t.is_valid and len(t) else frozenset()
+                out.append(main_text(Page(text_of(b.as_py())), s, known))
+            yield pa.array(out, pa.string())
+
+    own = side.select(F.col("host").alias(host), F.col("slot").alias(slot), F.col("fixed").alias(fixed))
+    joined = pages.join(own, host_of(F.col(url_col)) == F.col(host), "left")
     body = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
-    return joined.withColumn("main_text", text(body, F.col("__slot"))).drop("__host", "__slot")
+    kept = [c for c in pages.columns if c != "main_text"]
+    return joined.select(*kept, text(body, F.col(slot), F.col(fixed)).alias("main_text"))
