@@ -1,77 +1,102 @@
 """Recurrences over a symbol's rows in time.
 
-Each is one ``step(state, row)`` that batch and streaming share. In batch, ``run`` brings a symbol's rows
-together in order and streams them through the step in Arrow batches, so memory does not grow with a
-symbol's length; the symbols are the parallelism, as a recurrence has no other.
+Each works on blocks: arrays of consecutive rows of one symbol and a state that is carried from block to
+block. Batch and streaming share them. In batch, ``run`` brings a symbol's rows together in order, once for
+any number of operators, and streams them through in Arrow batches, so memory does not grow with a symbol's
+length; the symbols are the parallelism, as a recurrence has no other.
 """
 
 from __future__ import annotations
 
 import math
-from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from statistics import median
+from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 class Recurrence:
-    """A stateful operator: its inputs, its output schema, a first state and a step."""
+    """A stateful operator: its inputs, its output schema, a first state and its work on a block."""
 
     inputs: tuple[str, ...] = ()
     outputs: str = ""
 
+    @property
+    def names(self) -> list[str]:
+        return [o.split()[0] for o in self.outputs.split(", ")]
+
     def start(self) -> Any:
         raise NotImplementedError
 
-    def step(self, state: Any, *values: Any) -> tuple:
-        """The outputs for one row; the state is changed in place."""
+    def block(self, state: Any, *columns: np.ndarray) -> tuple:
+        """The output columns of consecutive rows; the state is changed in place."""
         raise NotImplementedError
 
 
-def run(df: DataFrame, op: Recurrence, key: str = "symbol", order: tuple[str, ...] = ("timestamp_ns", "seq")) -> DataFrame:
-    """``df`` with the outputs of a recurrence."""
+def apply(frame: pd.DataFrame, ops: tuple[Recurrence, ...], states: list) -> pd.DataFrame:
+    """A symbol's consecutive rows with the outputs of all operators, of which later ones see those of earlier ones."""
+    for op, state in zip(ops, states, strict=True):
+        found = op.block(state, *(frame[c].to_numpy() for c in op.inputs))
+        frame = frame.assign(**dict(zip(op.names, found, strict=True)))
+    return frame
+
+
+def run(df: DataFrame, *ops: Recurrence, key: str = "symbol", order: tuple[str, ...] = ("timestamp_ns", "seq")) -> DataFrame:
+    """``df`` with the outputs of recurrences, in one pass over each symbol's rows."""
     dealt = df.repartition(key).sortWithinPartitions(key, *order)
-    names = [o.split()[0] for o in op.outputs.split(", ")]
-    at = df.columns.index(key)
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = object(), None
+        current, states = object(), []
         for batch in batches:
-            columns = [batch[c].tolist() for c in op.inputs]
-            rows = []
-            for k, *values in zip(batch.iloc[:, at].tolist(), *columns, strict=True):
-                if k != current:
-                    current, state = k, op.start()
-                rows.append(op.step(state, *values))
-            yield batch.assign(**dict(zip(names, zip(*rows, strict=True), strict=True))) if rows else batch.assign(**{n: [] for n in names})
-
-    ddl = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", " + op.outputs
+            keys = batch[key].to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if a == b:
+                    continue
+                if keys[a] != current:
+                    current, states = keys[a], [op.start() for op in ops]
+                yield apply(batch.iloc[a:b], ops, states)
+
+    ddl = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), *(op.outputs for op in ops)])
     return dealt.mapInPandas(go, ddl)
 
 
 @dataclass
 class Ema(Recurrence):
-    """Exponential mean with weight 2 / (span + 1), from the first value on."""
+    """Exponential mean with weight 2 / (span + 1), from the first value on, by blocks of ``STEP`` rows."""
 
     column: str
     span: float
     name: str = "ema"
+    alpha: float | None = None
+
+    STEP = 64
 
     def __post_init__(self):
         self.inputs, self.outputs = (self.column,), f"{self.name} double"
-        self.alpha = 2 / (self.span + 1)
+        if self.alpha is None:
+            self.alpha = 2 / (self.span + 1)
 
     def start(self):
-        return [None]
-
-    def step(self, state, x):
-        state[0] = x if state[0] is None else self.alpha * x + (1 - self.alpha) * state[0]
-        return (state[0],)
+        return {}
+
+    def block(self, state, x):
+        keep, out = 1 - self.alpha, np.empty(len(x))
+        last = state.get("y", x[0])
+        powers = keep ** np.arange(self.STEP + 1)
+        lag = np.arange(self.STEP)[:, None] - np.arange(self.STEP)
+        weights = np.where(lag >= 0, self.alpha * powers[np.maximum(lag, 0)], 0.0)
+        for a in range(0, len(x), self.STEP):
+            part = x[a : a + self.STEP]
+            n = len(part)
+            out[a : a + n] = weights[:n, :n] @ part + powers[1 : n + 1] * last
+            last = out[a + n - 1]
+        state["y"] = last
+        return (out,)
 
 
 def ema_last(value: str, span: float, *order: str) -> Column:
@@ -91,45 +116,48 @@ class Kalman(Recurrence):
     outputs = "kf_price double, kf_velocity double"
 
     def start(self):
-        return {"x": None, "v": 0.0, "p": (1.0, 0.0, 1.0)}
-
-    def step(self, state, z, dt):
-        if state["x"] is None:
-            state["x"] = z
-            return z, 0.0
-        dt = max(dt, 1e-6)
-        a, b, c = state["p"]  # variance of price, covariance, variance of velocity
-        q = self.density
-        a, b, c = a + 2 * dt * b + dt * dt * c + q * dt**4 / 4, b + dt * c + q * dt**3 / 2, c + q * dt * dt
-        x, v = state["x"] + dt * state["v"], state["v"]
-        s = a + self.noise
-        k, g = a / s, b / s
-        miss = z - x
-        state["x"], state["v"] = x + k * miss, v + g * miss
-        m = 1 - k
-        state["p"] = (m * m * a + k * k * self.noise, m * (b - g * a) + k * g * self.noise, c - 2 * g * b + g * g * a + g * g * self.noise)
-        return state["x"], state["v"]
-
-
-@dataclass
-class _Drift:
-    base: float | None = None
-    up: float = 0.0
-    down: float = 0.0
-    square: float = 0.0
-    sizes: deque = field(default_factory=deque)
-    squares: deque = field(default_factory=deque)
-    count: int = 0
-    drift_limit: float = 1e-4
-    square_limit: float = 1e-8
+        return {"x": None}
+
+    def block(self, state, mid, gaps):
+        x, v, a, b, c = (state.get(k, d) for k, d in (("x", None), ("v", 0.0), ("a", 1.0), ("b", 0.0), ("c", 1.0)))
+        prices, velocities, r, q = [], [], self.noise, self.density
+        for z, dt in zip(mid.tolist(), np.maximum(gaps, 1e-6).tolist(), strict=True):
+            if x is None:
+                x = z
+            else:  # a, b, c: variance of price, covariance, variance of velocity
+                a, b, c = a + 2 * dt * b + dt * dt * c + q * dt**4 / 4, b + dt * c + q * dt**3 / 2, c + q * dt * dt
+                k, g = a / (a + r), b / (a + r)
+                miss = z - x - dt * v
+                x, v, m = x + dt * v + k * miss, v + g * miss, 1 - k
+                a, b, c = m * m * a + k * k * r, m * (b - g * a) + k * g * r, c - 2 * g * b + g * g * a + g * g * r
+            prices.append(x)
+            velocities.append(v)
+        state.update(x=x, v=v, a=a, b=b, c=c)
+        return np.array(prices), np.array(velocities)
+
+
+def _running(values: np.ndarray, begin: float) -> np.ndarray:
+    """``s = max(0, s + value)`` from ``begin`` on: a sum less its lowest point so far, if that was below zero."""
+    sums = np.cumsum(values) + begin
+    return sums - np.minimum(np.minimum.accumulate(sums), 0.0)
+
+
+def _medians(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Median and median absolute deviation by row; NaN is no value."""
+    middle = np.nanmedian(values, axis=1)
+    return middle, np.nanmedian(np.abs(values - middle[:, None]), axis=1)
 
 
 @dataclass
 class Cusum(Recurrence):
     """Change points of a value's deviations from its exponential mean: 1 up, -1 down, 2 of variance.
 
-    Limits are median plus three median absolute deviations of the last ``window`` deviations, renewed
-    every tenth of a window; only what fired starts again. The mean moves after the test.
+    Three sums bounded by zero run over the deviations, their negatives, and their squares less the mean
+    square of the ``window`` before. A sum that reaches its limit is an event and starts again; one event a
+    row, in that order. A limit is the median plus three median absolute deviations of the last
+    ``window`` sizes (or squares), renewed at the tenth deviation and every tenth of a window. The
+    mean moves after the test, so deviations do not depend on events: they, the mean squares and the
+    limits come first, as arrays, and sums then run from event to event.
     """
 
     column: str = "mid"
@@ -139,51 +167,81 @@ class Cusum(Recurrence):
 
     def __post_init__(self):
         self.inputs = (self.column,)
+        self.mean = Ema(self.column, 0, alpha=self.alpha)
 
     def start(self):
-        return _Drift()
-
-    @staticmethod
-    def _limit(values: deque) -> float:
-        if len(values) < 10:
-            return 1e-4
-        middle = median(values)
-        spread = median(abs(v - middle) for v in values)
-        return max(middle + 3 * (spread if spread >= 1e-8 else 1e-6), 1e-6)
-
-    def step(self, s, x):
-        if s.base is None:
-            s.base = x
-            return 0, 0.0, 0.0
-        d = x - s.base
-        s.up, s.down = max(0.0, s.up + d), min(0.0, s.down + d)
-        usual = math.fsum(s.squares) / len(s.squares) if s.squares else 0.0
-        s.square = max(0.0, s.square + d * d - usual)
-        for kept, v in ((s.sizes, abs(d)), (s.squares, d * d)):
-            kept.append(v)
-            if len(kept) > self.window:
-                kept.popleft()
-        s.count += 1
-        if s.count % max(1, self.window // 10) == 0 or s.count == 10:
-            s.drift_limit, s.square_limit = self._limit(s.sizes), self._limit(s.squares)
-        floor = abs(s.base) * 1e-4 if abs(s.base) > 1e-8 else 0.0
-        drift, square = max(s.drift_limit, floor), max(s.square_limit, floor * floor)
-        event = 0
-        if s.up >= drift:
-            event, s.up = 1, 0.0
-        elif s.down <= -drift:
-            event, s.down = -1, 0.0
-        elif s.square >= square:
-            event, s.square = 2, 0.0
-        s.base = self.alpha * x + (1 - self.alpha) * s.base
-        return event, s.up, s.down
+        return {"mean": self.mean.start(), "n": 0, "sizes": np.zeros(0), "limits": (1e-4, 1e-8), "sums": (0.0, 0.0, 0.0)}
+
+    def _limits(self, past: np.ndarray, begin: int, fresh: int, held: tuple[float, float]) -> np.ndarray:
+        """Both limits after each of ``fresh`` deviations, the first of which has the number ``begin``; ``past`` ends with them."""
+        numbers = np.arange(begin, begin + fresh)
+        renewed = np.flatnonzero((numbers % max(1, self.window // 10) == 0) | (numbers == 10))
+        out = np.empty((fresh, 2))
+        out[:] = held
+        if len(renewed):
+            padded = np.concatenate([np.full(self.window, np.nan), past])
+            ends = len(padded) - fresh + renewed + 1
+            last = padded[ends[:, None] - np.arange(self.window, 0, -1)]
+            found = []
+            for values in (last, last**2):
+                middle, spread = _medians(values)
+                limit = np.maximum(middle + 3 * np.where(spread < 1e-8, 1e-6, spread), 1e-6)
+                found.append(np.where(numbers[renewed] < 10, 1e-4, limit))
+            at = np.searchsorted(renewed, np.arange(fresh), "right") - 1
+            known = at >= 0
+            out[known] = np.stack(found, axis=1)[at[known]]
+        return out
+
+    def block(self, state, x):
+        first = state["n"] == 0
+        before = x[0] if first else state["mean"]["y"]
+        (means,) = self.mean.block(state["mean"], x)
+        base = np.concatenate(([before], means[:-1]))
+        if first:  # the first row only sets the mean
+            x, base = x[1:], base[1:]
+        d = x - base
+        n, window, past = len(d), self.window, np.concatenate([state["sizes"], np.abs(x - base)])
+        event, up, down = np.zeros(n, np.int32), np.zeros(n), np.zeros(n)
+        if n:
+            squares = np.concatenate(([0.0], np.cumsum(past**2)))
+            ends = np.arange(len(past) - n, len(past))
+            begins = np.maximum(0, ends - window)
+            usual = (squares[ends] - squares[begins]) / np.maximum(1, ends - begins)
+            limits = self._limits(past, max(1, state["n"]), n, state["limits"])
+            floor = np.where(np.abs(base) > 1e-8, np.abs(base) * 1e-4, 0.0)
+            drift, square = np.maximum(limits[:, 0], floor), np.maximum(limits[:, 1], floor**2)
+            moves = (d, -d, d * d - usual)
+            bounds = (drift, drift, square)
+            sums, at, width = list(state["sums"]), 0, 32
+            while at < n:
+                end = min(n, at + width)
+                paths = [_running(m[at:end], s) for m, s in zip(moves, sums, strict=True)]
+                over = [p >= b[at:end] for p, b in zip(paths, bounds, strict=True)]
+                hit = np.flatnonzero(over[0] | over[1] | over[2])
+                width = 32 if len(hit) else 2 * width
+                stop = int(hit[0]) + 1 if len(hit) else end - at
+                up[at : at + stop], down[at : at + stop] = paths[0][:stop], -paths[1][:stop]
+                sums = [float(p[stop - 1]) for p in paths]
+                at += stop
+                if len(hit):
+                    which = next(k for k in range(3) if over[k][stop - 1])
+                    sums[which] = 0.0
+                    event[at - 1] = (1, -1, 2)[which]
+                    up[at - 1], down[at - 1] = sums[0], -sums[1]
+            state.update(limits=tuple(limits[-1]), sums=tuple(sums))
+        state["sizes"] = past[-window:]
+        state["n"] = max(1, state["n"]) + n
+        if first:
+            event, up, down = (np.concatenate(([0], v)).astype(v.dtype) for v in (event, up, down))
+        return event, up, down + 0.0
 
 
 @dataclass
 class DailyGuard(Recurrence):
     """Whether trading is allowed, given the equity: a day's profit lock, its drawdown and the total one halt it.
 
-    A new day begins anew, also after a halt for the total drawdown, unless ``sticky``.
+    A new day begins anew with the equity at which the last one stood or was halted, also after a halt for
+    the total drawdown, unless ``sticky``. A day is one step: its first breach halts the rest of it.
     """
 
     initial: float = 5000.0
@@ -195,24 +253,49 @@ class DailyGuard(Recurrence):
     outputs = "allowed boolean, halt_reason string"
 
     def start(self):
-        return {"day": None, "day_start": self.initial, "equity": self.initial, "halt": ""}
-
-    def step(self, s, equity, day):
-        if day != s["day"]:
-            if s["day"] is not None:
-                s["day_start"] = s["equity"]
-                if not (self.sticky and s["halt"] == "total"):
-                    s["halt"] = ""
-            s["day"] = day
-        if not s["halt"]:
-            s["equity"] = equity
-            if equity >= s["day_start"] * (1 + self.lock):
-                s["halt"] = "profit"
-            elif s["day_start"] - equity >= self.daily_limit:
-                s["halt"] = "daily"
-            elif self.initial - equity >= self.total_limit:
-                s["halt"] = "total"
-        return not s["halt"], s["halt"] or None
+        return {"day": None, "from": self.initial, "equity": self.initial, "halt": None}
+
+    def breaches(self, begin: float, equity: np.ndarray) -> dict[str, np.ndarray]:
+        """What halts trading, in the order in which it is looked at."""
+        return {"profit": equity >= begin * (1 + self.lock), "daily": begin - equity >= self.daily_limit, "total": self.initial - equity >= self.total_limit}
+
+    def lifted(self, reason: str) -> bool:
+        """Whether the next day lifts a halt."""
+        return not (self.sticky and reason == "total")
+
+    def block(self, state, equity, day):
+        reasons = np.empty(len(equity), object)
+        cuts = np.flatnonzero(day[1:] != day[:-1]) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(day)], strict=True):
+            if day[a] != state["day"]:
+                if state["day"] is not None:
+                    state["from"] = state["equity"]
+                    state["halt"] = None if state["halt"] is None or self.lifted(state["halt"]) else state["halt"]
+                state["day"] = day[a]
+            begin = a
+            if state["halt"] is None:
+                found = self.breaches(state["from"], equity[a:b])
+                hit = np.flatnonzero(np.any(list(found.values()), axis=0))
+                begin = a + int(hit[0]) if len(hit) else b
+                state["equity"] = float(equity[min(begin, b - 1)])
+                if len(hit):
+                    state["halt"] = next(r for r, m in found.items() if m[hit[0]])
+            reasons[begin:b] = state["halt"]
+        return np.array([r is None for r in reasons], bool), reasons
+
+
+@dataclass
+class PropGuard(DailyGuard):
+    """A ``DailyGuard`` with a firm's own limits of a day's and the total fall behind its own; any halt is for good."""
+
+    firm_daily: float = 250.0
+    firm_total: float = 500.0
+
+    def breaches(self, begin, equity):
+        return super().breaches(begin, equity) | {"firm_daily": begin - equity >= self.firm_daily, "firm_total": self.initial - equity >= self.firm_total}
+
+    def lifted(self, reason):
+        return False
 
 
 @dataclass
@@ -225,41 +308,88 @@ class Gae(Recurrence):
     outputs = "advantage double"
 
     def start(self):
-        return [0.0, 0.0]
+        return {"next": 0.0, "gain": 0.0}
 
-    def step(self, s, reward, value, dt):
+    def block(self, state, reward, value, dt):
         g = self.gamma**dt
-        s[0] = reward + g * s[1] - value + g * self.decay * s[0]
-        s[1] = value
-        return (s[0],)
-
-
-def hmm_forward(initial, transition, log_emission):
-    """Filtered state probabilities of a hidden Markov chain; transitions may differ by step."""
-    import numpy as np
-
-    alpha = np.log(initial) + log_emission[0]
-    out = []
-    for t, e in enumerate(log_emission):
-        if t:
-            a = np.log(transition[t] if np.ndim(transition) == 3 else transition)
-            m = alpha.max()
-            alpha = np.log(np.exp(alpha - m) @ np.exp(a)) + m + e
-        p = np.exp(alpha - alpha.max())
-        out.append(p / p.sum())
-    return np.array(out)
-
-
-def viterbi(initial, transition, log_emission):
-    """The likeliest path of states."""
-    import numpy as np
-
-    score, back = np.log(initial) + log_emission[0], []
-    for t in range(1, len(log_emission)):
-        step = score[:, None] + np.log(transition[t] if np.ndim(transition) == 3 else transition)
-        back.append(step.argmax(axis=0))
-        score = step.max(axis=0) + log_emission[t]
-    path = [int(score.argmax())]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    return np.array(path[::-1])
+        surprise = reward + g * np.concatenate(([state["next"]], value[:-1])) - value
+        gain, out = state["gain"], []
+        for s, w in zip(surprise.tolist(), (g * self.decay).tolist(), strict=True):
+            gain = s + w * gain
+            out.append(gain)
+        state.update(next=float(value[-1]), gain=gain)
+        return (np.array(out),)
+
+
+def normalised_advantages(df: DataFrame, by: str = "symbol") -> DataFrame:
+    """``df`` with ``advantage`` less its mean, over its sample deviation, by group."""
+    stats = df.groupBy(by).agg(F.avg("advantage").alias("__m"), F.stddev_samp("advantage").alias("__s"))
+    return df.join(stats, by).withColumn("advantage", (F.col("advantage") - F.col("__m")) / (F.col("__s") + 1e-8)).drop("__m", "__s")
+
+
+@dataclass
+class HmmFilter(Recurrence):
+    """Filtered probabilities of the states of a hidden Markov chain with normal emissions of one column.
+
+    A row's transition matrix is softened by ``drift`` times the column ``driver``, where one is named:
+    states are then left more readily (positive) or less.
+    """
+
+    column: str
+    means: tuple[float, ...]
+    stds: tuple[float, ...]
+    stay: float = 0.95
+    driver: str | None = None
+    drift: float = 1.0
+
+    def __post_init__(self):
+        self.inputs = (self.column,) + ((self.driver,) if self.driver else ())
+        self.outputs = ", ".join(f"p_{k} double" for k in range(len(self.means)))
+
+    def start(self):
+        return {"p": None}
+
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        m, s = np.array(self.means), np.array(self.stds)
+        return -0.5 * ((x[:, None] - m) / s) ** 2 - np.log(s)
+
+    def leaving(self, n: int, driver: np.ndarray | None) -> np.ndarray:
+        """The chance that a state is left, by row."""
+        odds = math.log((1 - self.stay) / self.stay) + (self.drift * driver if driver is not None else np.zeros(n))
+        return 1 / (1 + np.exp(-odds))
+
+    def block(self, state, x, *driver):
+        k = len(self.means)
+        logs = self.emissions(x)
+        scores = np.exp(logs - logs.max(axis=1, keepdims=True))
+        out, p = np.empty((len(x), k)), state["p"]
+        for i, leave in enumerate(self.leaving(len(x), driver[0] if driver else None).tolist()):
+            prior = np.full(k, 1 / k) if p is None else p * (1 - leave) + (1 - p) * leave / (k - 1)
+            p = prior * scores[i]
+            p = out[i] = p / p.sum()
+        state["p"] = p
+        return tuple(out.T)
+
+
+def viterbi(df: DataFrame, model: HmmFilter, by: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("timestamp_ns", "seq")) -> DataFrame:
+    """``df`` with ``state``, the likeliest path of states of each group; a path needs its whole sequence, so group by day or session."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", state int"
+    k = len(model.means)
+
+    def decode(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(list(order))
+        logs = model.emissions(frame[model.column].to_numpy())
+        leave = model.leaving(len(frame), frame[model.driver].to_numpy() if model.driver else None)
+        score, back = logs[0] - math.log(k), np.zeros((len(frame), k), int)
+        for i in range(1, len(frame)):
+            step = np.where(np.eye(k, dtype=bool), np.log1p(-leave[i]), np.log(leave[i] / (k - 1)))
+            ways = score[:, None] + step
+            back[i] = ways.argmax(axis=0)
+            score = ways.max(axis=0) + logs[i]
+        path = np.empty(len(frame), np.int32)
+        path[-1] = score.argmax()
+        for i in range(len(frame) - 1, 0, -1):
+            path[i - 1] = back[i, path[i]]
+        return frame.assign(state=path)
+
+    return df.groupBy(*by).applyInPandas(decode, schema)
