@@ -115,6 +115,29 @@ def liquidity_surge() -> Column:
     return clip(_mean("volume", 12) / F.greatest(_mean("volume", 288), F.lit(1e-10)), 0, 10)
 
 
+def ofi_normalised(n: int = 60) -> Column:
+    """Of columns ``flow`` and ``volume``: flow over its largest size among the last bars; the direction of the bar without volume."""
+    raw = F.when(C("volume") > 0, C("flow")).otherwise(F.signum(C("close") - C("open")))
+    return raw / F.greatest(F.max(F.abs(raw)).over(last_bars(n)), F.lit(1e-10))
+
+
+def floored(name: str, n: int = 50) -> Column:
+    """A column, at least its median over the last bars."""
+    return F.greatest(C(name), F.percentile(name, 0.5).over(last_bars(n)))
+
+
+def lagged(name: str) -> Column:
+    """The column's last known value up to the bar before, 0 at first."""
+    from pyspark.sql import Window
+
+    return F.coalesce(F.last(name, ignorenulls=True).over(by_bar().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+
+
+def extremes(name: str, n: int) -> dict[str, Column]:
+    w = last_bars(n)
+    return {"highest": F.max(name).over(w), "lowest": F.min(name).over(w), "middle": F.percentile(name, 0.5).over(w)}
+
+
 def cumulative_delta() -> Column:
     from pyspark.sql import Window
 

@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def draw(*parts: Column) -> Column:
+    """A number from 0 to 2**32 - 1 from a digest of the parts; any engine that knows MD5 draws the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
+
+
 def safe_divide(a: Column, b: Column, eps: float = 1e-8) -> Column:
     return a / (b + eps)
 

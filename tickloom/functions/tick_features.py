@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from tickloom.sources.ticks import by_symbol, last_rows, next_rows, so_far
 
 
 def log_return(price: str = "mid", step: int = 1) -> Column:
+    """Null for the first rows, which have nothing before them."""
     before = F.lag(price, step).over(by_symbol())
-    return F.ln(F.col(price) / F.greatest(before, F.lit(1e-12)))
+    return F.when(before.isNotNull(), F.ln(F.col(price) / F.greatest(before, F.lit(1e-12))))
 
 
 def imbalance(window: int = 500) -> dict[str, Column]:
@@ -81,8 +84,6 @@ def forward_return(stride: int, price: str = "mid") -> Column:
 
 def wavelet_kernels(scales: int = 32) -> list[list[float]]:
     """Half Morlet kernels, of unit length and rounded to single precision; the last weight is for the newest value."""
-    import numpy as np
-
     out = []
     for i in range(1, scales + 1):
         s = 2 ** (3 * i / scales)
@@ -134,3 +135,82 @@ def vector_history(vector: str, n: int = 10) -> Column:
 def forward_window(name: str, first: int, last: int) -> Column:
     return F.collect_list(name).over(next_rows(first, last))
 
+
+
+# Features over long frames: a chunk of a symbol's rows and the frame before it, in numpy.
+
+
+def _sums(x: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the last ``n`` values; NaN counts as 0."""
+    total = np.concatenate(([0.0], np.cumsum(np.nan_to_num(x))))
+    at = np.arange(1, len(total))
+    return total[at] - total[np.maximum(0, at - n)]
+
+
+def rolling_mean(x: np.ndarray, n: int) -> np.ndarray:
+    """Means of the last ``n`` values that are not NaN."""
+    with np.errstate(invalid="ignore"):
+        return _sums(x, n) / _sums((~np.isnan(x)).astype(float), n)
+
+
+def rolling_variance(x: np.ndarray, n: int) -> np.ndarray:
+    """Population variances; the chunk's own mean is taken off first, so that squares stay small."""
+    x = x - np.nanmean(x) if not np.isnan(x).all() else x
+    return np.maximum(rolling_mean(x * x, n) - rolling_mean(x, n) ** 2, 0.0)
+
+
+def rolling_quantile(x: np.ndarray, n: int, q: float, step: int = 2048) -> np.ndarray:
+    """Interpolated quantiles of the last ``n`` values, by sorting every frame; shorter frames at the start."""
+    out = np.empty(len(x))
+    for i in range(min(n - 1, len(x))):
+        out[i] = np.quantile(x[: i + 1], q)
+    if len(x) >= n:
+        frames = np.lib.stride_tricks.sliding_window_view(x, n)
+        at = q * (n - 1)
+        low = int(at)
+        for a in range(0, len(frames), step):
+            part = np.partition(frames[a : a + step], (low, min(low + 1, n - 1)), axis=1)
+            out[n - 1 + a : n - 1 + a + len(part)] = part[:, low] + (at - low) * (part[:, min(low + 1, n - 1)] - part[:, low])
+    return out
+
+
+def chunk_imbalance(f: pd.DataFrame, window: int = 500) -> dict[str, np.ndarray]:
+    s = f["sign"].to_numpy(float)
+    return {
+        "tib": np.rint(_sums(s, window)).astype(np.int64), "cib": rolling_mean(s, window),
+        "up_share": rolling_mean((s == 1).astype(float), window), "down_share": rolling_mean((s == -1).astype(float), window),
+    }
+
+
+def chunk_volatility_ratio(f: pd.DataFrame, short: int = 5, long: int = 512) -> dict[str, np.ndarray]:
+    x = f["log_return"].to_numpy(float)
+    a, b = rolling_variance(x, short), rolling_variance(x, long - 1)
+    return {"vol_ratio": np.clip(np.log((a + 1e-12) / (b + 1e-12)), -5, 5)}
+
+
+def chunk_realised_variance(f: pd.DataFrame, window: int = 1001) -> dict[str, np.ndarray]:
+    return {"variance": rolling_variance(f["log_return"].to_numpy(float), window - 1)}
+
+
+def chunk_spread_features(f: pd.DataFrame, window: int = 512) -> dict[str, np.ndarray]:
+    s = f["spread"].to_numpy(float)
+    mean, std = rolling_mean(s, window), np.sqrt(rolling_variance(s, window))
+    return {
+        "spread_z": np.clip((s - (mean + 1e-8)) / (std + 1e-8), -5, 5),
+        "spread_ratio": np.clip(rolling_mean(s, 10) / (mean + 1e-8), 0, 10),
+        "spread_spike": np.clip(s / (rolling_quantile(s, window, 0.95) + 1e-8), 0, 10),
+    }
+
+
+def chunk_wavelet_energy(f: pd.DataFrame, scales: int = 32) -> np.ndarray:
+    """Shares of energy by row and scale, of the last ``delta_t`` values; before a symbol's first value that stands for all."""
+    kernels = wavelet_kernels(scales)
+    taps = max(map(len, kernels))
+    x = np.log1p(np.clip(f["delta_t"].to_numpy(float), 0, 1e6))
+    frames = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(taps - 1, x[0]), x]), taps)
+    table = np.zeros((taps, scales))
+    for i, k in enumerate(kernels):
+        table[taps - len(k) :, i] = k
+    energy = (frames @ table) ** 2
+    total = energy.sum(axis=1, keepdims=True)
+    return np.where(total > 1e-8, energy / np.where(total > 1e-8, total, 1), energy)

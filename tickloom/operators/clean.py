@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.scalar import draw
 from tickloom.sources.ticks import by_symbol
 
 
@@ -112,7 +113,9 @@ def forward_fill(name: str) -> Column:
 
 
 def backward_fill(name: str) -> Column:
-    return F.first(name, ignorenulls=True).over(by_symbol().rowsBetween(0, Window.unboundedFollowing))
+    """The next value that is not null; rows in descending order, so that the frame only grows."""
+    back = Window.partitionBy("symbol").orderBy(F.desc("timestamp_ns"), F.desc("seq"))
+    return F.last(name, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def every_nth(df: DataFrame, stride: int, first: int = 0) -> DataFrame:
@@ -122,8 +125,8 @@ def every_nth(df: DataFrame, stride: int, first: int = 0) -> DataFrame:
 
 
 def stable_sample(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
-    """``n`` rows without replacement by the hash of their key, so a rerun gives the same ones; in order of the key."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n).orderBy(*key)
+    """``n`` rows without replacement by the digest of their key, so a rerun gives the same ones; in order of the key."""
+    return df.orderBy(draw(*(F.col(k) for k in key), F.lit(seed)), *key).limit(n).orderBy(*key)
 
 
 def complete_rows(df: DataFrame, *columns: str) -> DataFrame:

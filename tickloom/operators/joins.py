@@ -35,3 +35,30 @@ def latest(df: DataFrame, n: int, by: str = "symbol", order: tuple[str, ...] = (
     """The last ``n`` rows of each group; Spark cuts groups before it shuffles them."""
     w = Window.partitionBy(by).orderBy(*(F.desc(c) for c in order))
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+
+
+def kept(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """Rows whose key is in a set."""
+    return df.join(keys, list(on), "left_semi")
+
+
+def excluded(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """Rows whose key is not in a set."""
+    return df.join(keys, list(on), "left_anti")
+
+
+def stacked(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """All rows of tables with the same columns, in any order of columns."""
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
+def beside(a: DataFrame, b: DataFrame, *on: str) -> DataFrame:
+    """The columns of two tables beside each other, by key and never by place."""
+    return a.join(b, list(on))
+
+
+def oldest(df: DataFrame, by: str = "symbol", order: tuple[str, ...] = ("timestamp_ns", "seq")) -> DataFrame:
+    """The first row of each group, which a bounded buffer drops first."""
+    return df.groupBy(by).agg(F.min_by(F.struct(*(c for c in df.columns if c != by)), F.struct(*order)).alias("r")).select(by, "r.*")

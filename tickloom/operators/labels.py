@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.bars import by_bar
@@ -35,6 +35,28 @@ def bar_barrier(bars: DataFrame, atr: str, take: float = 2.0, stop: float = 1.0,
     return marked.withColumn("target", target).drop("__ahead", "__up", "__down")
 
 
+def exact_returns(bars: DataFrame, atr: str, take: float = 2.0, stop: float = 1.0, horizon: int = 24, leverage: float = 10.0, margin: float = 0.005, funding: float = 1e-4, pip: float = 1e-4) -> DataFrame:
+    """Adds ``trade_return`` of a long position opened at each bar's close, after costs and with leverage.
+
+    The take level is tested before the stop, which is not below the liquidation price; at that everything
+    is lost. Costs are spread, slippage that grows with the range, and commission; funding is paid every
+    eight bars. Without an exit the position ends at the last close of the window.
+    """
+    ahead = F.collect_list(F.struct("high", "low", "close")).over(by_bar().rowsBetween(1, horizon))
+    c = F.col("close")
+    dead = c * (1 - 1 / leverage + margin)
+    marked = bars.withColumns({"__ahead": ahead, "__up": c + take * F.col(atr), "__dead": dead, "__down": F.greatest(c - stop * F.col(atr), dead)})
+    out = lambda b: (b["high"] >= F.col("__up")) | (b["low"] <= F.col("__down"))
+    at = F.array_min(F.transform("__ahead", lambda b, i: F.when(out(b), i)))
+    hit = F.get("__ahead", at)
+    end = F.coalesce(F.get("__ahead", F.size("__ahead") - 1)["close"], c)
+    price = F.when(at.isNull(), end).when(hit["high"] >= F.col("__up"), F.col("__up")).otherwise(F.col("__down"))
+    gain = F.when(at.isNotNull() & (hit["high"] < F.col("__up")) & (hit["low"] <= F.col("__dead")), -1.0).otherwise((price - c) / c)
+    held = F.coalesce(at + 1, F.size("__ahead"))
+    cost = (1.5 + 0.1 * 0.1 * F.col(atr)) * pip + 5.0 / 100_000
+    return marked.withColumn("trade_return", leverage * (gain - cost / c - F.floor(held / 8) * funding)).drop("__ahead", "__up", "__dead", "__down")
+
+
 def toxicity(df: DataFrame, price: str = "price", forward: int = 100, stride: int = 50, equity: float = 5000.0, limit: float = 125.0) -> DataFrame:
     """(symbol, timestamp_ns, label, price) of every stride-th row: 1 toxic, 0 clean; others are left out.
 
@@ -42,10 +64,15 @@ def toxicity(df: DataFrame, price: str = "price", forward: int = 100, stride: in
     1.5 times its mean over the last 50 windows; clean if the ratio is positive and the price is within
     three deviations of the window's mean.
     """
+    # a window starts at a multiple of the stride, so a row goes to the few windows that hold it, and no other window is made
     row = F.row_number().over(by_symbol()) - 1
-    window = F.collect_list(price).over(next_rows(0, forward - 1))
-    taken = df.select("symbol", "timestamp_ns", "seq", F.col(price).alias("price"), row.alias("row"), window.alias("w"))
-    taken = taken.where((F.col("row") % stride == 0) & (F.size("w") == forward))
+    rows = df.select("symbol", "timestamp_ns", "seq", F.col(price).alias("price"), row.alias("row"))
+    first = F.greatest(F.ceil((F.col("row") - forward + 1) / stride), F.lit(0)).cast("long")
+    spread_out = rows.withColumn("k", F.explode(F.sequence(first, F.floor(F.col("row") / stride).cast("long"))))
+    item = F.struct("row", "price", "timestamp_ns", "seq")
+    taken = spread_out.groupBy("symbol", "k").agg(F.array_sort(F.collect_list(item)).alias("items")).where(F.size("items") == forward)
+    head = F.get("items", F.lit(0))
+    taken = taken.select("symbol", head["timestamp_ns"].alias("timestamp_ns"), head["seq"].alias("seq"), head["price"].alias("price"), F.transform("items", lambda x: x["price"]).alias("w"))
     logs = F.transform("w", lambda x: F.ln(F.greatest(x, F.lit(1e-12))))
     taken = taken.withColumn("r", F.zip_with(F.slice(logs, 2, forward - 1), F.slice(logs, 1, forward - 1), lambda a, b: a - b))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
@@ -100,6 +127,12 @@ def risk_window(df: DataFrame, returns: str, skip: int = 10, length: int = 100,
     return ahead.withColumn("risky", (F.aggregate("__path", begin, fall)["dd"] * equity > limit).cast("int")).drop("__path")
 
 
+def learned_bins(df: DataFrame, x: str, train: Column, bins: int = 4) -> list[float]:
+    """Bounds between equal shares of a column's training rows, for ``scalar.bucket`` on any rows."""
+    at = [k / bins for k in range(1, bins)]
+    return df.where(train).agg(F.percentile(x, F.array(*map(F.lit, at))).alias("b")).first()["b"]
+
+
 def meta_targets(df: DataFrame, target: str, prediction: str, regime: str, regimes: list[str]) -> DataFrame:
     """Adds the residual of a prediction and fixed one-hot columns of a regime."""
     from tickloom.functions.scalar import one_hot

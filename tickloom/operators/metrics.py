@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.scalar import normal_cdf
+
 INF = float("inf")
 
 
@@ -115,16 +117,27 @@ def ranks(df: DataFrame, by: str, x: str) -> Column:
     return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(by, x)) - 1) / 2.0
 
 
-def rank_correlation(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    ranked = df.withColumns({"__x": ranks(df, by, x), "__y": ranks(df, by, y)})
-    return ranked.groupBy(by).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("ic"))
+def rank_correlation(df: DataFrame, by: str, x: str, y: str, least: int = 100) -> DataFrame:
+    """(by, n, ic, p): correlation of ranks and its two-sided normal p-value; 0 and 1 up to ``least`` rows."""
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+    ranked = known.withColumns({"__x": ranks(known, by, x), "__y": ranks(known, by, y)})
+    found = ranked.groupBy(by).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("ic"))
+    z = F.abs("ic") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("ic") * F.col("ic"), F.lit(1e-12)))
+    enough = F.col("n") > least
+    return found.withColumn("p", F.when(enough, 2 * (1 - normal_cdf(z))).otherwise(1.0)).withColumn("ic", F.when(enough, F.col("ic")).otherwise(0.0))
 
 
-def buy_and_hold(df: DataFrame, by: str, order: list[str], close: str) -> DataFrame:
-    at = F.struct(*order)
-    peak = F.max(close).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    fallen = df.withColumn("__fall", F.col(close) / peak - 1)
-    return fallen.groupBy(by).agg((F.max_by(close, at) / F.min_by(close, at) - 1).alias("total_return"), F.min("__fall").alias("max_drawdown"))
+def buy_and_hold(df: DataFrame, by: str, order: list[str], close: str, periods: float = 252) -> DataFrame:
+    """Return, growth a year, largest fall over the highest price, and Sharpe ratio of holding each asset."""
+    at, w = F.struct(*order), Window.partitionBy(by).orderBy(*order)
+    peak = F.max(close).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    moved = df.withColumns({"__fall": F.col(close) - peak, "__ret": F.col(close) / F.lag(close).over(w) - 1})
+    total = F.max_by(close, at) / F.min_by(close, at) - 1
+    years = F.greatest(F.count("*") / periods, F.lit(0.1))
+    return moved.groupBy(by).agg(
+        total.alias("total_return"), (F.pow(1 + total, 1 / years) - 1).alias("cagr"), (F.min("__fall") / F.max(close)).alias("max_drawdown"),
+        (F.avg("__ret") / (F.stddev_pop("__ret") + 1e-10) * math.sqrt(periods)).alias("sharpe"),
+    )
 
 
 def inverse_volatility(df: DataFrame, by: str, at: str, returns: str, window: int = 20) -> DataFrame:
@@ -137,10 +150,99 @@ def inverse_volatility(df: DataFrame, by: str, at: str, returns: str, window: in
 
 
 def leaderboard(df: DataFrame, score: str, shape: list[str], n: int = 10, least: float = 0.95, exempt: int = 3) -> DataFrame:
-    """The ``n`` best scores above a limit; from the fourth on, only the best of each shape."""
+    """The ``n`` best scores above a limit; after the ``exempt`` best ones, only the best of each shape.
+
+    The best of each shape and the exempt ones are taken first, each by a top list, so none is lost to a shape of many rows.
+    """
     good = df.where(F.col(score) > least)
-    best = Window.partitionBy(*shape).orderBy(F.desc(score), *df.columns)
-    first = good.withColumn("__of_shape", F.row_number().over(best)).orderBy(F.desc(score), *df.columns).limit((n + exempt) * (n + exempt))
-    placed = first.withColumn("__place", F.row_number().over(Window.orderBy(F.desc(score), *df.columns)))  # a bounded number of rows
-    kept = placed.where((F.col("__place") <= exempt) | (F.col("__of_shape") == 1))
-    return kept.orderBy("__place").limit(n).drop("__of_shape", "__place")
+    order = [F.desc(score), *df.columns]
+    top = good.orderBy(*order).limit(exempt)
+    best = good.withColumn("__of_shape", F.row_number().over(Window.partitionBy(*shape).orderBy(*order))).where("__of_shape = 1").drop("__of_shape")
+    kept = top.unionByName(best.orderBy(*order).limit(n + exempt)).distinct()
+    return kept.orderBy(*order).limit(n)
+
+
+def trade_sharpe(x: Column, n_days: Column) -> Column:
+    """Mean over population deviation of trades, annualised by the trades a year, at least one."""
+    per_year = F.greatest(F.count(x) / (n_days / 252), F.lit(1.0))
+    return F.when(F.stddev_pop(x) >= 1e-8, F.avg(x) / F.stddev_pop(x) * F.sqrt(per_year)).otherwise(0.0)
+
+
+def annual_calmar(first: Column, last: Column, n_days: Column, drawdown_usd: Column, initial: float) -> Column:
+    """Annualised growth over the largest fall as a share of the first equity."""
+    growth = F.pow(last / first, 252 / n_days) - 1
+    return F.when(drawdown_usd < 1e-8, INF).otherwise(growth / (drawdown_usd / initial))
+
+
+def bar_metrics(equity: DataFrame, by: str, order: list[str], x: str = "equity", periods: float = 252, initial: float = 100_000.0) -> DataFrame:
+    """Return, growth, fall and ratios of an equity column by group; 999 for a ratio without a fall."""
+    w = Window.partitionBy(by).orderBy(*order)
+    peak = F.max(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    moved = equity.withColumns({"__ret": (F.col(x) - F.lag(x).over(w)) / (F.lag(x).over(w) + 1e-10), "__dd": (F.col(x) - peak) / (peak + 1e-10)})
+    at = F.struct(*order)
+    negative = F.when(F.col("__ret") < 0, F.col("__ret"))
+    ratio = lambda std: F.avg("__ret") / (std + 1e-10) * math.sqrt(periods)
+    years = F.greatest(F.count("*") / periods, F.lit(0.1))
+    final, first = F.max_by(x, at), F.min_by(x, at)
+    out = moved.groupBy(by).agg(
+        ((final / initial - 1) * 100).alias("total_ret_pct"),
+        ((F.pow(final / first, 1 / years) - 1) * 100).alias("cagr_pct"),
+        (F.min("__dd") * 100).alias("max_drawdown_pct"),
+        F.coalesce(ratio(F.stddev_pop("__ret")), F.lit(0.0)).alias("sharpe_ratio"),
+        F.coalesce(F.when(F.count(negative) > 0, ratio(F.stddev_pop(negative))), F.lit(0.0)).alias("sortino_ratio"),
+    )
+    return out.withColumn("calmar_ratio", F.when(F.col("max_drawdown_pct") < 0, F.col("cagr_pct") / F.abs("max_drawdown_pct")).otherwise(999.0))
+
+
+def exit_statistics(trades: DataFrame, by: str, initial: float = 100_000.0) -> DataFrame:
+    """Of trades (pnl, direction, exit_type, bars_held): rates by direction, counts by exit, mean gains in percent."""
+    share = lambda part, whole: F.coalesce(F.try_divide(100.0 * F.count_if(part), F.count_if(whole)), F.lit(0.0))
+    won, long, short = F.col("pnl") > 0, F.col("direction") == 1, F.col("direction") == -1
+    mean = lambda keep: F.coalesce(F.avg(F.when(keep, F.col("pnl") / initial * 100)), F.lit(0.0))
+    return trades.groupBy(by).agg(
+        F.count("*").alias("n_trades"), share(won, F.lit(True)).alias("win_rate_pct"), share(won & long, long).alias("long_win_rate"), share(won & short, short).alias("short_win_rate"),
+        mean(won).alias("avg_win_pct"), mean(~won).alias("avg_loss_pct"), F.avg("bars_held").alias("avg_bars"),
+        *(F.count_if(F.col("exit_type") == k).alias(f"{k.lower()}_count") for k in ("STOP", "TAKE", "TIME", "EOD")),
+    )
+
+
+def fold_metrics(trades: DataFrame, by: str, limit: float = 125.0, least_rate: float = 0.48, initial: float = 5000.0) -> DataFrame:
+    """(by, n_trades, win_rate, max_drawdown, pass_all) of each fold's own equity, which begins at ``initial``."""
+    w = Window.partitionBy(by).orderBy("entry").rowsBetween(Window.unboundedPreceding, 0)
+    curve = trades.withColumn("__equity", initial + F.sum("pnl").over(w))
+    fallen = curve.withColumn("__fall", F.greatest(F.max("__equity").over(w), F.lit(initial)) - F.col("__equity"))
+    out = fallen.groupBy(by).agg(F.count("*").alias("n_trades"), (F.count_if(F.col("pnl") > 0) / F.count("*")).alias("win_rate"), F.max("__fall").alias("max_drawdown"))
+    return out.withColumn("pass_all", (F.col("max_drawdown") <= limit) & (F.col("win_rate") >= least_rate))
+
+
+def over_folds(folds: DataFrame) -> DataFrame:
+    return folds.agg(F.count("*").alias("n_folds"), F.sum("n_trades").alias("n_trades"), F.coalesce(F.avg(F.col("pass_all").cast("int")), F.lit(0.0)).alias("pct_folds_pass"))
+
+
+def portfolio(assets: DataFrame) -> DataFrame:
+    """Of assets (n_trades, win_rate_pct, ret): all trades, wins counted asset by asset, and the mean return."""
+    wins = F.sum(F.floor(F.col("n_trades") * F.col("win_rate_pct") / 100))
+    return assets.agg(F.sum("n_trades").alias("n_trades"), wins.alias("n_wins"), (100.0 * wins / F.sum("n_trades")).alias("win_rate_pct"), F.avg("ret").alias("ret"))
+
+
+def stability_index(*columns: str) -> Column:
+    """Mean over the dimensions of their sample deviations."""
+    total = F.lit(0.0)
+    for c in columns:
+        total = total + F.stddev_samp(c)
+    return total / len(columns)
+
+
+def merge_moments(states: DataFrame, by: str) -> DataFrame:
+    """One state (n, mean, m2) by group of stored ones, by Chan's formula: the spread of means joins the spreads within."""
+    n = F.sum("n")
+    merged = states.groupBy(by).agg(n.alias("n"), (F.sum(F.col("n") * F.col("mean")) / n).alias("mean"), F.sum("m2").alias("__in"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("__sq"))
+    between = F.greatest(F.col("__sq") - F.col("n") * F.col("mean") * F.col("mean"), F.lit(0.0))
+    return merged.withColumn("m2", F.col("__in") + between).drop("__in", "__sq")
+
+
+def tuning_score(calmar_ratio: Column, win_rate: Column, drawdown_usd: Column, n_trades: Column) -> Column:
+    """A ratio with penalties for a low win rate, a large fall and few trades."""
+    low = F.when(win_rate < 0.45, win_rate / 0.45).otherwise(1.0)
+    deep = F.when(drawdown_usd > 1000, 1000 / drawdown_usd).otherwise(1.0)
+    return calmar_ratio * low * deep * F.when(n_trades < 200, 0.1).otherwise(1.0)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalar import normal_cdf, normal_ppf
+from tickloom.functions.scalar import draw, normal_cdf, normal_ppf
 
 
 def uniform(*parts: Column) -> Column:
     """A number from 0 to below 1 from a hash of the parts."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
+    return draw(*parts) / float(1 << 32)
 
 
 def block_bootstrap(returns: DataFrame, simulations: int, length: int, block: int = 5, seed: int = 42) -> DataFrame:
@@ -19,7 +19,7 @@ def block_bootstrap(returns: DataFrame, simulations: int, length: int, block: in
     spark = returns.sparkSession
     sims = spark.range(simulations).select(F.col("id").alias("sim"))
     steps = sims.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
-    start = F.pmod(F.xxhash64("sim", F.floor(F.col("step") / block), F.lit(seed)), F.lit(n))
+    start = F.pmod(draw(F.col("sim"), F.floor(F.col("step") / block), F.lit(seed)), F.lit(n))
     drawn = steps.withColumn("source", F.pmod(start + F.col("step") % block, F.lit(n)))
     return drawn.join(returns.select(F.col("step").alias("source"), "ret"), "source").select("sim", "step", "ret")
 
@@ -33,7 +33,7 @@ def stationary_bootstrap(returns: DataFrame, simulations: int, mean_block: int =
     new = (F.col("step") == 0) | (uniform(F.col("sim"), F.col("step"), F.lit(seed)) < 1 / mean_block)
     w = Window.partitionBy("sim").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     begun = steps.withColumn("from", F.last(F.when(new, F.col("step")), ignorenulls=True).over(w))
-    start = F.pmod(F.xxhash64("sim", "from", F.lit(seed + 1)), F.lit(n))
+    start = F.pmod(draw(F.col("sim"), F.col("from"), F.lit(seed + 1)), F.lit(n))
     drawn = begun.withColumn("source", F.pmod(start + F.col("step") - F.col("from"), F.lit(n)))
     return drawn.join(returns.select(F.col("step").alias("source"), "ret"), "source").select("sim", "step", "ret")
 
@@ -70,19 +70,19 @@ def path_barrier(losses: DataFrame, by: str, loss: str, budget: Column, quantile
     return losses.groupBy(by).agg(F.percentile(loss, quantile).alias("var")).withColumn("allowed", F.coalesce(F.col("var") < budget, F.lit(False)))
 
 
-def permutation_test(returns: DataFrame, statistic, simulations: int, seed: int = 42) -> DataFrame:
-    """(actual, p_value) of a statistic of the first half of the rows, over orders drawn by hash.
+def permutation_test(returns: DataFrame, simulations: int, seed: int = 42, periods: float = 252) -> DataFrame:
+    """(actual, p_value) of the Sharpe ratio of the first half of the rows (step, ret; steps from 0), against halves drawn by hash.
 
-    ``statistic`` maps a column of returns to an aggregate. A permutation is the half of rows whose hashes are smallest.
+    In a simulation a row is in the half if its draw is even, so halves are of about n / 2 rows. A row meets each
+    simulation inside its task, which keeps sums by simulation; nothing but those is shuffled, whatever the number of rows.
     """
-    from pyspark.sql import Window
-
     n = returns.count()
-    actual = returns.where(F.col("step") < n // 2).agg(statistic(F.col("ret")).alias("actual"))
-    drawn = returns.crossJoin(F.broadcast(returns.sparkSession.range(simulations).select(F.col("id").alias("sim"))))
-    place = F.row_number().over(Window.partitionBy("sim").orderBy(F.xxhash64("step", "sim", F.lit(seed)), "step"))
-    shuffled = drawn.withColumn("place", place).where(F.col("place") <= n // 2).groupBy("sim").agg(statistic(F.col("ret")).alias("value"))
-    return shuffled.crossJoin(F.broadcast(actual)).groupBy("actual").agg(F.avg((F.col("value") >= F.col("actual")).cast("int")).alias("p_value"))
+    drawn = returns.withColumn("sim", F.explode(F.sequence(F.lit(-1), F.lit(simulations - 1))))  # -1 is the actual half
+    inside = F.when(F.col("sim") < 0, F.col("step") < n // 2).otherwise(draw(F.col("step"), F.col("sim"), F.lit(seed)) % 2 == 0)
+    each = drawn.where(inside).groupBy("sim").agg(F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("std"))
+    ratio = each.select("sim", F.when(F.col("std") >= 1e-8, F.col("mean") / F.col("std") * periods**0.5).otherwise(0.0).alias("value"))
+    found = ratio.agg(F.max(F.when(F.col("sim") < 0, F.col("value"))).alias("actual"), F.collect_list(F.when(F.col("sim") >= 0, F.col("value"))).alias("drawn"))
+    return found.select("actual", (F.size(F.filter("drawn", lambda v: v >= F.col("actual"))) / F.size("drawn")).alias("p_value"))
 
 
 def probabilistic_sharpe(sharpe: Column, n: Column, skew: Column, excess: Column, benchmark: float = 0.0) -> Column:

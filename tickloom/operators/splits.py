@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,17 @@ def walk_forward_ranges(n: int, train: int, test: int, rolling: bool = False) ->
     return out
 
 
+def time_series_ranges(n: int, splits: int = 5, embargo: int = 5) -> list[tuple[int, str, int, int]]:
+    """Equal test blocks at the end, each trained on all rows before it but the last ``embargo``; every tested row is out of fold once."""
+    size = n // (splits + 1)
+    out: list[tuple[int, str, int, int]] = []
+    for fold in range(splits):
+        begin = n - (splits - fold) * size
+        if begin > embargo:
+            out += [(fold, "train", 0, begin - embargo), (fold, "test", begin, begin + size)]
+    return out
+
+
 def nested_validation(n: int, share: float = 0.2, purge: int = 9) -> list[tuple[int, str, int, int]]:
     """The last part of training rows as validation, with a purge before it."""
     cut = n - int(n * share)
@@ -87,15 +100,31 @@ def grid(spark: SparkSession, choices: dict[str, list]) -> DataFrame:
     return spark.createDataFrame(rows, ["combination", *choices])
 
 
-def windowed(df: DataFrame, features: dict, frame: int, chunk_rows: int) -> DataFrame:
-    """Features over frames of at most ``frame`` rows, computed in chunks of a symbol's rows that tasks share.
+def chunked(df: DataFrame, frame: int, chunk_rows: int) -> DataFrame:
+    """Adds ``__chunk`` and ``__halo``: chunks of a symbol's rows, each also with the ``frame`` - 1 rows before it, marked as halo.
 
-    ``features`` maps names to functions of a window. Each chunk also gets the ``frame`` - 1 rows before
-    it, so a long symbol is no longer one task's work; the frame must be short beside a chunk.
+    A long symbol is thus many tasks' work; the frame must be short beside a chunk, and a chunk no shorter than it.
     """
-    chunk = F.floor(F.col("row") / chunk_rows)
-    rows = numbered_by_day(df).withColumn("__chunk", chunk)
+    rows = numbered_by_day(df).withColumn("__chunk", F.floor(F.col("row") / chunk_rows))
     halo = rows.where(F.col("row") % chunk_rows >= chunk_rows - frame + 1).withColumns({"__chunk": F.col("__chunk") + 1, "__halo": F.lit(True)})
-    both = rows.withColumn("__halo", F.lit(False)).unionByName(halo)
+    return rows.withColumn("__halo", F.lit(False)).unionByName(halo)
+
+
+def windowed(df: DataFrame, features: dict, frame: int, chunk_rows: int) -> DataFrame:
+    """Features over frames of at most ``frame`` rows, chunk by chunk; ``features`` maps names to functions of a window."""
     w = Window.partitionBy("symbol", "__chunk").orderBy("row")
-    return both.withColumns({n: f(w) for n, f in features.items()}).where("not __halo").drop("__chunk", "__halo")
+    return chunked(df, frame, chunk_rows).withColumns({n: f(w) for n, f in features.items()}).where("not __halo").drop("__chunk", "__halo")
+
+
+def in_chunks(df: DataFrame, compute: Callable[[pd.DataFrame], pd.DataFrame | dict], outputs: str, frame: int, chunk_rows: int = 20_000) -> DataFrame:
+    """``df`` with ``row`` and the columns ``outputs``, which ``compute`` makes of a chunk's rows in order, halo included."""
+    both = chunked(df, frame, chunk_rows)
+    kept = [c for c in both.columns if c not in ("__chunk", "__halo")]
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in both.dtypes if n in kept), outputs])
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("row", ignore_index=True)
+        found = rows.assign(**compute(rows))
+        return found[~found["__halo"]].drop(columns=["__chunk", "__halo"])
+
+    return both.groupBy("symbol", "__chunk").applyInPandas(work, schema)

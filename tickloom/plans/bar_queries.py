@@ -86,9 +86,7 @@ def _ema_sql(x: str, span: int, name: str, source: str) -> str:
 
 
 def _emas(df, **spans):
-    for name, (x, span) in spans.items():
-        df = recurrences.run(df, recurrences.Ema(x, span, name), order=("bar_start",))
-    return df
+    return recurrences.run(df, *(recurrences.Ema(x, span, name) for name, (x, span) in spans.items()), order=("bar_start",))
 
 
 @query(f"WITH RECURSIVE {BARS}, {_ema_sql('close', 12, 'fast', 'bars')}, {_ema_sql('close', 26, 'slow', 'bars')} SELECT b.symbol, b.bar_start, round((f.y - s.y) / b.close, 6) + 0.0 AS macd FROM bars b JOIN fast f ON f.symbol = b.symbol AND f.bar_start = b.bar_start JOIN slow s ON s.symbol = b.symbol AND s.bar_start = b.bar_start")
@@ -113,6 +111,51 @@ def rolling_z(spark, d):
     return rounded(six_hourly(spark, d), BAR_KEYS, {"z": C.rolling_z("volume")})
 
 
+FLOW = "volume * (close - open) / greatest(high - low, 1e-10)"
+
+
+@query(f"WITH RECURSIVE {BARS}, {_ema_sql(FLOW, 20, 'num', 'bars')}, {_ema_sql('volume', 20, 'den', 'bars')} SELECT n.symbol, n.bar_start, round(n.y / d.y, 6) + 0.0 AS ofi FROM num n JOIN den d ON n.symbol = d.symbol AND n.bar_start = d.bar_start")
+def ofi_20(spark, d):
+    df = _emas(six_hourly(spark, d).withColumn("flow", C.flow()), num=("flow", 20), den=("volume", 20))
+    return rounded(df, BAR_KEYS, {"ofi": F.col("num") / F.col("den")})
+
+
+@query(sql(BARS + f", f AS (SELECT *, CASE WHEN volume > 0 THEN {FLOW} ELSE sign(close - open) END AS flow FROM bars)", BAR_KEYS, {"ofi": f"flow / greatest(max(abs(flow)) OVER {last(60, BW)}, 1e-10)"}, "f"))
+def ofi_normalised(spark, d):
+    return rounded(six_hourly(spark, d).withColumn("flow", C.flow()), BAR_KEYS, {"ofi": C.ofi_normalised()})
+
+
+@query(sql(BARS + f", c AS (SELECT *, sum(tib * volume) OVER ({BW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cvd FROM bars), v AS (SELECT *, cvd - {lag('cvd')} AS change FROM c)", BAR_KEYS,
+  {"change": "change", "z": f"CASE WHEN count(cvd) OVER {last(90, BW)} >= 5 THEN {clip(f'(cvd - {mean('cvd', 90)}) / greatest(stddev_samp(cvd) OVER {last(90, BW)}, 1e-10)', -10, 10)} END"}, "v", digits=3))
+def cvd_z(spark, d):
+    df = six_hourly(spark, d).withColumn("cvd", C.cumulative_delta())
+    return rounded(df, BAR_KEYS, {"change": C.slope("cvd", 1), "z": C.rolling_z("cvd")}, 3)
+
+
+@query(sql(BARS + f", tf AS (SELECT *, {mean('close', 200)} AS sma, abs(close - {lag('close')}) > 20 AS jump FROM bars)", BAR_KEYS,
+  {"slope": f"sma - {lag('sma', 5)}", "highest": f"max(close) OVER {last(20, BW)}", "lowest": f"min(close) OVER {last(20, BW)}", "middle": f"median(close) OVER {last(20, BW)}"}, "tf").replace(" FROM tf", f", coalesce(max(CAST(jump AS INTEGER)) OVER {last(4, BW)} = 1, false) AS jumped FROM tf"))
+def trend_frames(spark, d):
+    df = six_hourly(spark, d)
+    df = df.withColumns({"sma": F.avg("close").over(B.last_bars(200)), "jump": F.abs(C.slope("close", 1)) > 20})
+    found = df.withColumn("jumped", F.coalesce(C.recent("jump"), F.lit(False)))
+    named = {"slope": C.slope("sma", 5), **C.extremes("close", 20)}
+    return found.select(*BAR_KEYS, *(r(v).alias(k) for k, v in named.items()), "jumped")
+
+
+@query(f"WITH RECURSIVE {TR}, {_ema_sql('tr', 14, 'e', 't')}, o AS (SELECT symbol, bar_start, y AS atr FROM e) SELECT symbol, bar_start, round(greatest(atr, median(atr) OVER {last(50, BW)}), 6) AS floored, round(coalesce({lag('atr')}, 0), 6) AS before FROM o")
+def floored_atr(spark, d):
+    df = _emas(six_hourly(spark, d).withColumn("tr", C.true_range()), atr=("tr", 14))
+    return rounded(df, BAR_KEYS, {"floored": C.floored("atr"), "before": C.lagged("atr")})
+
+
+@query(sql(LR, BAR_KEYS, {"fitted": f"coalesce(var_samp(log_return) OVER {last(50, BW)}, 0)", "applied": f"coalesce(var_samp(log_return) OVER {last(10, BW)}, 0)"}, "l"))
+def hmm_features(spark, d):
+    """Variances of the last 50 and 10 log returns; where there are too few returns the variance is 0."""
+    df = _with_returns(spark, d)
+    known = F.coalesce(C.return_variance(50), F.lit(0.0))
+    return rounded(df, BAR_KEYS, {"fitted": known, "applied": F.coalesce(C.return_variance(10), F.lit(0.0))})
+
+
 _WEIGHTS = C.fractional_weights(most=30)
 
 
@@ -177,7 +220,13 @@ def triple_barrier_bar(spark, d):
     return labels.bar_barrier(_with_atr(spark, d), "atr").select(*BAR_KEYS, "target")
 
 
-@query()
+@query(f"""WITH {ATR}, n AS (SELECT *, row_number() OVER ({BW}) AS i, CAST(sign(tib) AS INTEGER) AS direction FROM a), s AS (SELECT symbol, max(i) AS n FROM n GROUP BY 1),
+  h AS (SELECT x.symbol, x.i, min(y.i) AS j FROM n x JOIN n y ON x.symbol = y.symbol AND y.i > x.i AND y.i <= x.i + 24
+    AND CASE WHEN x.direction = 1 THEN y.low <= x.close - x.atr OR y.high >= x.close + 2 * x.atr ELSE y.high >= x.close + x.atr OR y.low <= x.close - 2 * x.atr END GROUP BY 1, 2),
+  o AS (SELECT x.*, h.j, CASE WHEN x.direction = 1 THEN y.low <= x.close - x.atr ELSE y.high >= x.close + x.atr END AS stopped, z.close AS fin
+    FROM n x JOIN s ON s.symbol = x.symbol LEFT JOIN h ON h.symbol = x.symbol AND h.i = x.i LEFT JOIN n y ON y.symbol = x.symbol AND y.i = h.j JOIN n z ON z.symbol = x.symbol AND z.i = least(x.i + 24, s.n) WHERE x.direction <> 0 AND x.i < s.n)
+  SELECT symbol, bar_start, direction, CASE WHEN j IS NULL THEN 'TIME' WHEN stopped THEN 'STOP' ELSE 'TAKE' END AS exit_type,
+    round(direction * (CASE WHEN j IS NULL THEN fin WHEN stopped THEN close - direction * atr ELSE close + direction * 2 * atr END - close) / close, 6) + 0.0 AS ret FROM o""")
 def bar_backtest(spark, d):
     df = _with_atr(spark, d).withColumn("direction", F.signum("tib").cast("int"))
     return simulate.bar_backtest(df).select(*BAR_KEYS, "direction", "exit_type", r("ret").alias("ret"))

@@ -107,12 +107,12 @@ def feed_sign(spark, d):
   round(avg(CAST(lee_ready = 1 AS INTEGER)) OVER w, 6) + 0.0 AS up_share, round(avg(CAST(lee_ready = -1 AS INTEGER)) OVER w, 6) + 0.0 AS down_share
   FROM signed WINDOW w AS {last(500)}""")
 def tib_window(spark, d):
-    f = T.imbalance(500)
     df = ticks(spark, d).withColumn("sign", S.sign("lee_ready"))
-    return df.select(*KEYS, f.pop("tib").alias("tib"), *(r(v).alias(k) for k, v in f.items()))
+    found = splits.in_chunks(df, T.chunk_imbalance, "tib bigint, cib double, up_share double, down_share double", 500)
+    return found.select(*KEYS, "tib", *(r(c).alias(c) for c in ("cib", "up_share", "down_share")))
 
 
-RETURNS = PATH + f", ret AS (SELECT *, ln(price / greatest(lag(price) OVER ({W}), 1e-12)) AS log_return FROM path)"
+RETURNS = PATH + f", ret AS (SELECT *, CASE WHEN lag(price) OVER ({W}) IS NOT NULL THEN ln(price / greatest(lag(price) OVER ({W}), 1e-12)) END AS log_return FROM path)"
 
 
 def _returns(spark, d):
@@ -133,8 +133,8 @@ AFTER = " QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp_ns,
 
 @query(sql(RETURNS, KEYS, {"vol_ratio": _clip(f"ln((var_pop(log_return) OVER {last(5)} + 1e-12) / (var_pop(log_return) OVER {last(511)} + 1e-12))", -5, 5)}, "ret") + AFTER + "5")
 def vol_ratio(spark, d):
-    df = _returns(spark, d).withColumns({"vol_ratio": T.volatility_ratio(), "row": F.row_number().over(S.by_symbol())})
-    return rounded(df.where("row > 5"), KEYS, ["vol_ratio"])
+    found = splits.in_chunks(_returns(spark, d), T.chunk_volatility_ratio, "vol_ratio double", 511)
+    return rounded(found.where("row >= 5"), KEYS, ["vol_ratio"])
 
 
 @query(sql(TICKS, KEYS, {
@@ -142,8 +142,8 @@ def vol_ratio(spark, d):
   "spread_ratio": _clip(f"avg(spread) OVER {last(10)} / (avg(spread) OVER {last(512)} + 1e-8)", 0, 10),
   "spread_spike": _clip(f"spread / (quantile_cont(spread, 0.95) OVER {last(512)} + 1e-8)", 0, 10)}, "ticks") + AFTER + "1")
 def spread_features(spark, d):
-    df = ticks(spark, d).withColumns(T.spread_features()).withColumn("row", F.row_number().over(S.by_symbol()))
-    return rounded(df.where("row > 1"), KEYS, ["spread_z", "spread_ratio", "spread_spike"])
+    found = splits.in_chunks(ticks(spark, d), T.chunk_spread_features, "spread_z double, spread_ratio double, spread_spike double", 512)
+    return rounded(found.where("row >= 1"), KEYS, ["spread_z", "spread_ratio", "spread_spike"])
 
 
 def _momentum(n: int) -> str:
@@ -186,8 +186,8 @@ def welford_merge(spark, d):
 
 @query(f"WITH {RETURNS} SELECT symbol, seq, round(var_pop(log_return) OVER {last(1000)}, 6) + 0.0 AS variance FROM ret QUALIFY row_number() OVER ({W}) > 2")
 def realised_variance(spark, d):
-    df = _returns(spark, d).withColumns({"v": T.realised_variance(), "row": F.row_number().over(S.by_symbol())})
-    return rounded(df.where("row > 2"), KEYS, {"variance": F.col("v")})
+    found = splits.in_chunks(_returns(spark, d), T.chunk_realised_variance, "variance double", 1000)
+    return rounded(found.where("row >= 2"), KEYS, ["variance"])
 
 
 @query(sql(PATH, KEYS, {"forward": f"coalesce(ln(greatest(lead(price, 20) OVER ({W}), 1e-12) / greatest(price, 1e-12)), 0)"}, "path"))
@@ -276,47 +276,136 @@ KALMAN = f"""WITH RECURSIVE {TICKS}, n AS (SELECT symbol, seq, mid, row_number()
       pc - 2 * pb / (pa + 1e-4) * pb + pb / (pa + 1e-4) * pb / (pa + 1e-4) * pa + pb / (pa + 1e-4) * pb / (pa + 1e-4) * 1e-4
     FROM (SELECT n.symbol, n.seq, n.i, n.mid, k.x + n.dt * k.v AS px, k.v AS v, k.a + 2 * n.dt * k.b + n.dt * n.dt * k.c + 1e-5 * n.dt * n.dt * n.dt * n.dt / 4 AS pa,
       k.b + n.dt * k.c + 1e-5 * n.dt * n.dt * n.dt / 2 AS pb, k.c + 1e-5 * n.dt * n.dt AS pc FROM k JOIN n ON n.symbol = k.symbol AND n.i = k.i + 1))
-  SELECT symbol, seq, round(x, 4) + 0.0 AS kf_price FROM k"""
+  SELECT symbol, seq, round(x, 4) + 0.0 AS kf_price, round(v, 4) + 0.0 AS kf_velocity FROM k"""
 
 
 @query(KALMAN)
 def kalman(spark, d):
     df = ticks(spark, d).withColumn("delta_t", S.delta_t() / 1000)  # gaps of the events are minutes; the filter is meant for milliseconds
-    return rounded(recurrences.run(df, recurrences.Kalman()), KEYS, ["kf_price"], 4)
+    return rounded(recurrences.run(df, recurrences.Kalman()), KEYS, ["kf_price", "kf_velocity"], 4)
 
 
-@query()
+def _limit(middle: str, spread: str) -> str:
+    return f"CASE WHEN c % 6 = 0 OR c = 10 THEN CASE WHEN c < 10 THEN 1e-4 ELSE greatest({middle} + 3 * CASE WHEN {spread} >= 1e-8 THEN {spread} ELSE 1e-6 END, 1e-6) END END"
+
+
+CUSUM = f"""WITH RECURSIVE {PATH}, n AS (SELECT symbol, seq, price AS x, row_number() OVER ({W}) AS i FROM path),
+  e AS (SELECT symbol, seq, i, x, x AS b, CAST(NULL AS DOUBLE) AS base FROM n WHERE i = 1 UNION ALL
+    SELECT n.symbol, n.seq, n.i, n.x, 0.02e0 * n.x + 0.98e0 * e.b, e.b FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1),
+  q AS (SELECT *, i - 1 AS c, x - base AS d FROM e WHERE i > 1),
+  l AS (SELECT *, list(abs(d)) OVER f AS sizes, list(d * d) OVER f AS squares, coalesce(avg(d * d) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), 0) AS usual
+    FROM q WINDOW f AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+  k AS (SELECT *, list_aggregate(sizes, 'median') AS m1, list_aggregate(squares, 'median') AS m2 FROM l),
+  a AS (SELECT *, list_aggregate([abs(x - m1) FOR x IN sizes], 'median') AS a1, list_aggregate([abs(x - m2) FOR x IN squares], 'median') AS a2 FROM k),
+  m AS (SELECT *, {_limit('m1', 'a1')} AS ld, {_limit('m2', 'a2')} AS ls FROM a),
+  h AS MATERIALIZED (SELECT *, greatest(coalesce(last_value(ld IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1e-4), abs(base) * 1e-4) AS drift,
+    greatest(coalesce(last_value(ls IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1e-8), abs(base) * 1e-4 * abs(base) * 1e-4) AS square FROM m),
+  s AS (SELECT symbol, seq, i, 0 AS event, 0.0e0 AS up, 0.0e0 AS down, 0.0e0 AS sq FROM n WHERE i = 1 UNION ALL
+    SELECT symbol, seq, i, event, CASE WHEN event = 1 THEN 0 ELSE up END, CASE WHEN event = -1 THEN 0 ELSE down END, CASE WHEN event = 2 THEN 0 ELSE sq END
+    FROM (SELECT *, CASE WHEN up >= drift THEN 1 WHEN down <= -drift THEN -1 WHEN sq >= square THEN 2 ELSE 0 END AS event
+      FROM (SELECT h.symbol, h.seq, h.i, h.drift, h.square, greatest(0, s.up + h.d) AS up, least(0, s.down + h.d) AS down, greatest(0, s.sq + h.d * h.d - h.usual) AS sq FROM s JOIN h ON h.symbol = s.symbol AND h.i = s.i + 1)))
+  SELECT symbol, seq, CAST(event AS INTEGER) AS cusum_event, round(up, 6) + 0.0 AS cusum_up, round(down, 6) + 0.0 AS cusum_down FROM s"""
+
+
+@query(CUSUM)
 def cusum(spark, d):
     found = recurrences.run(path(spark, d), recurrences.Cusum("price"))
     return found.select(*KEYS, "cusum_event", r("cusum_up").alias("cusum_up"), r("cusum_down").alias("cusum_down"))
 
 
-@query()
-def daily_guard(spark, d):
+def _guard_sql(lifted: str, more: str = "") -> str:
+    return f"""WITH RECURSIVE {PATH}, n AS (SELECT symbol, seq, 50 * price AS e, CAST(ts AS DATE) AS day, row_number() OVER ({W}) AS i FROM path),
+  g AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS i, CAST(NULL AS DATE) AS day, 5000.0e0 AS f, 5000.0e0 AS equity, CAST(NULL AS VARCHAR) AS halt FROM n UNION ALL
+    SELECT symbol, seq, i, day, f, CASE WHEN h IS NULL THEN e ELSE equity END,
+      CASE WHEN h IS NOT NULL THEN h WHEN e >= f * 1.02e0 THEN 'profit' WHEN f - e >= 125 THEN 'daily' WHEN 5000 - e >= 250 THEN 'total' {more} END
+    FROM (SELECT n.symbol, n.seq, n.i, n.day, n.e, g.equity, CASE WHEN g.day <> n.day THEN g.equity ELSE g.f END AS f, CASE WHEN g.day <> n.day AND {lifted} THEN NULL ELSE g.halt END AS h
+      FROM g JOIN n ON n.symbol = g.symbol AND n.i = g.i + 1))
+  SELECT symbol, seq, halt IS NULL AS allowed, halt AS halt_reason FROM g WHERE i > 0"""
+
+
+def _guarded(spark, d, guard):
     df = path(spark, d).withColumns({"equity": 50 * F.col("price"), "day": F.to_date("ts").cast("string")})
-    return recurrences.run(df, recurrences.DailyGuard()).select(*KEYS, "allowed", "halt_reason")
+    return recurrences.run(df, guard).select(*KEYS, "allowed", "halt_reason")
 
 
-@query()
+@query(_guard_sql("true"))
+def daily_guard(spark, d):
+    return _guarded(spark, d, recurrences.DailyGuard())
+
+
+@query(_guard_sql("g.halt <> 'total'"))
+def sticky_guard(spark, d):
+    return _guarded(spark, d, recurrences.DailyGuard(sticky=True))
+
+
+@query(_guard_sql("false", "WHEN f - e >= 100 THEN 'firm_daily' WHEN 5000 - e >= 200 THEN 'firm_total'"))
+def prop_guard(spark, d):
+    return _guarded(spark, d, recurrences.PropGuard(firm_daily=100.0, firm_total=200.0))
+
+
+@query(f"""WITH RECURSIVE {TICKS}, n AS (SELECT symbol, seq, mid - 50 AS rw, spread AS v, 1 + seq % 3 AS dt, row_number() OVER (PARTITION BY symbol ORDER BY timestamp_ns DESC, seq DESC) AS i FROM ticks),
+  g AS (SELECT symbol, seq, i, rw - v AS a, v FROM n WHERE i = 1 UNION ALL
+    SELECT n.symbol, n.seq, n.i, n.rw + pow(0.998e0, n.dt) * g.v - n.v + pow(0.998e0, n.dt) * 0.95e0 * g.a, n.v FROM g JOIN n ON n.symbol = g.symbol AND n.i = g.i + 1),
+  s AS (SELECT symbol, avg(a) AS m, stddev_samp(a) AS sd FROM g GROUP BY 1)
+  SELECT symbol, seq, round(a, 6) + 0.0 AS advantage, round((a - m) / (sd + 1e-8), 6) + 0.0 AS normalised FROM g JOIN s USING (symbol)""")
+def advantages(spark, d):
+    df = ticks(spark, d).select(*KEYS, (F.col("mid") - 50).alias("reward"), F.col("spread").alias("value"), (1 + F.col("seq") % 3).cast("double").alias("dt"), (-F.col("timestamp_ns")).alias("back"), (-F.col("seq")).alias("seq_back"))
+    raw = recurrences.run(df, recurrences.Gae(), order=("back", "seq_back"))
+    both = recurrences.normalised_advantages(raw.withColumn("raw", F.col("advantage")))
+    return rounded(both, KEYS, {"advantage": F.col("raw"), "normalised": F.col("advantage")})
+
+
+@query(f"""WITH RECURSIVE {TICKS}, n AS (SELECT symbol, seq, exp(-0.5e0 * ((mid - 40) / 20) * ((mid - 40) / 20)) / 20 AS a, exp(-0.5e0 * ((mid - 60) / 10) * ((mid - 60) / 10)) / 10 AS b,
+    1 / (1 + exp(-(ln(0.05e0 / 0.95e0) + 10 * spread))) AS leave, row_number() OVER ({W}) AS i FROM ticks),
+  h AS (SELECT symbol, seq, i, a / (a + b) AS p FROM n WHERE i = 1 UNION ALL
+    SELECT symbol, seq, i, x * a / (x * a + (1 - x) * b) FROM (SELECT n.symbol, n.seq, n.i, n.a, n.b, h.p * (1 - n.leave) + (1 - h.p) * n.leave AS x FROM h JOIN n ON n.symbol = h.symbol AND n.i = h.i + 1))
+  SELECT symbol, seq, round(p, 6) AS p_0, round(1 - p, 6) AS p_1 FROM h""")
+def hmm_filter(spark, d):
+    """A chain of two states that is left the more readily, the wider the spread."""
+    model = recurrences.HmmFilter("mid", (40.0, 60.0), (20.0, 10.0), driver="spread", drift=10.0)
+    return rounded(recurrences.run(ticks(spark, d), model), KEYS, ["p_0", "p_1"])
+
+
+_KERNELS = T.wavelet_kernels()
+_TAPS = max(map(len, _KERNELS))
+_ENERGY = ", ".join(f"pow(list_dot_product(v[{_TAPS - len(k) + 1}:], [{', '.join(f'{x!r}::DOUBLE' for x in k)}]), 2)" for k in _KERNELS)
+
+
+@query(f"""WITH {TICKS}, t AS (SELECT symbol, seq, timestamp_ns, ln(1 + least(greatest(coalesce((timestamp_ns - lag(timestamp_ns) OVER ({W})) / 1e9, (lead(timestamp_ns) OVER ({W}) - timestamp_ns) / 1e9, 1e-6), 1e-6), 60.0) / 1000) AS x FROM ticks),
+  w AS (SELECT symbol, seq, list(x) OVER {last(_TAPS)} AS v FROM t), p AS (SELECT symbol, seq, list_concat([v[1] FOR i IN range({_TAPS} - len(v))], v) AS v FROM w),
+  e AS (SELECT symbol, seq, [{_ENERGY}] AS e FROM p), s AS (SELECT *, list_sum(e) AS total FROM e)
+  SELECT symbol, seq, {', '.join(f'round(CASE WHEN total > 1e-8 THEN e[{k}] / total ELSE e[{k}] END, 6) + 0.0 AS e{k}' for k in range(1, 33))} FROM s""")
 def wavelet_energy(spark, d):
+    """Shares of energy of the gaps between ticks by scale, as columns."""
+    names = [f"e{k}" for k in range(1, 33)]
     df = ticks(spark, d).withColumn("delta_t", S.delta_t() / 1000)
-    energy = df.select(*KEYS, T.wavelet_energy().alias("raw")).withColumn("e", T.normalised("raw"))
-    return energy.select(*KEYS, F.transform("e", lambda x: F.round(x, 6)).alias("energy"))
+    compute = lambda f: dict(zip(names, T.chunk_wavelet_energy(f).T, strict=True))
+    return rounded(splits.in_chunks(df.select(*KEYS, "timestamp_ns", "ts", "delta_t"), compute, ", ".join(f"{n} double" for n in names), 128), KEYS, names)
+
+
+def _tick_vector(f):
+    """The features of a chunk that need a frame, as columns."""
+    energy = T.chunk_wavelet_energy(f)
+    out = {**T.chunk_imbalance(f), **T.chunk_volatility_ratio(f), **T.chunk_spread_features(f)}
+    return {"energy": list(energy), **{k: v.astype(float) for k, v in out.items()}, "velocity_var": T.rolling_variance(f["kf_velocity"].to_numpy(float), 20)}
 
 
 @query()
 def feature_vector(spark, d):
-    """The tick features beside each other, and the rule regime over them."""
-    df = ticks(spark, d).withColumns({"sign": S.sign("lee_ready"), "log_return": T.log_return("mid")}).withColumn("delta_t", S.delta_t() / 1000)
-    df = recurrences.run(recurrences.run(df, recurrences.Kalman()), recurrences.Cusum("mid"))
-    df = df.withColumn("raw", T.wavelet_energy()).withColumn("e", T.normalised("raw"))
-    cols = {**T.imbalance(), **T.last_returns(), "vol_ratio": T.volatility_ratio(), **T.spread_features(), "momentum_5": T.momentum(5), "momentum_20": T.momentum(20)}
-    df = df.withColumns(cols).withColumn("velocity_var", F.var_pop("kf_velocity").over(S.last_rows(20)))
-    hf = F.aggregate(F.slice("e", 1, 8), F.lit(0.0), lambda s, x: s + x) / 8
+    """The tick features beside each other, filled up with zeros to 128, and the rule regime over them."""
+    df = ticks(spark, d).withColumns({"sign": S.sign("lee_ready"), "log_return": T.log_return("mid"), **{f"momentum_{n}": T.momentum(n) for n in (5, 20)}}).withColumn("delta_t", S.delta_t() / 1000)
+    df = df.withColumns(T.last_returns())
+    df = recurrences.run(df, recurrences.Kalman(), recurrences.Cusum("mid"))
+    framed = ["tib", "cib", "up_share", "down_share", "vol_ratio", "spread_z", "spread_ratio", "spread_spike", "velocity_var"]
+    df = splits.in_chunks(df, _tick_vector, "energy array<double>, " + ", ".join(f"{n} double" for n in framed), 512)
+    hf = F.aggregate(F.slice("energy", 1, 8), F.lit(0.0), lambda s, x: s + x) / 8
     regime = T.rule_regime(hf, F.col("velocity_var"), F.abs("cusum_up") + F.abs("cusum_down"))
-    names = [*T.imbalance(), *T.last_returns(), "vol_ratio", *T.spread_features(), "momentum_5", "momentum_20", "kf_velocity", "cusum_event"]
-    vector = F.concat(F.col("e"), F.array(*(F.col(n).cast("double") for n in names), T.sideways_confidence(F.col("velocity_var"))))
-    return df.select(*KEYS, F.transform(vector, lambda x: F.round(x, 5)).alias("features"), regime.alias("regime"))
+    names = [*framed[:4], *T.last_returns(), *framed[4:8], "momentum_5", "momentum_20", "kf_velocity", "cusum_event"]
+    one_hot = [(F.col("regime") == n).cast("double") for n in ("volatile", "sideways", "up", "down")]
+    df = df.withColumn("regime", regime)
+    used = F.concat(F.col("energy"), F.array(*(F.col(n).cast("double") for n in names), *one_hot, T.sideways_confidence(F.col("velocity_var"))))
+    vector = F.slice(F.concat(used, F.array_repeat(F.lit(0.0), 128)), 1, 128)
+    return df.select(*KEYS, F.transform(vector, lambda x: F.round(x, 5) + 0.0).alias("features"), "regime")
 
 
 @query(sql(TICKS, KEYS, {"mean": f"avg(mid) OVER {last(50)}"}, "ticks"))
