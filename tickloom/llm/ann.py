@@ -6,16 +6,18 @@ brings them to one length, so that nearness is an angle (queries have 0 there).
 
 A query walks all trees at once: one priority queue holds the branches of all of them, the cheapest is
 taken first, and a branch costs the squared distances by which the query lies on the other side of the
-splits above it. It stops when the leaves found hold ``search`` times as many entries as there are
-vectors. Leaves are dealt to bins of at most ``BIN`` vectors (a larger leaf is salted over several), and
-each bin compares its vectors to the queries that reached its leaves. Leaf candidates are ranked again
-by their exact products.
+splits above it. It stops when the leaves found hold ``search`` times N**0.8 entries, N being the number of
+vectors: the share of the index that a query reads falls as the index grows. Leaves are dealt to bins of at
+most ``BIN`` vectors by their real sizes (a larger leaf is salted over several bins, and the questions to a
+bin over copies of it, if there are many), and each bin compares its vectors to the queries that reached its
+leaves. Leaf candidates are ranked again by their exact products.
 
 Equal vectors are indexed once, with their ``k`` + 1 smallest ids, which is all that a result can hold.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or
-non-finite components take no part; rows without id neither; repeated rows count once; a query is never its own result, nor is
-another row of its id; an empty table gives an empty result; other columns are ignored.
+non-finite components take no part; rows without id neither; repeated rows count once; an id of several
+vectors asks with the smallest of them, in order of components, and is found by its best; a query is never
+its own result, nor is another row of its id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import staged
+from tickloom.llm.common import staged, tidied
 
 BIN = 16_384
 LEAF = 100
 #: A forest is sent to every task; so many levels bound its size.
-LEVELS = 10
+LEVELS = 12
+#: Entries that a query reads grow with this power of the number of vectors.
+POWER = 0.8
+#: Questions that a bin answers at once, on average.
+QUESTIONS = 50_000
 
 
 class Forest:
@@ -91,8 +97,22 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, width)
 
 
+def deal(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a tree's leaf sizes the first bin and the number of bins of each leaf: neighbours share a bin up to ``BIN`` vectors."""
+    first, salts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    at, held = 0, 0
+    for leaf, size in enumerate(sizes.tolist()):
+        if held and held + size > BIN:
+            at, held = at + 1, 0
+        first[leaf], salts[leaf] = at, max(1, -(-size // BIN))
+        held += size
+        if salts[leaf] > 1:
+            at, held = at + int(salts[leaf]), 0
+    return first, salts
+
+
 def nearest(
-    vectors: DataFrame, is_query, k: int = 20, trees: int = 4, search: float = 1.3, sample: int = 20_000, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, is_query, k: int = 20, trees: int = 4, search: float = 6.0, sample: int = 20_000, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row for which ``is_query`` (a condition on ``id``) holds."""
     spark = vectors.sparkSession
@@ -115,43 +135,62 @@ def nearest(
     levels = int(np.clip(np.ceil(np.log2(max(1, total / LEAF))), 1, LEVELS))
     lift = lambda m: np.concatenate([m, np.sqrt(np.maximum(0, longest - (m.astype(float) ** 2).sum(1)))[:, None].astype(np.float32)], axis=1)
     forest = spark.sparkContext.broadcast(Forest(lift(base), trees, levels, seed))
-    per_leaf = max(1, total >> levels)
-    joined = 1 << int(np.log2(max(1, BIN // per_leaf)))
-    salts = -(-per_leaf // BIN)
+    questions = v.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
+
+    @tidied
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((trees, 1 << levels), np.int64)
+        for batch in batches:
+            lifted = lift(_matrix(batch.column(0), width))
+            for t in range(trees):
+                held[t] += np.bincount(forest.value.leaves(lifted, t), minlength=1 << levels)
+        t, leaf = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(leaf.astype(np.int32)), pa.array(held[t, leaf])], ["t", "leaf", "n"])
 
+    sizes = np.zeros((trees, 1 << levels), np.int64)
+    for row in index.select("v").mapInArrow(locate, "t int, leaf int, n long").groupBy("t", "leaf").agg(F.sum("n").alias("n")).toLocalIterator():  # as many rows as leaves at most
+        sizes[row["t"], row["leaf"]] = row["n"]
+    first_bin, salts = zip(*map(deal, sizes), strict=True)
+    plan = spark.sparkContext.broadcast((sizes.tolist(), np.array(first_bin), np.array(salts)))
+    wanted = max(search * total**POWER, 4.0 * k)
+    reached = questions.count() * min(1.0, wanted / (trees * total)) if total else 0
+    copies = max(1, int(np.ceil(reached / QUESTIONS)))
+
+    @tidied
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, bins_of, salts_of = plan.value
         for batch in batches:
             lifted = lift(_matrix(batch.column("v"), width))
-            salt = np.array(batch.column("first_id").to_numpy()) % salts
+            key = np.array(batch.column("first_id").to_numpy())
             for t in range(trees):
                 leaf = forest.value.leaves(lifted, t)
-                bins = (t << 40) + (leaf // joined) * salts + salt
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bins), pa.array(leaf.astype(np.int32)), batch.column("ids"), batch.column("v")], ["bin", "leaf", "ids", "v"]
-                )
+                bins = (t << 40) + bins_of[t][leaf] + key % salts_of[t][leaf]
+                for c in range(copies):
+                    yield pa.RecordBatch.from_arrays([pa.array(bins * copies + c), pa.array(leaf.astype(np.int32)), batch.column("ids"), batch.column("v")], ["bin", "leaf", "ids", "v"])
 
     entries = index.mapInArrow(place, "bin long, leaf int, ids array<long>, v array<float>")
-    sizes = np.zeros((trees, 1 << levels), np.int64)
-    for row in entries.groupBy(F.shiftright("bin", 40).alias("t"), "leaf").count().toLocalIterator():  # as many rows as leaves at most
-        sizes[row["t"], row["leaf"]] = row["count"]
-    sent = sizes.tolist()
 
+    @tidied
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bins_of, salts_of = plan.value
         for batch in batches:
             m = _matrix(batch.column("v"), width)
-            rows: list[tuple] = []
             flat = np.concatenate([m, np.zeros((len(m), 1), np.float32)], axis=1)
-            for i, q, found in zip(batch.column("id").to_pylist(), m, forest.value.search(flat, sent, search * total), strict=True):
-                reached: dict[int, list[int]] = {}
+            at, bins, leaves = [], [], []
+            for i, found in enumerate(forest.value.search(flat, held, wanted)):
+                open_leaves: dict[int, list[int]] = {}
                 for t, leaf in found:
-                    reached.setdefault((t << 40) + (leaf // joined) * salts, []).append(leaf)
-                rows += [(b + s, i, leaves, q) for b, leaves in reached.items() for s in range(salts)]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bin", "id", "leaves", "v"])
-
-    queries = v.where(is_query).dropDuplicates(["id"]).repartition(F.col("id"))
-    asked = queries.mapInArrow(ask, "bin long, id long, leaves array<int>, v array<float>")
+                    for s in range(salts_of[t][leaf]):
+                        open_leaves.setdefault((t << 40) + int(bins_of[t][leaf]) + s, []).append(leaf)
+                at += [i] * len(open_leaves)
+                bins += open_leaves.keys()
+                leaves += open_leaves.values()
+            taken, own = pa.array(at, pa.int64()), batch.column("id").to_numpy()[np.array(at, np.int64)]
+            columns = [pa.array(np.array(bins, np.int64) * copies + own // 20 % copies), pa.array(own), pa.array(leaves, pa.list_(pa.int32())), batch.column("v").take(taken)]
+            yield pa.RecordBatch.from_arrays(columns, ["bin", "id", "leaves", "v"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = questions.repartition(tasks, "id").mapInArrow(ask, "bin long, id long, leaves array<int>, v array<float>")
 
     def compare(rows: pa.Table, questions: pa.Table) -> pa.Table:
         kind = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
@@ -170,11 +209,8 @@ def nearest(
             for i, wanted in enumerate(leaves[at : at + 256]):
                 open_leaf[i] = np.isin(names, wanted)
             scores = np.where(open_leaf[:, leaf], part @ m.T, -np.inf)
-            best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-            line = np.repeat(np.arange(len(part)), most)
-            best = best.ravel()
-            ok = np.isfinite(scores[line, best])
-            line, best = line[ok], best[ok]
+            least = -np.partition(-scores, most - 1, axis=1)[:, most - 1]
+            line, best = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))  # with all that tie with the last
             out_q += [own[at + i] for i in line.tolist()]
             out_r.append(best)
             out_s.append((m[best] * part[line]).sum(axis=1))
@@ -182,8 +218,7 @@ def nearest(
         return pa.table([pa.array(out_q, pa.int64()), rows["ids"].take(pa.array(taken)).combine_chunks(), pa.array(np.concatenate(out_s))], schema=kind)
 
     met = entries.groupBy("bin").cogroup(asked.groupBy("bin")).applyInArrow(compare, "query_id long, ids array<long>, score double")
+    every = met.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
+    one = every.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    one = met.groupBy("query_id", F.get("ids", F.lit(0)).alias("vec_id")).agg(F.first("ids").alias("ids"), F.max("score").alias("score"))
-    few = one.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
-    every = few.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
-    return every.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return one.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -227,7 +227,8 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     sorted_in = few.groupBy("shard").applyInArrow(lambda t: shard_repeats(t, length), "r1 long, r2 long, first long, last long")
     counted = _crowd_repeats(raw.where(F.col("rivals") > CROWD), length)
     repeats = whole.unionByName(sorted_in).unionByName(counted)
-    repeats = repeats.groupBy("r1", "r2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    # written before they are joined, here and below, so that joins may split the rows of a region or text that very many share
+    repeats = staged(repeats.groupBy("r1", "r2").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "repeats")
 
     def where(ids: list, bodies: list[bytes]) -> pa.RecordBatch:
         distinct = list(dict.fromkeys(bodies))
@@ -237,7 +238,7 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
 
     places = by_block(rows, where, "r1 long, r2 long, d1 long, d2 long, low long", BLOCK_BYTES)
     hits = places.join(repeats, ["r1", "r2"]).select("d1", "d2", F.struct("low", "runs").alias("hit"))
-    return hits.groupBy("d1", "d2").agg(F.collect_list("hit").alias("hits"))
+    return staged(hits.groupBy("d1", "d2").agg(F.collect_set("hit").alias("hits")), "hits")  # a set, as copies hit alike
 
 
 def _edges(size: int, hits: pa.Scalar, length: int) -> np.ndarray:
@@ -309,8 +310,9 @@ def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
 
 
 def digest(removed: DataFrame) -> DataFrame:
-    """Counts and a digest of what is left of every row."""
+    """Counts and a digest of what is left of every row, and the text itself, in which cut characters are replaced."""
     lost = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"])
     return removed.select(
-        "doc_id", "n_bytes", lost.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_bytes", lost.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
