@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, chat, html_extraction, packing, quality_classifier, suffix_dedup
+from tickloom.llm import bpe, chat, html_extraction, oracles, packing, quality_classifier, suffix_dedup
 from tickloom.llm.ann import nearest
 from tickloom.llm.common import table
 from tickloom.llm.jaccard import near_duplicates
@@ -72,7 +72,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and the repetition-coverage verdict of every document."""
-    return quality_rules(table(spark, sf_dir, "documents"))
+    found = quality_rules(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("dup_line_share", "dup_gram_share", "top_gram_share")})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -94,5 +95,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL cannot express these operators; they are tested against brute-force versions."""
-    return {}
+    """Of those that SQL can express; the others are tested against brute-force versions."""
+    return oracles.oracle_sql()
