@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from tickloom.llm import bpe, chat, html_extraction, packing, quality_classifier, queries, suffix_dedup, token_counts
 from tickloom.llm.ann import nearest
-from tickloom.llm.jaccard import can_link, near_duplicates, sketch
+from tickloom.llm.jaccard import can_link, near_duplicates, set_name, sketch
 from tickloom.llm.quality_rules import quality_rules, verdict
 from tickloom.llm.suffixes import permuted_common_prefixes, reaching, suffix_array
 
@@ -108,7 +108,9 @@ def test_jaccard(docs, k, percent):
     for a, (i, _) in enumerate(sets):
         smallest[root(a)] = min(i, smallest.get(root(a), i))
     found = near_duplicates(docs.where("doc_id is not null"), k, percent).collect()
-    assert Counter(map(tuple, found)) == Counter((i, len(s), smallest[root(a)]) for a, (i, s) in enumerate(sets))
+    assert Counter(tuple(r)[:3] for r in found) == Counter((i, len(s), smallest[root(a)]) for a, (i, s) in enumerate(sets))
+    names = {tuple(r) for r in docs.select("doc_id", set_name(F.col("text"), k)).where("doc_id is not null").collect()}
+    assert names == {(r["doc_id"], r["set_key"]) for r in found}
 
 
 def test_sketches_never_rule_out_links():

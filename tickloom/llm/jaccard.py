@@ -32,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import as_bytes, blocks, bucketed, by_block, loose, slices, squeeze, staged
+from tickloom.llm.common import as_bytes, blocks, bucketed, by_block, loose, slices, squeeze, staged, tidied
 from tickloom.llm.graph import components
 from tickloom.llm.shingles import set_key, shingle_sets
 
@@ -276,7 +276,10 @@ def _rest(lists: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: sets of ``words``-word shingles, linked from ``percent`` Jaccard on."""
+    """(doc_id, n_shingles, component_id, set_key) of every row: sets of ``words``-word shingles, linked from ``percent`` Jaccard on.
+
+    ``set_key`` names the row's set, as ``set_name`` does, and is null for an empty one.
+    """
     rows = as_bytes(docs, id_col, text_col)
     sets = _representatives(rows, words, percent)
     listed = sets.select("node", "n", "share", F.posexplode("tokens").alias("place", "token"))
@@ -314,4 +317,17 @@ def near_duplicates(
     named = sets.join(linked, "node", "left").select("key", "rep", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_key = named.join(smallest, "component").select("key", "component_id")
-    return members.join(of_key, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return members.join(of_key, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("key").alias("set_key"))
+
+
+def set_name(text: Column, words: int = 5) -> Column:
+    """The name of a text's set of shingles."""
+
+    @F.arrow_udf("binary")
+    @tidied
+    def name(bodies: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in bodies:
+            sets = (shingle_sets([b.as_py()], words)[0] for b in part)
+            yield pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
+
+    return name(F.coalesce(text.cast("binary"), F.lit(b"")))

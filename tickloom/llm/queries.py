@@ -55,7 +55,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under 4-word shingles and a Jaccard similarity of 0.85 or more."""
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85).drop("set_key")
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
