@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet in the shared folder and read
 again as the next stage's documents. SQL cannot express the stages, so ``ORACLE_SQL`` is None and the
 tests compare every stage with a brute-force version.
+
+Null texts are empty: the quality rules reject them. Rows without id pass; those that repeat a row's id and
+text are rows of their own up to the near copies, where one stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import packing, quality_classifier, suffix_dedup
-from tickloom.llm.common import staged, table
-from tickloom.llm.jaccard import near_duplicates
+from tickloom.llm.common import staged, table, unused
+from tickloom.llm.jaccard import near_duplicates, set_name
 from tickloom.llm.quality_rules import verdict
 
 ORACLE_SQL = None
@@ -31,11 +34,22 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of near copies; of repeated rows one stays."""
-    found = near_duplicates(docs, words=5, percent=80)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("__digest", F.md5("text"))
-    return left.dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)
+    """One document of each component of near copies: that of the smallest id, and of its texts that of the first set.
+
+    Decisions hold for an id and a set of shingles, so that another text of a repeated id stays. A row without id goes
+    if one with an id has its set. Of repeated rows one stays, of texts without words each.
+    """
+    found = near_duplicates(docs, words=5, percent=80).where("set_key is not null").select("doc_id", "component_id", "set_key").distinct()
+    found = staged(found, "components")
+    heads = found.where("doc_id = component_id").select("doc_id", "set_key")
+    first = heads.groupBy("doc_id").agg(F.min("set_key").alias("first"))
+    later = heads.join(first, "doc_id").where("set_key > first").select("doc_id", "set_key")
+    gone = found.where("component_id is not null and (doc_id is null or doc_id != component_id)").select("doc_id", "set_key").unionByName(later)
+    gone_id, gone_key, key, digest = (unused(n, docs) for n in ("gone_id", "gone_key", "key", "digest"))
+    gone = gone.select(F.col("doc_id").alias(gone_id), F.col("set_key").alias(gone_key))
+    named = docs.withColumns({key: set_name(F.col("text"), 5), digest: F.md5("text")})
+    left = named.join(gone, F.col(key).eqNullSafe(F.col(gone_key)) & F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
+    return left.dropDuplicates(["doc_id", digest]).select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
