@@ -165,3 +165,78 @@ def test_params_and_schema(spark):
     with pytest.raises(ValueError):
         schema.require(spark.range(1), "id string")
     assert schema.require(spark.range(1), "id bigint").count() == 1
+
+
+@pytest.mark.parametrize("size", [1, 3, 50, 1000])
+def test_marked_returns(size):
+    rng = np.random.default_rng(9)
+    n = 700
+    close = 100 + rng.normal(0, 1, n).cumsum()
+    high, low = close + rng.exponential(0.5, n), close - rng.exponential(0.5, n)
+    side = rng.choice([0, 0, 0, 1, -1], n)
+    side[0] = 1  # the first bar opens nothing
+    columns = [high, low, close, side, close - 3 * side, close + 2 * side, rng.uniform(0.1, 1, n)]
+    want, held = [None], None
+    for k in range(1, n):
+        gain = 0.0
+        if held is not None:
+            d, stop, target, part = held
+            worst, best = (low[k], high[k]) if d == 1 else (-high[k], -low[k])
+            price, over = close[k], True
+            if worst <= d * stop:
+                price = stop
+            elif best >= d * target:
+                price = target
+            else:
+                over = False
+            gain = part * d * (price - close[k - 1]) / close[k - 1]
+            held = None if over else held
+        if held is None and side[k]:
+            held = tuple(c[k] for c in columns[3:])
+        want.append(gain)
+    op = R.MarkedReturns()
+    state = op.start()
+    found = np.concatenate([op.block(state, *(c[a : a + size] for c in columns))[0] for a in range(0, n, size)])
+    assert np.isnan(found[0])
+    np.testing.assert_allclose(found[1:], want[1:], atol=1e-12)
+    assert np.count_nonzero(found[1:]) > 300
+
+
+def test_risk_decisions(spark):
+    from tickloom.operators.risk import RiskLimits, decide
+
+    rng = np.random.default_rng(5)
+    limits = RiskLimits(window=20, least_outcomes=6, daily=0.02, total=0.05)
+    pnl = [None if k % 9 == 4 else float(x) for k, x in enumerate(rng.normal(0, 15, 120))]
+    rows = [("a", 21_600 * k, float(p), x, 1 if k % 2 else -1, k % 6 == 1, k % 5) for k, (p, x) in enumerate(zip(rng.uniform(0.5, 0.9, 120), pnl, strict=True))]
+    made = spark.createDataFrame(rows, "symbol string, s long, p double, pnl double, direction int, held boolean, n_open int")
+    made = made.withColumns({"at": F.timestamp_seconds("s"), "atr": F.lit(0.5), "price": F.lit(100.0), "scale": F.lit(0.8), "regime": F.lit("TREND")})
+    found = {r["s"]: r for r in decide(made, "at", limits=limits).collect()}
+    equity = peak = limits.initial
+    day = begin = halt = None
+    past, vetoes = [], set()
+    for _, s, p, x, direction, held, n_open in rows:
+        r = found[s]
+        veto = halt or ("probability" if p < 0.65 else "full" if n_open >= 3 else "held" if held else None)
+        assert (r["veto"], round(r["equity"], 6)) == (veto, round(equity, 6))
+        vetoes.add(veto)
+        if veto is None:
+            last = past[-20:]
+            wins = [v for v in last if v > 0]
+            if len(last) >= 6:
+                odds = sum(wins) / max(len(wins), 1) / max(-sum(v for v in last if v <= 0) / max(len(last) - len(wins), 1), 1e-10)
+                full = (len(wins) / len(last) * odds - 1 + len(wins) / len(last)) / max(odds, 1e-10)
+            else:
+                full = 2 * p - 1
+            fraction = 0.8 * min(0.02, max(0, full * 0.25))
+            assert [r[c] for c in ("fraction", "units", "stop_loss", "take_profit")] == pytest.approx(
+                [fraction, fraction * equity / 1.5, 100 - 1.5 * direction, 100 + 4 * direction]
+            )
+        if x is not None:
+            equity += x
+            past.append(x)
+            peak = max(peak, equity)
+            if day != s // 86_400:
+                day, begin = s // 86_400, equity
+            halt = "total" if equity / peak - 1 < -0.05 else "daily" if equity / begin - 1 < -0.02 else halt
+    assert {None, "probability", "full", "held"} < vetoes

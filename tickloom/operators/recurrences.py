@@ -393,3 +393,63 @@ def viterbi(df: DataFrame, model: HmmFilter, by: tuple[str, ...] = ("symbol",),
         return frame.assign(state=path)
 
     return df.groupBy(*by).applyInPandas(decode, schema)
+
+
+def _next(hits, at: int, end: int) -> int | None:
+    """The first row from ``at`` on where ``hits`` of a slice holds, looked for in slices of growing length."""
+    width = 64
+    while at < end:
+        found = np.flatnonzero(hits(slice(at, min(end, at + width))))
+        if len(found):
+            return at + int(found[0])
+        at, width = at + width, 2 * width
+    return None
+
+
+@dataclass
+class MarkedReturns(Recurrence):
+    """What each bar adds to one position at a time, as a share of the close before, times the position's fraction.
+
+    A bar whose ``direction`` is not 0 opens a position at its close if none is open then, with its own stop, target and
+    fraction; later bars are marked to their close, the bar that reaches the stop (tried first) or the target to that
+    price. Such a bar may open the next one. A symbol's first bar opens none and has null.
+    """
+
+    inputs = ("high", "low", "close", "direction", "stop_loss", "take_profit", "fraction")
+    outputs = "marked double"
+
+    def start(self):
+        return {"close": math.nan, "held": None}
+
+    def block(self, state, high, low, close, direction, stop_loss, take_profit, fraction):
+        n, first = len(close), math.isnan(state["close"])
+        before = np.concatenate(([state["close"]], close[:-1]))
+        marked = np.zeros(n)
+        if first:
+            marked[0] = math.nan
+        signals = np.flatnonzero(np.nan_to_num(direction.astype(float)))
+        signals = signals[signals >= first]
+        at, held = 0, state["held"]
+        while True:
+            if held is None:
+                k = int(np.searchsorted(signals, at))
+                if k == len(signals):
+                    break
+                opened = int(signals[k])
+                held = tuple(float(c[opened]) for c in (direction, stop_loss, take_profit, fraction))
+                at = opened + 1
+            side, stop, target, part = held
+            against, along = (low, high) if side > 0 else (high, low)
+            stopped = lambda s: side * (against[s] - stop) <= 0  # noqa: B023, E731
+            reached = lambda s: side * (along[s] - target) >= 0  # noqa: B023, E731
+            end = _next(lambda s: stopped(s) | reached(s), at, n)  # noqa: B023
+            rows = slice(at, n if end is None else end + 1)
+            price = close[rows].copy()
+            if end is not None:
+                price[-1] = stop if stopped(end) else target
+            marked[rows] = part * side * (price - before[rows]) / before[rows]
+            if end is None:
+                break
+            at, held = end, None
+        state.update(close=float(close[-1]), held=held)
+        return (marked,)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalar as X
-from tickloom.operators import clean, joins, labels, metrics, montecarlo, simulate, splits
+from tickloom.operators import clean, joins, labels, metrics, montecarlo, recurrences, risk, simulate, splits
 from tickloom.operators.bars import by_bar
 from tickloom.plans.base import BAR_KEYS, BW, KEYS, PATH, TICKS, W, last, path, r, rounded, ticks
 
@@ -325,6 +325,49 @@ def path_backtest(spark, d):
     return simulate.bar_backtest(df).select(*BAR_KEYS, "direction", "exit_type", r("ret").alias("ret"))
 
 
+@query(f"""WITH RECURSIVE {ATR}, s AS (SELECT symbol, bar_start, i, high, low, close, CASE WHEN i % 5 = 0 THEN sign(close - open) ELSE 0 END AS d, atr FROM ranged),
+  m AS (SELECT symbol, bar_start, i, close, 0.0e0 AS d, 0.0e0 AS stop, 0.0e0 AS target, CAST(NULL AS DOUBLE) AS y FROM s WHERE i = 0
+    UNION ALL SELECT symbol, bar_start, i, close, CASE WHEN still THEN hd ELSE d END, CASE WHEN still THEN stop ELSE close - d * atr END, CASE WHEN still THEN target ELSE close + 2 * d * atr END,
+      CASE WHEN hd = 0 THEN 0 ELSE 0.5 * hd * (CASE WHEN still THEN close WHEN stopped THEN stop ELSE target END - was) / was END
+    FROM (SELECT *, hd <> 0 AND NOT stopped AND NOT reached AS still FROM (SELECT s.*, m.d AS hd, m.stop, m.target, m.close AS was,
+      CASE WHEN m.d > 0 THEN s.low <= m.stop ELSE s.high >= m.stop END AS stopped, CASE WHEN m.d > 0 THEN s.high >= m.target ELSE s.low <= m.target END AS reached
+      FROM m JOIN s ON s.symbol = m.symbol AND s.i = m.i + 1)))
+  SELECT symbol, bar_start, {_o(marked='y')} FROM m""")
+def strategy_returns(spark, d):
+    """A position at a time, opened by every fifth bar in its direction, marked to every bar."""
+    side = F.when(F.col("i") % 5 == 0, F.signum(F.col("close") - F.col("open"))).otherwise(0.0)
+    df = _with_atr(spark, d).withColumn("direction", side)
+    stops = {"stop_loss": F.col("close") - side * F.col("atr"), "take_profit": F.col("close") + 2 * side * F.col("atr"), "fraction": F.lit(0.5)}
+    return rounded(recurrences.run(df.withColumns(stops), recurrences.MarkedReturns(), order=("bar_start",)), BAR_KEYS, ["marked"])
+
+
+RISK = ATR + f""", q AS (SELECT symbol, bar_start, i, close AS price, atr, sign(ret) AS direction, 0.5 + least(0.4, 30 * abs(ret)) AS p, 1 / (1 + 10 * abs(ret)) AS scale,
+    CASE WHEN abs(ret) > 0.02 THEN 'TREND' WHEN abs(ret) < 0.005 THEN 'MEAN_REV' ELSE 'COMPRESSION' END AS regime, i % 5 AS n_open, i % 11 = 0 AS held,
+    1000 * lead(ret) OVER ({BW}) * sign(ret) AS pnl FROM rt JOIN (SELECT symbol, bar_start, atr FROM ranged) USING (symbol, bar_start) WHERE ret IS NOT NULL),
+  u AS (SELECT *, CASE WHEN pnl IS NOT NULL THEN 5000 + sum(pnl) OVER {BSO} END AS after FROM q),
+  v AS (SELECT *, after / greatest(5000, max(after) OVER {BSO}) - 1 AS fall, after / first_value(after IGNORE NULLS) OVER (PARTITION BY symbol, CAST(bar_start AS DATE) ORDER BY bar_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS day_fall,
+    coalesce(last_value(after IGNORE NULLS) OVER ({BW} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 5000) AS equity, count(pnl) OVER k AS n, count(*) FILTER (pnl > 0) OVER k AS wins,
+    sum(greatest(pnl, 0)) OVER k AS gains, -sum(least(pnl, 0)) OVER k AS losses FROM u WINDOW k AS ({BW} ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)),
+  z AS (SELECT *, last_value(CASE WHEN fall < -0.1 THEN 'total' WHEN day_fall < -0.05 THEN 'daily' END IGNORE NULLS) OVER ({BW} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS halt,
+    (gains / greatest(wins, 1)) / greatest(losses / greatest(n - wins, 1), 1e-10) AS odds FROM v),
+  g AS (SELECT *, CASE WHEN halt IS NOT NULL THEN halt WHEN p < 0.65 THEN 'probability' WHEN n_open >= 3 THEN 'full' WHEN held THEN 'held' END AS veto,
+    scale * least(0.02, greatest(0, 0.25 * CASE WHEN n >= 30 THEN (wins / n * odds - (1 - wins / n)) / greatest(odds, 1e-10) ELSE 2 * p - 1 END)) AS f,
+    CASE regime WHEN 'TREND' THEN 3.0 WHEN 'MEAN_REV' THEN 1.5 ELSE 2.0 END * atr AS stop, CASE regime WHEN 'TREND' THEN 8.0 WHEN 'MEAN_REV' THEN 3.0 ELSE 5.0 END * atr AS take, CASE WHEN direction = 1 THEN 1 ELSE -1 END AS side FROM z)"""
+
+
+@query(f"WITH {RISK} SELECT symbol, bar_start, veto, {_o(equity='equity', fraction='CASE WHEN veto IS NULL THEN f END', units='CASE WHEN veto IS NULL THEN f * equity / greatest(stop, 1e-10) END', stop_loss='CASE WHEN veto IS NULL THEN price - side * stop END', take_profit='CASE WHEN veto IS NULL THEN price + side * take END')} FROM g")
+def risk_engine(spark, d):
+    """Decisions on a trade at each bar of the path, in the direction of its return; a trade's outcome is the next bar's return."""
+    size = F.abs("ret")
+    df = _with_atr(spark, d).where("ret is not null").withColumn("direction", F.signum("ret")).withColumns({
+        "price": F.col("close"), "p": 0.5 + F.least(F.lit(0.4), 30 * size), "scale": 1 / (1 + 10 * size),
+        "regime": F.when(size > 0.02, "TREND").when(size < 0.005, "MEAN_REV").otherwise("COMPRESSION"),
+        "n_open": F.col("i") % 5, "held": F.col("i") % 11 == 0, "pnl": 1000 * F.lead("ret").over(by_bar()) * F.col("direction"),
+    })
+    return rounded(risk.decide(df, "bar_start"), (*BAR_KEYS, "veto"), ["equity", "fraction", "units", "stop_loss", "take_profit"])
+
+
+
 # splits
 
 
