@@ -45,11 +45,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = heads.groupBy("doc_id").agg(F.min("set_key").alias("first"))
     later = heads.join(first, "doc_id").where("set_key > first").select("doc_id", "set_key")
     gone = found.where("component_id is not null and (doc_id is null or doc_id != component_id)").select("doc_id", "set_key").unionByName(later)
-    gone_id, gone_key, key, digest = (unused(n, docs) for n in ("gone_id", "gone_key", "key", "digest"))
-    gone = gone.select(F.col("doc_id").alias(gone_id), F.col("set_key").alias(gone_key))
-    named = docs.withColumns({key: set_name(F.col("text"), 5), digest: F.md5("text")})
-    left = named.join(gone, F.col(key).eqNullSafe(F.col(gone_key)) & F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
-    return left.dropDuplicates(["doc_id", digest]).select(*docs.columns)
+    gone_id, gone_key, gone_known, key, number, known, digest = (unused(n, docs) for n in ("gone_id", "gone_key", "gone_known", "key", "number", "known", "digest"))
+    of_id = lambda a, b: {a: F.coalesce("doc_id", F.lit(0)), b: F.col("doc_id").isNotNull()}
+    gone = gone.withColumns(of_id(gone_id, gone_known)).select(gone_id, gone_known, F.col("set_key").alias(gone_key))
+    named = docs.withColumns({key: set_name(F.col("text"), 5), digest: F.md5("text"), **of_id(number, known)})
+    left = named.join(gone, (F.col(key) == F.col(gone_key)) & (F.col(number) == F.col(gone_id)) & (F.col(known) == F.col(gone_known)), "left_anti")
+    # a text fixes its set, so rows of one id and text lie together since the join, and texts are dealt only once
+    return left.dropDuplicates([key, number, known, digest]).select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
