@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+#: Bytes of an Arrow batch between Spark and Python that ``small_batches`` sets.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -70,6 +74,14 @@ def bucketed(df: DataFrame, name: str, key: str) -> str:
     return table_name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session's jobs pass rows to Python in batches of about ``BATCH_BYTES``, not of up to 64 MB of text.
+
+    A query is run after the function that made it returned, so the setting stays with the session.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def as_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns, ``id`` and ``body``: the text as UTF-8 bytes, null as empty."""
     return df.select(
@@ -110,7 +122,7 @@ def tidy() -> None:
 
 
 def tidied(run: Callable) -> Callable:
-    """``run``, a function over an iterator of batches, with ``tidy`` after it."""
+    """``run``, a function that yields from an iterator of batches, with ``tidy`` after it."""
 
     @functools.wraps(run)
     def wrapped(batches):

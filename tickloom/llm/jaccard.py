@@ -169,6 +169,7 @@ def can_link(x: bytes | None, y: bytes | None, percent: int) -> bool:
 def _plausible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) that sketches do not rule out."""
 
+    @tidied
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None
         for batch in batches:
@@ -186,6 +187,7 @@ def _plausible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose whole shingle sets are similar enough."""
 
+    @tidied
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.zeros(0, np.uint64)
         for batch in batches:

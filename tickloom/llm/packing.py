@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tickloom.llm.common import as_bytes, blocks
+from tickloom.llm.common import as_bytes, blocks, tidied
 from tickloom.llm.tokenizing import WordTokenizer
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -83,7 +83,14 @@ def pack(
     ``sequence_id`` is the task's number times 2**32 plus a count; ``offset`` is gapless from 0.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from packed(batches)
+        finally:
+            WordTokenizer.forget()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.shared(tokenizer_path)
         base = TaskContext.get().partitionId() << 32
         end = np.array([end_id], "<u4").tobytes()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Rolling, as_bytes, by_block, loose, mix, squeeze, staged
+from tickloom.llm.common import Rolling, as_bytes, by_block, loose, mix, squeeze, staged, tidied, tidy
 from tickloom.llm.dictionary import ragged
 from tickloom.llm.suffixes import reaching, suffix_array
 
@@ -161,6 +161,7 @@ def _region_bytes(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     one = by_block(rows, texts, "d1 long, d2 long, body binary", BLOCK_BYTES).groupBy("d1", "d2").agg(F.first("body").alias("body"))
     places = wanted.groupBy("d1", "d2").agg(F.collect_list(F.struct("key", "r1", "r2", "n", "low", "size", "rivals")).alias("places"))
 
+    @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -201,6 +202,7 @@ def shard_repeats(table: pa.Table, length: int) -> pa.Table:
 def _crowd_repeats(crowd: DataFrame, length: int) -> DataFrame:
     """The same for keys of very many regions: every string is counted by two hashes."""
 
+    @tidied
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = {c: batch.column(c).to_numpy() for c in ("r1", "r2", "n")}
@@ -224,7 +226,14 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     total = raw.where(F.col("rivals") <= CROWD).agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     few = raw.where(F.col("rivals") <= CROWD).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    sorted_in = few.groupBy("shard").applyInArrow(lambda t: shard_repeats(t, length), "r1 long, r2 long, first long, last long")
+
+    def of_shard(table: pa.Table) -> pa.Table:
+        try:
+            return shard_repeats(table, length)
+        finally:
+            tidy()
+
+    sorted_in = few.groupBy("shard").applyInArrow(of_shard, "r1 long, r2 long, first long, last long")
     counted = _crowd_repeats(raw.where(F.col("rivals") > CROWD), length)
     repeats = whole.unionByName(sorted_in).unionByName(counted)
     # written before they are joined, here and below, so that joins may split the rows of a region or text that very many share
@@ -274,6 +283,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         d1, d2 = digests(bodies)
         return _batch(doc_id=pa.array(ids, pa.int64()), d1=d1, d2=d2, body=squeeze(bodies))
 
+    @tidied
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, runs, kept = _strip(map(loose, batch.column(1).to_pylist()), batch.column(2), length)
@@ -293,14 +303,18 @@ def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     spans = repeated_spans(as_bytes(docs, id_col, text_col), length).select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), F.col("hits").alias("__hits"))
 
     @F.arrow_udf("struct<d1:long,d2:long>")
-    def named(bodies: pa.Array) -> pa.Array:
-        found = bodies.to_pylist()
-        d1, d2 = digests(found) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pa.StructArray.from_arrays([pa.array(d1), pa.array(d2)], ["d1", "d2"])
+    @tidied
+    def named(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for bodies in parts:
+            found = bodies.to_pylist()
+            d1, d2 = digests(found) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield pa.StructArray.from_arrays([pa.array(d1), pa.array(d2)], ["d1", "d2"])
 
     @F.arrow_udf("string")
-    def cut(bodies: pa.Array, hits: pa.Array) -> pa.Array:
-        return pa.array([b.decode("utf-8", "ignore") for b in _strip(iter(bodies.to_pylist()), hits, length)[2]], pa.string())
+    @tidied
+    def cut(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for bodies, hits in parts:
+            yield pa.array([b.decode("utf-8", "ignore") for b in _strip((b.as_py() for b in bodies), hits, length)[2]], pa.string())
 
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     keyed = docs.withColumn("__name", named(body))

@@ -63,7 +63,7 @@ class PieceEncoder:
 class WordTokenizer:
     """A tokenizer that drops white space, so that chunks between white space are independent.
 
-    Ids of chunks are kept in two tables of bounded size, shared by the tasks of one Python worker:
+    Ids of chunks are kept in two tables of bounded size for the time of a task:
     a full table becomes the older one, from which chunks that recur move back. Chunks outside the plain Latin range go through the tokenizers library.
     """
 
@@ -87,6 +87,12 @@ class WordTokenizer:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Empties the tables of all shared tokenizers; their vocabularies stay."""
+        for tokenizer in cls._shared.values():
+            tokenizer.known, tokenizer.older = {}, {}
+
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
