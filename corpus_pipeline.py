@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import packing, quality_classifier, suffix_dedup
-from tickloom.llm.common import staged, table, unused
+from tickloom.llm.common import small_batches, staged, table, unused
 from tickloom.llm.jaccard import near_duplicates, set_name
 from tickloom.llm.quality_rules import verdict
 
@@ -24,6 +24,7 @@ ORACLE_SQL = None
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    small_batches(spark)
     return docs.where(verdict(F.col("text")))
 
 
