@@ -53,5 +53,35 @@ def rules_sql(limits: Limits = Limits()) -> str:
         NOT (failed OR odd OR line_share > {limits.line} OR n_symbols > {limits.symbols} * n_words) AS kept FROM b"""
 
 
+def usable_sql(scale: int, width: int = 64) -> str:
+    """Embeddings as whole numbers, with a number for each row."""
+    return f"""SELECT *, row_number() OVER () AS r, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+        WHERE len(embedding) = {width} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"""
+
+
+def negatives_sql() -> str:
+    return f"""WITH base AS MATERIALIZED (SELECT r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM ({usable_sql(256)}) WHERE vec_id IS NOT NULL AND label IS NOT NULL),
+      s AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id AS id, CAST(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score FROM base a JOIN base c ON a.r <> c.r WHERE a.vec_id % 50 = 0),
+      p AS (SELECT r, id, score, row_number() OVER (PARTITION BY r ORDER BY score DESC, id) AS k FROM s WHERE same QUALIFY k <= 5)
+      SELECT s.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY r, k ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s USING (r) WHERE NOT same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3"""
+
+
+def clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds one after the other."""
+    parts = []
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} AS MATERIALIZED (SELECT r, arg_min(c, (distance, c)) AS c, min(distance) AS distance FROM
+          (SELECT x.r, m.c, sum((x.x - m.x) * (x.x - m.x)) AS distance FROM x JOIN c{n} m USING (d) GROUP BY 1, 2) GROUP BY 1)""")
+        if n < rounds:
+            parts.append(f"""c{n + 1} AS MATERIALIZED (SELECT c, d, coalesce(n.x, m.x) AS x FROM c{n} m LEFT JOIN
+              (SELECT c, d, CAST((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS x FROM x JOIN a{n} USING (r) GROUP BY 1, 2) n USING (c, d))""")
+    return f"""WITH kept AS MATERIALIZED ({usable_sql(1024)}), x AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM kept),
+      f AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL QUALIFY c < {k}), c0 AS MATERIALIZED (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM f),
+      {", ".join(parts)}, names AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS name FROM c{rounds} GROUP BY 1)
+      SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+        CAST(sum(distance) OVER () AS BIGINT) AS inertia, name AS centroid_sha256 FROM a{rounds} JOIN kept USING (r) JOIN names USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat": chat_sql(), "op10_quality_rules": rules_sql()}
+    return {"op9_chat": chat_sql(), "op10_quality_rules": rules_sql(), "op11_hard_negatives": negatives_sql(), "op13_centroid_clustering": clusters_sql()}

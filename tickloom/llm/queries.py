@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, chat, html_extraction, oracles, packing, quality_classifier, suffix_dedup
+from tickloom.llm import bpe, centroid_clustering, chat, hard_negatives, html_extraction, language_id, oracles, packing, quality_classifier, suffix_dedup
 from tickloom.llm.ann import nearest
 from tickloom.llm.common import table
 from tickloom.llm.jaccard import near_duplicates
@@ -76,6 +76,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("dup_line_share", "dup_gram_share", "top_gram_share")})
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rows of other labels for each of the five nearest of its own label, for every fiftieth embedding."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("id") % 50 == 0)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    quarter = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    found = language_id.identify(docs, learn=quarter != 2, carry=["doc_id"])
+    return found.select("doc_id", F.coalesce(quarter == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in eight clusters, after ten rounds."""
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -90,6 +110,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_ann,
             op9_chat,
             op10_quality_rules,
+            op11_hard_negatives,
+            op12_language_id,
+            op13_centroid_clustering,
         )
     }
 
