@@ -283,6 +283,26 @@ def test_html_template_of_neutral_names(spark):
             assert all(t in found[k] for t in own)
 
 
+def test_html_keeps_what_articles_share(spark):
+    """Hosts of few pages that share a heading or a sentence keep it, written out by hand; so does any article."""
+    page = lambda body: f"<html><body><div class='nav'><a href='/'>Home</a></div>{body}<footer>Example Press</footer></body></html>"
+    heading, quote = "Weekly review", "All that glitters is not gold, as the old saying goes."
+    rows, want = [], []
+    for host, n, box in (("two", 2, "article"), ("three", 3, "div"), ("four", 4, "article"), ("five", 5, "div"), ("many", 30, "article")):
+        for k in range(n):
+            shared = quote if k < 2 else f"Nobody said anything in week {k}."
+            rows.append((f"https://{host}.example/{k}", page(f"<{box} class='x'><h1>{heading}</h1><p>Report number {k} of {host} tells what happened.</p><p>{shared}</p></{box}>")))
+            want.append(f"{heading}\n\nReport number {k} of {host} tells what happened.\n\n{shared}")
+    for k in range(9):  # a host of nothing but copies
+        rows.append((f"https://copies.example/{k}", page(f"<div class='x'><h1>{heading}</h1><p>{quote}</p></div>")))
+        want.append(f"{heading}\n\n{quote}")
+    for k in range(9):  # a line that stands once in the same element of every page is the template's
+        rows.append((f"https://lines.example/{k}", page(f"<div class='x'><h2>{heading}</h2><p>Report number {k} tells what happened this time, and a bit more.</p><p>{quote if k < 5 else k}</p></div>")))
+        want.append(f"Report number {k} tells what happened this time, and a bit more.\n\n{quote if k < 5 else k}")
+    found = html_extraction.extract(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string").repartition(4)).collect()
+    assert {r["page_id"]: r["main_text"] for r in found} == dict(enumerate(want))
+
+
 def test_html_class_over_two_slots_is_no_template():
     token = lambda path, text=None, s=1, pages=6: {"path": path, "text": text, "s1": s, "s2": s, "pages": pages, "total": pages, "chars": 10}
     root = [token("/b", s=5, pages=9), token("/b/x", s=5, pages=9), token("/b/y", s=5, pages=9)]

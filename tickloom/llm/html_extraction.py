@@ -8,12 +8,12 @@ meet in one task.
 Tokens of one vector form an equivalence class. A class is valid if it has enough support, its tokens stand
 once in each of its pages, and it nests: all its tokens lie in one slot of the classes placed before it,
 which have more pages; the slots of a class are the insides of its elements. The valid classes are the
-host's template. Their blocks of text are the template's own and no data. What is left in the slots are
-the data, and the deepest slot with most of the host's data outside menus and other furniture is the main
-one. Pages of a host too small for that use their own tree, and so do pages without the main slot.
-
-A page of whose main slot the template's texts would take more than half is a copy of others, and its text
-is data.
+host's template. A block of text is the template's own, and no data, only if it is in one class with the innermost
+element of the template around it, so that it stands once wherever that element does, on at least ``TEXT_PAGES``
+pages, and not inside an article or main element: what some pages share, however many of a small host, is their text.
+What is left in the slots are the data, and the deepest slot with most of the host's data outside menus and other
+furniture is the main one. If the template had more text of its own there than data, its pages are copies of each
+other and all their text is data. Pages of a host too small for that use their own tree, and so do pages without the main slot.
 
 The main slot's blocks, without the furniture inside it, are the text: character references are
 decoded, white space inside a block becomes one space, blocks are trimmed and joined by an empty line.
@@ -39,9 +39,9 @@ from tickloom.llm.common import staged, text_of, tidied, unused
 
 #: Template tables of at most so many bytes are sent to the tasks; larger ones are joined by shuffling.
 FEW_BYTES = 8 << 20
-#: An element of the template stands in this share of a host's pages, a text of it in that one.
+#: Tokens of the template stand in this share of a host's pages, texts of it also on so many.
 SUPPORT = 0.3
-TEXT_SUPPORT = 0.5
+TEXT_PAGES = 6
 #: The main slot has this share of the host's text.
 SHARE = 0.6
 
@@ -59,6 +59,8 @@ INLINE = frozenset(
 FURNITURE = frozenset("nav footer aside form button menu dialog head fieldset".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 MAIN = frozenset("article main".split())
+#: Elements of text, which are parts of a main slot and never all of it.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl li dt dd figure figcaption".split())
 #: Elements that end an open paragraph when they begin.
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -283,29 +285,52 @@ def nested_classes(tokens: list[dict]) -> list[list[dict]]:
     return placed
 
 
-def template(tokens: list[dict]) -> tuple[str, list[int]]:
-    """The main slot's path, and the names of the texts that are a host's own.
+def own_texts(valid: list[list[dict]]) -> list[dict]:
+    """The blocks of text of valid classes that are in one class with the innermost element of the template around them."""
+    of = {t["path"]: k for k, members in enumerate(valid) for t in members if t["text"] is None}
+    out = []
+    for k, members in enumerate(valid):
+        for t in members:
+            path = t["path"]
+            if t["text"] is None or t["pages"] < TEXT_PAGES or any(part.partition(".")[0] in MAIN for part in path.split("/")):
+                continue
+            while path and path not in of:
+                path = path.rpartition("/")[0]
+            if path and of[path] == k:
+                out.append(t)
+    return out
 
-    Of the template's elements, from the outermost in, the deepest that has the wanted share of the data
-    is the main slot; an article or main element ends the search.
-    """
-    valid = [t for members in nested_classes(tokens) for t in members]
-    texts = [t for t in valid if t["text"] is not None]
-    data = {t["path"]: t["chars"] for t in tokens if t["text"] is None}
-    for t in texts:
-        path = t["path"]
-        while path:
-            data[path] = data.get(path, 0) - t["chars"]
-            path = path.rpartition("/")[0]
+
+def main_slot(elements: list[dict], data: dict[str, int]) -> str:
+    """Of the template's elements, from the outermost in, the deepest that has the wanted share of the data; an article or main element ends the search."""
     every = max(data.values(), default=0)
     best = ""
-    for path in sorted((t["path"] for t in valid if t["text"] is None), key=lambda p: (p.count("/"), p)):
+    for path in sorted((t["path"] for t in elements), key=lambda p: (p.count("/"), p)):
+        name = path.rpartition("/")[2].partition(".")[0]
         inside = not best or path.startswith(best + "/")
-        if inside and data[path] >= SHARE * every and every > 0:
+        if inside and name not in TEXTS and data[path] >= SHARE * every and every > 0:
             best = path
-            if best.rpartition("/")[2].partition(".")[0] in MAIN:
+            if name in MAIN:
                 break
-    return best, sorted(t["text"] for t in texts)
+    return best
+
+
+def template(tokens: list[dict]) -> tuple[str, list[int]]:
+    """The main slot's path, and the names of the texts that are a host's own."""
+    valid = nested_classes(tokens)
+    elements = [t for members in valid for t in members if t["text"] is None]
+    texts = own_texts(valid)
+    all_of = {t["path"]: t["chars"] for t in tokens if t["text"] is None}
+    data = dict(all_of)
+    for t in texts:
+        path = t["path"]
+        while path:
+            data[path] = data.get(path, 0) - t["chars"]
+            path = path.rpartition("/")[0]
+    slot = main_slot(elements, data)
+    if sum(t["chars"] for t in texts if _within(t["path"], slot)) > data.get(slot, 0):
+        return main_slot(elements, all_of), []
+    return slot, sorted(t["text"] for t in texts)
 
 
 def _within(path: str, slot: str) -> bool:
@@ -320,17 +345,14 @@ def main_text(page: Page, slot: str | None, fixed: frozenset[int] = frozenset())
         slot, _ = template(own)
     articles = [p for p in page.counts if _within(p, slot) and p.rpartition("/")[2].partition(".")[0] in MAIN and masses.get(p, 0)]
     shortest = [p for p in articles if not any(q != p and _within(p, q) for q in articles)]
-    kept, data = [], []
+    kept = []
     for path, furniture, linked, text in page.blocks:
         if furniture or not _within(path, slot) or (shortest and not any(_within(path, a) for a in shortest)):
             continue
         if not shortest and linked >= len(text) and "/li" in path:  # a menu that nothing names
             continue
-        kept.append(text)
-        if fixed and text_name(path, text) not in fixed:
-            data.append(text)
-    if fixed and 2 * sum(map(len, data)) >= sum(map(len, kept)):
-        kept = data
+        if not fixed or text_name(path, text) not in fixed:
+            kept.append(text)
     return "\n\n".join(kept)
 
 
@@ -376,8 +398,8 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     found = rows.mapInArrow(tokens, schema).groupBy("host", "path", "text").agg(*(F.sum(c).alias(c) for c in summed))
     found = staged(found.where("pages > 1"), "tokens")
     sizes = found.where("path = '' and text is null").select("host", F.col("pages").alias("of"))
-    share = F.when(F.col("text").isNull(), SUPPORT).otherwise(TEXT_SUPPORT)
-    supported = found.where("path != ''").join(sizes, "host").where(F.col("pages") >= share * F.col("of"))
+    enough = F.col("text").isNull() | (F.col("pages") >= TEXT_PAGES)
+    supported = found.where("path != ''").where(enough).join(sizes, "host").where(F.col("pages") >= SUPPORT * F.col("of"))
     listed = supported.groupBy("host").agg(F.collect_list(F.struct("path", "text", *summed)).alias("tokens"))  # as many as a few pages have
 
     @F.arrow_udf("struct<slot:string,fixed:array<bigint>>")
