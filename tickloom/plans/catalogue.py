@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
-from tickloom.plans import bar_queries, risk_queries, tick_queries
+from tickloom.plans import bar_queries, model_queries, risk_queries, tick_queries
 from tickloom.sources import ticks as S
 
-PARTS = (tick_queries, bar_queries, risk_queries)
+PARTS = (tick_queries, bar_queries, risk_queries, model_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
