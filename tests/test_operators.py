@@ -49,18 +49,6 @@ def test_blocks_of_any_size_agree(size):
             assert all(map(np.isclose, joined, w)) if w.dtype.kind == "f" else joined.tolist() == w.tolist()
 
 
-def test_viterbi(spark):
-    model = R.HmmFilter("x", (0.0, 1.0, 2.0), (1.0, 0.5, 1.0), stay=0.7)
-    x = [0.1, 0.9, 1.1, 2.4, 2.2, 0.2]
-    scores = {}
-    for path in itertools.product(range(3), repeat=len(x)):
-        p = sum(-0.5 * ((v - model.means[s]) / model.stds[s]) ** 2 - np.log(model.stds[s]) for v, s in zip(x, path, strict=True))
-        scores[path] = p + sum(np.log(0.7 if a == b else 0.15) for a, b in itertools.pairwise(path))
-    best = max(scores, key=scores.get)
-    made = spark.createDataFrame([("a", k, 0, v) for k, v in enumerate(x)], "symbol string, timestamp_ns long, seq long, x double")
-    assert tuple(r["state"] for r in R.viterbi(made, model).orderBy("timestamp_ns").collect()) == best
-
-
 def test_feature_vector_holds_the_features(spark, data):
     from tickloom.plans import catalogue
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.bars import by_bar
+from tickloom.operators.quantiles import quantiles
 from tickloom.sources.ticks import by_symbol, next_rows
 
 
@@ -129,8 +130,7 @@ def risk_window(df: DataFrame, returns: str, skip: int = 10, length: int = 100,
 
 def learned_bins(df: DataFrame, x: str, train: Column, bins: int = 4) -> list[float]:
     """Bounds between equal shares of a column's training rows, for ``scalar.bucket`` on any rows."""
-    at = [k / bins for k in range(1, bins)]
-    return df.where(train).agg(F.percentile(x, F.array(*map(F.lit, at))).alias("b")).first()["b"]
+    return quantiles(df.where(train), [x], [k / bins for k in range(1, bins)])[x]
 
 
 def meta_targets(df: DataFrame, target: str, prediction: str, regime: str, regimes: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import draw, normal_cdf, normal_ppf
+from tickloom.operators.quantiles import quantiles
 
 
 def uniform(*parts: Column) -> Column:
@@ -110,11 +111,10 @@ def cost_scenarios(spark: SparkSession, metrics: DataFrame, costs: dict[str, flo
 
 def wasserstein(reference: DataFrame, current: DataFrame, x: str, points: int = 101) -> DataFrame:
     """(distance): mean difference of the quantiles of two columns."""
-    at = F.array(*(F.lit(i / (points - 1)) for i in range(points)))
-    a = reference.agg(F.percentile(x, at).alias("a"))
-    b = current.agg(F.percentile(x, at).alias("b"))
-    gaps = F.zip_with("a", "b", lambda p, q: F.abs(p - q))
-    return a.crossJoin(b).select((F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v) / points).alias("distance"))
+    at = [i / (points - 1) for i in range(points)]
+    a, b = (quantiles(df, [x], at)[x] for df in (reference, current))
+    known = None not in a + b
+    return reference.sparkSession.createDataFrame([(sum(abs(p - q) for p, q in zip(a, b, strict=True)) / points if known else None,)], "distance double")
 
 
 def position_scale(distance: Column, threshold: Column) -> Column:

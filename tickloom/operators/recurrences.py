@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 
 
 class Recurrence:
-    """A stateful operator: its inputs, its output schema, a first state and its work on a block."""
+    """A stateful operator: its inputs, its output schema, a first state and its work on a block.
+
+    ``kept`` is the schema in which a stream keeps the state, under its names; a field that is null is as it starts.
+    """
 
     inputs: tuple[str, ...] = ()
     outputs: str = ""
+    kept: str = ""
 
     @property
     def names(self) -> list[str]:
@@ -36,6 +40,23 @@ class Recurrence:
         """The output columns of consecutive rows; the state is changed in place."""
         raise NotImplementedError
 
+    def flat(self, state: Any) -> dict:
+        """The state by the fields of ``kept``."""
+        return state
+
+    def unflat(self, fields: dict) -> Any:
+        return {**self.start(), **fields}
+
+    def pack(self, state: Any) -> tuple:
+        """The state as a row of ``kept``."""
+        fields = self.flat(state)
+        plain = lambda v: [float(x) for x in v] if isinstance(v, (np.ndarray, tuple, list)) else v.item() if isinstance(v, np.generic) else v
+        return tuple(plain(fields.get(f.split()[0].strip("`"))) for f in self.kept.split(", "))
+
+    def unpack(self, row: tuple) -> Any:
+        names = (f.split()[0].strip("`") for f in self.kept.split(", "))
+        return self.unflat({n: v for n, v in zip(names, row, strict=True) if v is not None})
+
 
 def apply(frame: pd.DataFrame, ops: tuple[Recurrence, ...], states: list) -> pd.DataFrame:
     """A symbol's consecutive rows with the outputs of all operators, of which later ones see those of earlier ones."""
@@ -75,6 +96,7 @@ class Ema(Recurrence):
     alpha: float | None = None
 
     STEP = 64
+    kept = "y double"
 
     def __post_init__(self):
         self.inputs, self.outputs = (self.column,), f"{self.name} double"
@@ -114,6 +136,7 @@ class Kalman(Recurrence):
     density: float = 1e-5
     inputs = ("mid", "delta_t")
     outputs = "kf_price double, kf_velocity double"
+    kept = "x double, v double, a double, b double, c double"
 
     def start(self):
         return {"x": None}
@@ -164,6 +187,7 @@ class Cusum(Recurrence):
     window: int = 60
     alpha: float = 0.02
     outputs = "cusum_event int, cusum_up double, cusum_down double"
+    kept = "mean double, n long, sizes array<double>, limits array<double>, sums array<double>"
 
     def __post_init__(self):
         self.inputs = (self.column,)
@@ -172,6 +196,13 @@ class Cusum(Recurrence):
     def start(self):
         return {"mean": self.mean.start(), "n": 0, "sizes": np.zeros(0), "limits": (1e-4, 1e-8), "sums": (0.0, 0.0, 0.0)}
 
+    def flat(self, state):
+        return {**state, "mean": state["mean"].get("y")}
+
+    def unflat(self, fields):
+        mean = {"y": fields["mean"]} if "mean" in fields else {}
+        return {**self.start(), **fields, "mean": mean, "sizes": np.array(fields.get("sizes", []), float)}
+
     def _limits(self, past: np.ndarray, begin: int, fresh: int, held: tuple[float, float]) -> np.ndarray:
         """Both limits after each of ``fresh`` deviations, the first of which has the number ``begin``; ``past`` ends with them."""
         numbers = np.arange(begin, begin + fresh)
@@ -251,6 +282,7 @@ class DailyGuard(Recurrence):
     sticky: bool = False
     inputs = ("equity", "day")
     outputs = "allowed boolean, halt_reason string"
+    kept = "day string, `from` double, equity double, halt string"
 
     def start(self):
         return {"day": None, "from": self.initial, "equity": self.initial, "halt": None}
@@ -306,6 +338,7 @@ class Gae(Recurrence):
     decay: float = 0.95
     inputs = ("reward", "value", "dt")
     outputs = "advantage double"
+    kept = "next double, gain double"
 
     def start(self):
         return {"next": 0.0, "gain": 0.0}
@@ -341,6 +374,7 @@ class HmmFilter(Recurrence):
     stay: float = 0.95
     driver: str | None = None
     drift: float = 1.0
+    kept = "p array<double>"
 
     def __post_init__(self):
         self.inputs = (self.column,) + ((self.driver,) if self.driver else ())
@@ -349,6 +383,9 @@ class HmmFilter(Recurrence):
     def start(self):
         return {"p": None}
 
+    def unflat(self, fields):
+        return {"p": np.array(fields["p"])} if fields else self.start()
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
         m, s = np.array(self.means), np.array(self.stds)
         return -0.5 * ((x[:, None] - m) / s) ** 2 - np.log(s)
@@ -371,30 +408,6 @@ class HmmFilter(Recurrence):
         return tuple(out.T)
 
 
-def viterbi(df: DataFrame, model: HmmFilter, by: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("timestamp_ns", "seq")) -> DataFrame:
-    """``df`` with ``state``, the likeliest path of states of each group; a path needs its whole sequence, so group by day or session."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", state int"
-    k = len(model.means)
-
-    def decode(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(order))
-        logs = model.emissions(frame[model.column].to_numpy())
-        leave = model.leaving(len(frame), frame[model.driver].to_numpy() if model.driver else None)
-        score, back = logs[0] - math.log(k), np.zeros((len(frame), k), int)
-        for i in range(1, len(frame)):
-            step = np.where(np.eye(k, dtype=bool), np.log1p(-leave[i]), np.log(leave[i] / (k - 1)))
-            ways = score[:, None] + step
-            back[i] = ways.argmax(axis=0)
-            score = ways.max(axis=0) + logs[i]
-        path = np.empty(len(frame), np.int32)
-        path[-1] = score.argmax()
-        for i in range(len(frame) - 1, 0, -1):
-            path[i - 1] = back[i, path[i]]
-        return frame.assign(state=path)
-
-    return df.groupBy(*by).applyInPandas(decode, schema)
-
-
 def _next(hits, at: int, end: int) -> int | None:
     """The first row from ``at`` on where ``hits`` of a slice holds, looked for in slices of growing length."""
     width = 64
@@ -417,6 +430,7 @@ class MarkedReturns(Recurrence):
 
     inputs = ("high", "low", "close", "direction", "stop_loss", "take_profit", "fraction")
     outputs = "marked double"
+    kept = "close double, held array<double>"
 
     def start(self):
         return {"close": math.nan, "held": None}

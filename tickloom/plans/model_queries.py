@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tickloom.functions import bar_features as C
-from tickloom.operators import markov
-from tickloom.plans.base import BARS, BW, r, rounded, six_hourly
+from tickloom.operators import markov, whitening
+from tickloom.plans.base import BAR_KEYS, BARS, BW, r, rounded, six_hourly
 
 QUERIES, ORACLE = {}, {}
 
@@ -125,3 +125,50 @@ def tvtp_fit(spark, d):
     df = df.select("symbol", "ts", "timestamp_ns", "seq", r("log_return", 9).alias("log_return"), r("spread_avg", 9).alias("spread_avg"))
     starts = [markov.spread_start(df, ("log_return",), 3, by="log_return", components=2, drivers=("spread_avg",), stay=stay) for stay in (0.5, 0.9)]
     return _parameters(spark, *markov.best_fit(df, starts, rounds=4))
+
+
+#: Numbers as a fit gives them, of three columns and two components.
+FROZEN = whitening.Whitening(
+    ("log_return", "spread_avg", "volume"), (-1.5, 0.02, 2.0), (1.5, 0.04, 80.0), (0.01, 0.03, 40.0), (0.5, 0.004, 12.0), (0.05, 0.0, -0.02),
+    ((0.6, 0.64, 0.48), (0.8, -0.48, -0.36)), (1.2, 0.8),
+)
+COLUMNS = FROZEN.columns
+_RETURNS = BARS + f", l AS (SELECT *, ln(close / lag(close) OVER ({BW})) AS log_return FROM bars WHERE close > 0)"
+_FROZEN_Z = [f"CASE WHEN {c} IS NOT NULL THEN (least(greatest({c}, {a!r}), {b!r}) - {m!r}) / {s!r} - ({o!r}) END" for c, a, b, m, s, o in zip(COLUMNS, FROZEN.low, FROZEN.high, FROZEN.mean, FROZEN.std, FROZEN.centre, strict=True)]
+
+
+def _three(spark, d):
+    return six_hourly(spark, d).where("close > 0").withColumn("log_return", C.log_return())
+
+
+@query(f"""WITH {_RETURNS} SELECT symbol, bar_start, {', '.join(f"round(({' + '.join(f'({x!r}) * ({z})' for x, z in zip(axis, _FROZEN_Z, strict=True))}) / {s!r}, 6) + 0.0 AS w_{k}"
+  for k, (axis, s) in enumerate(zip(FROZEN.axes, FROZEN.scale, strict=True)))} FROM l""")
+def whitened(spark, d):
+    """Components of bars under frozen numbers."""
+    found = rounded(FROZEN.apply(_three(spark, d)), BAR_KEYS, ["w_0", "w_1"])
+    return found.withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz"))
+
+
+def _distance_sql() -> str:
+    """Without the axes: squares of components add up to the inverse covariance's square form, here by cofactors."""
+    bounded = [f"CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, q{k}a), q{k}b) END" for k, c in enumerate(COLUMNS)]  # least and greatest pass over nulls
+    z = [f"({x} - m{k}) / s{k}" for k, x in enumerate(bounded)]
+    bounds = ", ".join(f"quantile_cont({c}, 0.01) AS q{k}a, quantile_cont({c}, 0.99) AS q{k}b" for k, c in enumerate(COLUMNS))
+    stats = ", ".join(f"avg({x}) AS m{k}, stddev_samp({x}) AS s{k}" for k, x in enumerate(bounded))
+    cov = ", ".join(f"covar_samp(z{i}, z{j}) AS c{i}{j}" for i in range(3) for j in range(i, 3))
+    c = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+    cofactor = lambda i, j: "({} * {} - {} * {})".format(*(c((i + a) % 3, (j + b) % 3) for a, b in ((1, 1), (2, 2), (1, 2), (2, 1))))
+    form = " + ".join(f"(z{i} - o{i}) * (z{j} - o{j}) * {cofactor(i, j)}" for i in range(3) for j in range(3))
+    det = " + ".join(f"{c(0, j)} * {cofactor(0, j)}" for j in range(3))
+    return f"""WITH {_RETURNS}, t AS (SELECT * FROM l WHERE bar_start < TIMESTAMP '2024-01-21'), q AS (SELECT {bounds} FROM t), s AS (SELECT {stats} FROM t, q),
+      z AS (SELECT symbol, bar_start, {', '.join(f'{x} AS z{k}' for k, x in enumerate(z))} FROM l, q, s), o AS (SELECT {', '.join(f'avg(z{k}) AS o{k}' for k in range(3))}, {cov} FROM z
+        WHERE bar_start < TIMESTAMP '2024-01-21' AND z0 IS NOT NULL AND z1 IS NOT NULL AND z2 IS NOT NULL) SELECT symbol, bar_start, round(({form}) / ({det}), 4) + 0.0 AS distance FROM z, o"""
+
+
+@query(_distance_sql())
+def whitened_distance(spark, d):
+    """How far each bar lies from those before the 21st, in all components of a whitening fitted to those."""
+    bars = _three(spark, d)
+    model = whitening.fit(bars.where("bar_start < '2024-01-21'"), COLUMNS)
+    far = sum((F.col(f"w_{k}") * F.col(f"w_{k}") for k in range(3)), F.lit(0.0))
+    return rounded(model.apply(bars), BAR_KEYS, {"distance": far}, 4).withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz"))

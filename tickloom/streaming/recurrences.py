@@ -1,13 +1,12 @@
 """Recurrences over streams of ticks: the operators of a batch, with their states kept by symbol in the state store.
 
 A query that starts again from its checkpoint goes on with the states that it had, so nothing has to be
-saved beside it. Within a micro-batch a symbol's rows are put in order; a row that is not later than all
+saved beside it. Each operator's state is a row of its own schema and not a pickle, so other code can read it. Within a micro-batch a symbol's rows are put in order; a row that is not later than all
 rows before it is dropped, as an earlier state cannot be had again.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,20 +22,19 @@ class _Processor(StatefulProcessor):
         self.ops, self.order, self.columns = ops, order, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "states binary, last long")
+        self.last = handle.getValueState("last", "at long")
+        self.kept = [handle.getValueState(f"state_{k}_{type(op).__name__}", op.kept) for k, op in enumerate(self.ops)]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.kept.exists():
-            packed, last = self.kept.get()
-            states = pickle.loads(packed)
-        else:
-            states, last = [op.start() for op in self.ops], None
         frame = pd.concat(list(rows)).sort_values(self.order, kind="stable").drop_duplicates(self.order)
-        if last is not None:
-            frame = frame[frame[self.order] > last]
+        if self.last.exists():
+            frame = frame[frame[self.order] > self.last.get()[0]]
         if len(frame):
+            states = [op.unpack(tuple(held.get())) if held.exists() else op.start() for op, held in zip(self.ops, self.kept, strict=True)]
             found = apply(frame, self.ops, states)
-            self.kept.update((pickle.dumps(states), int(frame[self.order].iloc[-1])))
+            for op, held, state in zip(self.ops, self.kept, states, strict=True):
+                held.update(op.pack(state))
+            self.last.update((int(frame[self.order].iloc[-1]),))
             yield found[self.columns]
 
     def close(self) -> None:
