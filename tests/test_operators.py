@@ -61,14 +61,57 @@ def test_feature_vector_holds_the_features(spark, data):
         assert vectors[r["symbol"], r["seq"]][45:47] == pytest.approx([r["momentum_5"], r["momentum_20"]], abs=2e-5)
 
 
-def test_long_horizon_barrier_agrees(spark):
+@pytest.mark.parametrize(("horizon", "chunk"), [(50, 20_000), (50, 50), (900, 100), (2, 7), (10_000, 20_000)])
+def test_triple_barrier_over_chunks(spark, horizon, chunk):
     from tickloom.operators import labels
 
-    x = 100 + np.cumsum(np.random.default_rng(8).normal(0, 1, 400))
-    made = spark.createDataFrame([("a", k, 0, float(v), 1e-4) for k, v in enumerate(x)], "symbol string, timestamp_ns long, seq long, p double, v double")
-    short = {r["timestamp_ns"]: r["label"] for r in labels.triple_barrier(made, "p", "v", horizon=50).collect()}
-    assert {r["timestamp_ns"]: r["label"] for r in labels.long_horizon_barrier(made, "p", "v", horizon=50).collect()} == short
-    assert len(set(short.values())) == 3
+    rng = np.random.default_rng(8)
+    x = 100 + np.cumsum(rng.normal(0, 1, 400))
+    wide = rng.uniform(1e-5, 4e-4, 400)
+    made = spark.createDataFrame([("a", k, 0, float(v), None if k % 50 == 7 else float(w)) for k, (v, w) in enumerate(zip(x, wide, strict=True))], "symbol string, timestamp_ns long, seq long, p double, v double")
+    want = {}
+    for k in range(400):
+        width = 2 * np.sqrt(wide[k])
+        touched = [] if k % 50 == 7 else [1 if v >= x[k] * (1 + width) else -1 for v in x[k + 1 : k + horizon] if v >= x[k] * (1 + width) or v <= x[k] * (1 - width)]
+        want[k] = touched[0] if touched else 0
+    found = labels.triple_barrier(made, "p", "v", horizon=horizon, chunk_rows=chunk)
+    assert found.columns == [*made.columns, "label"]
+    assert {r["timestamp_ns"]: r["label"] for r in found.collect()} == want
+
+
+def test_risk_window_over_chunks(spark):
+    from tickloom.operators import labels
+
+    steps = np.random.default_rng(9).normal(0, 0.004, 330)
+    made = spark.createDataFrame([("a", k, 0, float(v)) for k, v in enumerate(steps)], "symbol string, timestamp_ns long, seq long, r double")
+    want = {}
+    for k in range(330 - 10 - 37 + 1):
+        level = np.exp(np.concatenate([[0], np.cumsum(steps[k + 10 : k + 47])]))
+        want[k] = int(((np.maximum.accumulate(level) - level) / np.maximum.accumulate(level)).max() * 5000 > 100)
+    found = labels.risk_window(made, "r", length=37, limit=100.0, chunk_rows=50).collect()
+    assert {r["timestamp_ns"]: r["risky"] for r in found} == want and 0 < sum(want.values()) < len(want)
+
+
+@pytest.mark.parametrize("including", [True, False])
+def test_expanding_bounds(including):
+    x = np.concatenate([np.random.default_rng(2).normal(size=1500), np.repeat(0.5, 300), [np.nan, 9.0, np.nan, -9.0], np.arange(200.0)])
+    op = R.ExpandingBounds("x", 0.1, 0.75, including)
+    for blocks in (1, 7):
+        state = op.start()
+        found = np.concatenate([np.stack(op.block(state, part)) for part in np.array_split(x, blocks)], axis=1)
+        for k in range(len(x)):
+            past = x[: k + including]
+            past = past[~np.isnan(past)]
+            want = np.quantile(past, [0.1, 0.75]) if len(past) else [np.nan] * 2
+            np.testing.assert_allclose(found[:, k], want, rtol=1e-12)
+
+
+def test_chunks_shorter_than_a_frame_are_an_error(spark):
+    from tickloom.operators import splits
+
+    made = spark.createDataFrame([("a", 0, 0)], "symbol string, timestamp_ns long, seq long")
+    with pytest.raises(ValueError, match="shorter"):
+        splits.chunked(made, 15, 5)
 
 
 def test_ticks_round_trip(spark, tmp_path):

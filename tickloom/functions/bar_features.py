@@ -150,15 +150,3 @@ def recent(flag: str, n: int = 4) -> Column:
 
 def slope(name: str, n: int = 5) -> Column:
     return C(name) - _lag(name, n)
-
-
-def winsorised(name: str, low: float = 0.01, high: float = 0.99, including: bool = True) -> Column:
-    """Bounded by quantiles of its history, with or without the current value.
-
-    The quantiles of a growing frame need all of it, so this is for histories of some thousand bars.
-    """
-    from pyspark.sql import Window
-
-    w = by_bar().rowsBetween(Window.unboundedPreceding, 0 if including else -1)
-    lo, hi = (F.percentile(name, q).over(w) for q in (low, high))
-    return F.coalesce(F.least(F.greatest(C(name), lo), hi), C(name))

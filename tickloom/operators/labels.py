@@ -7,24 +7,48 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators import splits
 from tickloom.operators.bars import by_bar
 from tickloom.operators.quantiles import quantiles
 from tickloom.sources.ticks import by_symbol, next_rows
 
 
-def triple_barrier(df: DataFrame, price: str, variance: str, up: float = 2.0, down: float = 2.0, horizon: int = 900) -> DataFrame:
-    """Adds ``label``: 1 or -1 for the barrier that the price touches first in the next rows, 0 for none.
+def first_passage(high: np.ndarray, low: np.ndarray, upper: np.ndarray, lower: np.ndarray, horizon: int) -> np.ndarray:
+    """For each place the first of the ``horizon`` places after it where ``high`` reaches its upper or ``low`` its lower bound; -1 for none.
 
-    The window is an array of the next ``horizon`` - 1 prices, so a row's work is bounded by it.
+    Maxima and minima of stretches of 1, 2, 4, ... places tell which stretches hold no such place; each place passes over those,
+    the longest first, so a long horizon costs its logarithm.
     """
-    ahead = F.collect_list(price).over(next_rows(1, horizon - 1))
-    width = F.sqrt(variance)
-    high, low = F.col(price) * (1 + up * width), F.col(price) * (1 - down * width)
-    touched = F.filter("__ahead", lambda x: (x >= F.col("__high")) | (x <= F.col("__low")))
-    first = F.get(touched, F.lit(0))
-    marked = df.withColumns({"__ahead": ahead, "__high": high, "__low": low})
-    label = F.when(first >= F.col("__high"), 1).when(first <= F.col("__low"), -1).otherwise(0)
-    return marked.withColumn("label", label).drop("__ahead", "__high", "__low")
+    n = len(high)
+    tops, bottoms = [np.where(np.isnan(high), -np.inf, high)], [np.where(np.isnan(low), np.inf, low)]
+    while 1 << len(tops) <= min(horizon, n):
+        half = 1 << (len(tops) - 1)
+        tops.append(np.maximum(tops[-1][:-half], tops[-1][half:]))
+        bottoms.append(np.minimum(bottoms[-1][:-half], bottoms[-1][half:]))
+    upper, lower = np.where(np.isnan(upper), np.inf, upper), np.where(np.isnan(lower), -np.inf, lower)
+    at = np.arange(1, n + 1)
+    end = np.minimum(at + horizon, n)
+    for k in range(len(tops) - 1, -1, -1):
+        inside = np.flatnonzero(at + (1 << k) <= end)
+        here = at[inside]
+        at[inside[(tops[k][here] < upper[inside]) & (bottoms[k][here] > lower[inside])]] += 1 << k
+    return np.where(at < end, at, -1)
+
+
+def triple_barrier(df: DataFrame, price: str, variance: str, up: float = 2.0, down: float = 2.0, horizon: int = 900, chunk_rows: int = 20_000) -> DataFrame:
+    """Adds ``label``: 1 or -1 for the barrier that the price touches first in the next ``horizon`` - 1 rows, 0 for none.
+
+    A symbol's rows are looked at in chunks, with the rows after them that they need.
+    """
+
+    def mark(f: pd.DataFrame) -> dict:
+        p, w = f[price].to_numpy(float), np.sqrt(f[variance].to_numpy(float))
+        high, low = p * (1 + up * w), p * (1 - down * w)
+        at = first_passage(p, p, high, low, horizon - 1)
+        reached = p[at]
+        return {"label": np.where(at < 0, 0, np.where(reached >= high, 1, -1)).astype(np.int32)}
+
+    return splits.in_chunks(df, mark, "label int", 1, max(chunk_rows, horizon), horizon - 1).drop("row")
 
 
 def bar_barrier(bars: DataFrame, atr: str, take: float = 2.0, stop: float = 1.0, horizon: int = 24) -> DataFrame:
@@ -111,21 +135,49 @@ def rule_regimes(df: DataFrame, hf: str, returns: str, velocity: str) -> DataFra
     return df.withColumn("regime", F.when(F.abs(hf) > 0.3, 3).when(variance < 1e-6, 2).when(F.col(velocity) > 0, 0).otherwise(1))
 
 
-def risk_window(df: DataFrame, returns: str, skip: int = 10, length: int = 100, equity: float = 5000.0, limit: float = 50.0) -> DataFrame:
+def deepest_falls(steps: np.ndarray, length: int) -> np.ndarray:
+    """For each place the deepest fall, from a peak or the start, of the sums of the ``length`` steps from it on; NaN where there are fewer.
+
+    Stretches of 1, 2, 4, ... steps are put together from two halves: sum, highest and lowest sum on the way, and deepest fall.
+    """
+    n = len(steps) - length + 1
+    out = np.full(len(steps), np.nan)
+    if n <= 0:
+        return out
+
+    def joined(a, b):
+        (s, top, low, fall), (s2, top2, low2, fall2) = a, b
+        return s + s2, np.maximum(top, s + top2), np.minimum(low, s + low2), np.maximum(np.maximum(fall, fall2), top - (s + low2))
+
+    part = (steps, np.maximum(steps, 0), steps, np.maximum(-steps, 0))
+    taken, size, whole = 0, 1, None
+    while size <= length:
+        if length & size:
+            piece = tuple(v[taken : taken + n] for v in part)
+            whole = piece if whole is None else joined(whole, piece)
+            taken += size
+        if 2 * size <= length:
+            part = joined(tuple(v[:-size] for v in part), tuple(v[size:] for v in part))
+        size *= 2
+    out[:n] = whole[3]
+    return out
+
+
+def risk_window(df: DataFrame, returns: str, skip: int = 10, length: int = 100, equity: float = 5000.0, limit: float = 50.0, chunk_rows: int = 20_000) -> DataFrame:
     """Adds ``risky``: whether the path of the log returns from ``skip`` rows on falls by more than a limit of money.
 
-    Rows without a whole path ahead are left out.
+    Rows without a whole path ahead are left out. A symbol's rows are looked at in chunks, with the rows after them that they need.
     """
-    path = F.collect_list(returns).over(next_rows(skip, skip + length - 1))
-    begin = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("dd"))
+    reach = skip + length - 1
 
-    def fall(s, r):
-        level = F.exp(s["sum"] + r)
-        peak = F.greatest(s["peak"], level)
-        return F.struct((s["sum"] + r).alias("sum"), peak.alias("peak"), F.greatest(s["dd"], (peak - level) / peak).alias("dd"))
+    def mark(f: pd.DataFrame) -> dict:
+        falls = np.full(len(f), np.nan)
+        falls[: max(0, len(f) - skip)] = deepest_falls(f[returns].to_numpy(float), length)[skip:]
+        return {"__fall": falls}
 
-    ahead = df.withColumn("__path", path).where(F.size("__path") == length)
-    return ahead.withColumn("risky", (F.aggregate("__path", begin, fall)["dd"] * equity > limit).cast("int")).drop("__path")
+    found = splits.in_chunks(df, mark, "__fall double", 1, max(chunk_rows, reach), reach).drop("row")
+    risky = ((1 - F.exp(-F.col("__fall"))) * equity > limit).cast("int")
+    return found.where(F.col("__fall").isNotNull() & ~F.isnan("__fall")).withColumn("risky", risky).drop("__fall")
 
 
 def learned_bins(df: DataFrame, x: str, train: Column, bins: int = 4) -> list[float]:
@@ -138,26 +190,3 @@ def meta_targets(df: DataFrame, target: str, prediction: str, regime: str, regim
     from tickloom.functions.scalar import one_hot
 
     return df.withColumn("delta", F.col(target) - F.col(prediction)).withColumns(one_hot(F.col(regime), regimes, "regime"))
-
-
-def long_horizon_barrier(df: DataFrame, price: str, variance: str, up: float = 2.0, down: float = 2.0, horizon: int = 10_000) -> DataFrame:
-    """``triple_barrier`` for long horizons: a symbol's rows in one task, scanned in numpy in growing steps."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", label int"
-
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["timestamp_ns", "seq"])
-        p, w = frame[price].to_numpy(), np.sqrt(frame[variance].to_numpy())
-        high, low = p * (1 + up * w), p * (1 - down * w)
-        label, open_ = np.zeros(len(p), np.int32), np.arange(len(p))
-        for step in range(1, horizon):
-            open_ = open_[open_ + step < len(p)]
-            if not len(open_):
-                break
-            x = p[open_ + step]
-            rise, fall = x >= high[open_], x <= low[open_]
-            label[open_[rise]], label[open_[fall & ~rise]] = 1, -1
-            open_ = open_[~(rise | fall)]
-        return frame.assign(label=label)
-
-    return df.groupBy("symbol").applyInPandas(scan, schema)
-

@@ -8,6 +8,7 @@ length; the symbols are the parallelism, as a recurrence has no other.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -408,6 +409,64 @@ class HmmFilter(Recurrence):
         return tuple(out.T)
 
 
+@dataclass
+class ExpandingBounds(Recurrence):
+    """Two quantiles of a column's values so far, with or without the current one; interpolated between neighbours.
+
+    The values so far are one sorted array, into which a block is merged at its end. Within ``STEP`` rows a quantile
+    can move by ``STEP`` places at most, so rows are put into a short list of the array's values around it.
+    """
+
+    column: str
+    low: float = 0.01
+    high: float = 0.99
+    including: bool = True
+    outputs = "low_bound double, high_bound double"
+    STEP = 512
+
+    def __post_init__(self):
+        self.inputs = (self.column,)
+
+    def start(self):
+        return {"sorted": np.zeros(0)}
+
+    def _quantiles(self, held: np.ndarray, part: list[float], share: float) -> list[float]:
+        n, m = len(held), len(part)
+        a, b = max(0, math.floor(share * (n - 1)) - m), min(n, math.ceil(share * (n + m)) + 2)
+        near, below, out = held[a:b].tolist(), a, []
+        least, most = (near[0] if a else -math.inf), (near[-1] if b < n else math.inf)
+
+        def now() -> float:
+            if not n:
+                return math.nan
+            place = share * (n - 1)
+            k = math.floor(place)
+            x = near[k - below]
+            return x if place == k else x + (place - k) * (near[k + 1 - below] - x)
+
+        for v in part:
+            before = None if self.including else now()
+            if v == v:
+                n += 1
+                if v < least:
+                    below += 1
+                elif v <= most:
+                    bisect.insort(near, v)
+            out.append(now() if before is None else before)
+        return out
+
+    def block(self, state, x):
+        x = np.asarray(x, float)
+        found = np.empty((2, len(x)))
+        for at in range(0, len(x), self.STEP):
+            part = x[at : at + self.STEP]
+            for k, share in enumerate((self.low, self.high)):
+                found[k, at : at + len(part)] = self._quantiles(state["sorted"], part.tolist(), share)
+            fresh = np.sort(part[~np.isnan(part)])
+            state["sorted"] = np.insert(state["sorted"], np.searchsorted(state["sorted"], fresh), fresh)
+        return found[0], found[1]
+
+
 def _next(hits, at: int, end: int) -> int | None:
     """The first row from ``at`` on where ``hits`` of a slice holds, looked for in slices of growing length."""
     width = 64

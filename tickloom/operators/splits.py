@@ -75,7 +75,8 @@ def numbered(df: DataFrame) -> DataFrame:
 
 def numbered_by_day(df: DataFrame) -> DataFrame:
     """``numbered`` in two steps, so that no task sorts more than a symbol's day: counts of earlier days, and places in the day."""
-    dated = df.withColumn("__day", F.to_date("ts"))
+    day = F.to_date("ts") if "ts" in df.columns else F.floor(F.col("timestamp_ns") / 86_400_000_000_000)
+    dated = df.withColumn("__day", day)
     days = dated.groupBy("symbol", "__day").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("symbol").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = days.select("symbol", "__day", before.alias("__before"))
@@ -100,14 +101,20 @@ def grid(spark: SparkSession, choices: dict[str, list]) -> DataFrame:
     return spark.createDataFrame(rows, ["combination", *choices])
 
 
-def chunked(df: DataFrame, frame: int, chunk_rows: int) -> DataFrame:
-    """Adds ``__chunk`` and ``__halo``: chunks of a symbol's rows, each also with the ``frame`` - 1 rows before it, marked as halo.
+def chunked(df: DataFrame, frame: int, chunk_rows: int, ahead: int = 0) -> DataFrame:
+    """Adds ``__chunk`` and ``__halo``: chunks of a symbol's rows, each also with the ``frame`` - 1 rows before and the ``ahead`` rows after it, marked as halo.
 
-    A long symbol is thus many tasks' work; the frame must be short beside a chunk, and a chunk no shorter than it.
+    A long symbol is thus many tasks' work; frames should be short beside a chunk. A chunk shorter than they are is an error.
     """
+    if max(frame - 1, ahead) > chunk_rows:
+        raise ValueError(f"chunks of {chunk_rows} rows are shorter than frames of {max(frame - 1, ahead)} rows beside them")
     rows = numbered_by_day(df).withColumn("__chunk", F.floor(F.col("row") / chunk_rows))
-    halo = rows.where(F.col("row") % chunk_rows >= chunk_rows - frame + 1).withColumns({"__chunk": F.col("__chunk") + 1, "__halo": F.lit(True)})
-    return rows.withColumn("__halo", F.lit(False)).unionByName(halo)
+    place = F.col("row") % chunk_rows
+    out = rows.withColumn("__halo", F.lit(False))
+    for held, step in ((place >= chunk_rows - frame + 1, 1), (place < ahead, -1)):
+        if (frame > 1) if step > 0 else ahead:
+            out = out.unionByName(rows.where(held & (F.col("__chunk") + step >= 0)).withColumns({"__chunk": F.col("__chunk") + step, "__halo": F.lit(True)}))
+    return out
 
 
 def windowed(df: DataFrame, features: dict, frame: int, chunk_rows: int) -> DataFrame:
@@ -116,9 +123,9 @@ def windowed(df: DataFrame, features: dict, frame: int, chunk_rows: int) -> Data
     return chunked(df, frame, chunk_rows).withColumns({n: f(w) for n, f in features.items()}).where("not __halo").drop("__chunk", "__halo")
 
 
-def in_chunks(df: DataFrame, compute: Callable[[pd.DataFrame], pd.DataFrame | dict], outputs: str, frame: int, chunk_rows: int = 20_000) -> DataFrame:
+def in_chunks(df: DataFrame, compute: Callable[[pd.DataFrame], pd.DataFrame | dict], outputs: str, frame: int, chunk_rows: int = 20_000, ahead: int = 0) -> DataFrame:
     """``df`` with ``row`` and the columns ``outputs``, which ``compute`` makes of a chunk's rows in order, halo included."""
-    both = chunked(df, frame, chunk_rows)
+    both = chunked(df, frame, chunk_rows, ahead)
     kept = [c for c in both.columns if c not in ("__chunk", "__halo")]
     schema = ", ".join([*(f"`{n}` {t}" for n, t in both.dtypes if n in kept), outputs])
 

@@ -203,7 +203,8 @@ def cvd(spark, d):
 
 @query(sql(BARS, BAR_KEYS, {"bounded": f"least(greatest(close, quantile_cont(close, 0.01) OVER ({BW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), quantile_cont(close, 0.99) OVER ({BW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"}, "bars"))
 def winsorise(spark, d):
-    return rounded(six_hourly(spark, d), BAR_KEYS, {"bounded": C.winsorised("close")})
+    df = recurrences.run(six_hourly(spark, d), recurrences.ExpandingBounds("close"), order=("bar_start",))
+    return rounded(df, BAR_KEYS, {"bounded": F.least(F.greatest("close", "low_bound"), "high_bound")})
 
 
 ATR = TR + f", a AS (SELECT *, {mean('tr', 14)} AS atr FROM t)"
