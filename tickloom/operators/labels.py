@@ -51,13 +51,18 @@ def triple_barrier(df: DataFrame, price: str, variance: str, up: float = 2.0, do
     return splits.in_chunks(df, mark, "label int", 1, max(chunk_rows, horizon), horizon - 1).drop("row")
 
 
-def bar_barrier(bars: DataFrame, atr: str, take: float = 2.0, stop: float = 1.0, horizon: int = 24) -> DataFrame:
-    """Adds ``target``: 1 if within the next bars the high reaches the take level before the low reaches the stop."""
+def bar_outcome(bars: DataFrame, atr: str, take: float = 2.0, stop: float = 1.0, horizon: int = 24) -> DataFrame:
+    """Adds ``outcome``: 1 if within the next bars the high reaches the take level before, or when, the low reaches the stop, -1 if the stop comes first, else 0."""
     ahead = F.collect_list(F.struct("high", "low")).over(by_bar().rowsBetween(1, horizon))
     marked = bars.withColumns({"__ahead": ahead, "__up": F.col("close") + take * F.col(atr), "__down": F.col("close") - stop * F.col(atr)})
-    hits = F.filter("__ahead", lambda b: (b["high"] >= F.col("__up")) | (b["low"] <= F.col("__down")))
-    target = F.coalesce((F.get(hits, F.lit(0))["high"] >= F.col("__up")).cast("int"), F.lit(0))
-    return marked.withColumn("target", target).drop("__ahead", "__up", "__down")
+    hit = F.get(F.filter("__ahead", lambda b: (b["high"] >= F.col("__up")) | (b["low"] <= F.col("__down"))), F.lit(0))
+    outcome = F.when(hit.isNull(), 0).when(hit["high"] >= F.col("__up"), 1).otherwise(-1)
+    return marked.withColumn("outcome", outcome).drop("__ahead", "__up", "__down")
+
+
+def bar_barrier(bars: DataFrame, atr: str, take: float = 2.0, stop: float = 1.0, horizon: int = 24) -> DataFrame:
+    """Adds ``target``: 1 if the take level comes first, else 0."""
+    return bar_outcome(bars, atr, take, stop, horizon).withColumn("target", (F.col("outcome") == 1).cast("int")).drop("outcome")
 
 
 def exact_returns(bars: DataFrame, atr: str, take: float = 2.0, stop: float = 1.0, horizon: int = 24, leverage: float = 10.0, margin: float = 0.005, funding: float = 1e-4, pip: float = 1e-4) -> DataFrame:

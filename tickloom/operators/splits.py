@@ -68,6 +68,43 @@ def nested_validation(n: int, share: float = 0.2, purge: int = 9) -> list[tuple[
     return [(0, "train", 0, max(0, cut - purge)), (0, "validation", cut, n)]
 
 
+def in_parts(df: DataFrame, parts: int) -> DataFrame:
+    """Adds ``row``, ``part`` (of ``parts`` of almost equal size in a symbol) and how many rows of the part come before and after the row."""
+    rows = numbered_by_day(df)
+    sizes = rows.groupBy("symbol").agg(F.count("*").alias("__n"))
+    n = F.col("__n")
+    part = F.floor((F.col("row") * parts + parts - 1) / n).cast("int")  # the last part that begins at the row or before
+    part = F.when(F.floor(n * part / parts) > F.col("row"), part - 1).otherwise(part)
+    placed = rows.join(sizes, "symbol").withColumn("part", part)
+    edge = lambda k: F.floor(n * k / parts).cast("long")
+    return placed.withColumns({"before": F.col("row") - edge(F.col("part")), "after": edge(F.col("part") + 1) - 1 - F.col("row")}).drop("__n")
+
+
+def combinatorial_roles(parted: DataFrame, parts: int = 6, tests: int = 2, embargo: int = 0) -> DataFrame:
+    """Rows of ``in_parts`` by ``fold``, as test or training rows of it; a test row also has its ``path``.
+
+    A fold is a choice of test parts. Each part is tested in several folds, and a path takes each part from one of them, in
+    order: so every row is once in every path. Training rows within the embargo beside a test part are left out.
+    """
+    folds = list(itertools.combinations(range(parts), tests))
+    seen = [0] * parts
+    table = []
+    for fold, chosen in enumerate(folds):
+        paths = []
+        for k in range(parts):
+            paths.append(seen[k] if k in chosen else -1)
+            seen[k] += k in chosen
+        table.append(F.struct(F.lit(fold).alias("fold"), F.array(*map(F.lit, paths)).alias("paths")))
+    df = parted.withColumn("__fold", F.explode(F.array(*table)))
+    tested = lambda k: F.coalesce(F.get("__fold.paths", k) >= 0, F.lit(False))
+    part = F.col("part")
+    left = tested(part - 1) & (F.col("before") < embargo)
+    right = tested(part + 1) & (F.col("after") < embargo)
+    role = F.when(tested(part), "test").when(~(left | right), "train")
+    named = df.withColumns({"fold": F.col("__fold.fold"), "role": role, "path": F.when(tested(part), F.get("__fold.paths", part))})
+    return named.where("role is not null").drop("__fold")
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """Adds ``row``, a symbol's rows in time from 0."""
     return df.withColumn("row", (F.row_number().over(by_symbol()) - 1).cast("long"))
@@ -95,10 +132,18 @@ def in_ranges(spark: SparkSession, ranges: list[tuple[int, str, int, int]]) -> D
     return spark.createDataFrame(ranges, RANGES)
 
 
-def grid(spark: SparkSession, choices: dict[str, list]) -> DataFrame:
-    """Every combination of parameter values, numbered."""
-    rows = [(k, *v) for k, v in enumerate(itertools.product(*choices.values()))]
-    return spark.createDataFrame(rows, ["combination", *choices])
+def grid(choices: dict[str, list]) -> list[dict]:
+    """Every combination of parameter values, in order."""
+    return [dict(zip(choices, v, strict=True)) for v in itertools.product(*choices.values())]
+
+
+def grid_scores(df: DataFrame, choices: dict[str, list], score: Callable[[DataFrame, dict], DataFrame]) -> DataFrame:
+    """What ``score`` makes of ``df`` under each combination, with the combination's number and values; each reads ``df`` anew, side by side in one job."""
+    found = None
+    for k, chosen in enumerate(grid(choices)):
+        part = score(df, chosen).select(F.lit(k).cast("long").alias("combination"), *(F.lit(v).alias(n) for n, v in chosen.items()), "*")
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def chunked(df: DataFrame, frame: int, chunk_rows: int, ahead: int = 0) -> DataFrame:

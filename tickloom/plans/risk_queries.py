@@ -398,9 +398,44 @@ _split_query("out_of_fold", splits.time_series_ranges, """k AS (SELECT n, n // 6
   folds AS (SELECT fold, 'train' AS role, 0 AS b, b0 - 5 AS f FROM o WHERE b0 > 5 UNION ALL SELECT fold, 'test', b0, b0 + size FROM o WHERE b0 > 5)""")
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY stop, take) - 1 AS BIGINT) AS combination, stop, take FROM (VALUES (1.0e0), (1.5e0)) a(stop), (VALUES (2.0e0), (3.0e0), (4.0e0)) b(take)")
+_GRID = "g AS (SELECT CAST(row_number() OVER (ORDER BY stop, take) - 1 AS BIGINT) AS combination, stop, take FROM (VALUES (1.0e0), (1.5e0)) a(stop), (VALUES (2.0e0), (3.0e0), (4.0e0)) b(take))"
+
+
+@query(f"""WITH {ATR}, n AS MATERIALIZED (SELECT * FROM ranged), {_GRID},
+  x AS (SELECT combination, stop, take, n.symbol, n.i, close + take * atr AS up, close - stop * atr AS down FROM n, g),
+  h AS (SELECT combination, x.symbol, x.i, arg_min(y.high >= up, y.i) AS hit FROM x JOIN n y ON y.symbol = x.symbol AND y.i > x.i AND y.i <= x.i + 24 AND (y.high >= up OR y.low <= down) GROUP BY 1, 2, 3)
+  SELECT combination, stop, take, count(*) AS n, round(avg(CAST(coalesce(hit, false) AS INTEGER)), 6) + 0.0 AS hits, round(avg(CASE WHEN hit THEN take WHEN NOT hit THEN -stop ELSE 0 END), 6) + 0.0 AS score
+  FROM x LEFT JOIN h USING (combination, symbol, i) GROUP BY 1, 2, 3""")
 def grid_search(spark, d):
-    return splits.grid(spark, {"stop": [1.0, 1.5], "take": [2.0, 3.0, 4.0]})
+    """Each pair of stop and target distances scored on all bars: how often the target comes first, and the mean gain in ranges."""
+
+    def score(df, chosen):
+        marked = labels.bar_outcome(df, "atr", chosen["take"], chosen["stop"])
+        gain = F.when(F.col("outcome") == 1, chosen["take"]).when(F.col("outcome") == -1, -chosen["stop"]).otherwise(0.0)
+        return marked.agg(F.count("*").alias("n"), r(F.avg((F.col("outcome") == 1).cast("int"))).alias("hits"), r(F.avg(gain)).alias("score"))
+
+    return splits.grid_scores(_with_atr(spark, d), {"stop": [1.0, 1.5], "take": [2.0, 3.0, 4.0]}, score)
+
+
+@query(f"""WITH {PB}, v AS (SELECT symbol, ret, sign(lag(ret) OVER ({BW})) AS before, i AS row, count(*) OVER (PARTITION BY symbol) AS n FROM rt),
+  parts AS (SELECT unnest(range(6)) AS p), pairs AS (SELECT x.p AS s, y.p AS t, row_number() OVER (ORDER BY x.p, y.p) - 1 AS fold FROM parts x JOIN parts y ON x.p < y.p),
+  k AS (SELECT v.*, p AS part, row - n * p // 6 AS from_begin, n * (p + 1) // 6 - 1 - row AS to_end FROM v JOIN parts ON row >= n * p // 6 AND row < n * (p + 1) // 6),
+  f AS (SELECT k.*, fold, part IN (s, t) AS test, (part - 1 IN (s, t) AND from_begin < 3) OR (part + 1 IN (s, t) AND to_end < 3) AS near FROM k, pairs),
+  m AS (SELECT symbol, fold, avg(ret * before) AS edge FROM f WHERE NOT test AND NOT near GROUP BY 1, 2),
+  o AS (SELECT fold, p, row_number() OVER (PARTITION BY p ORDER BY fold) - 1 AS path FROM pairs JOIN parts ON p IN (s, t)),
+  z AS (SELECT f.symbol, path, sign(edge) * before * ret AS gain FROM f JOIN m ON m.symbol = f.symbol AND m.fold = f.fold JOIN o ON o.fold = f.fold AND o.p = f.part WHERE test),
+  q AS (SELECT symbol, path, count(gain) AS n, avg(gain) / greatest(stddev_samp(gain), 1e-8) AS ratio FROM z GROUP BY 1, 2)
+  SELECT symbol, CAST(path AS INTEGER) AS path, n, round(ratio, 6) + 0.0 AS ratio, round(min(ratio) OVER (PARTITION BY symbol), 6) + 0.0 AS worst, round(avg(ratio) OVER (PARTITION BY symbol), 6) + 0.0 AS mean FROM q""")
+def combinatorial_paths(spark, d):
+    """Back-test paths of combinatorial folds: each fold learns if returns go on or turn, and its test parts join into paths, with the ratio of each."""
+    bars = path_bars(spark, d).withColumn("before", F.signum(F.lag("ret").over(by_bar())))
+    bars = bars.select("symbol", "ret", "before", F.col("bar_start").alias("ts"), (F.unix_micros("bar_start") * 1000).alias("timestamp_ns"), F.lit(0).alias("seq")).withColumnRenamed("before", "turn")
+    rows = splits.combinatorial_roles(splits.in_parts(bars, 6), 6, 2, embargo=3)
+    edge = rows.where("role = 'train'").groupBy("symbol", "fold").agg(F.signum(F.avg(F.col("ret") * F.col("turn"))).alias("edge"))
+    gain = rows.where("role = 'test'").join(edge, ["symbol", "fold"]).withColumn("gain", F.col("edge") * F.col("turn") * F.col("ret"))
+    paths = gain.groupBy("symbol", "path").agg(F.count("gain").alias("n"), (F.avg("gain") / F.greatest(F.stddev_samp("gain"), F.lit(1e-8))).alias("ratio"))
+    every = Window.partitionBy("symbol")
+    return paths.select("symbol", "path", "n", r("ratio").alias("ratio"), r(F.min("ratio").over(every)).alias("worst"), r(F.avg("ratio").over(every)).alias("mean"))
 
 
 # sizing, gates, challenges
