@@ -162,6 +162,17 @@ def test_suffix_dedup(docs, monkeypatch, crowd):
     assert all(hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"] for r in found if "\ufffd" not in r["text"])
 
 
+def test_cut_texts_keep_columns_of_any_name(spark):
+    passage = " ".join(f"w{k}" for k in range(120))
+    rows = [(i, f"{i} {passage} {i}", "a", "b", "c", "d", "e") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __name string, name string, d1 string, d2 string, hits string")
+    found = suffix_dedup.without_repeats(docs, 400)
+    assert found.columns == docs.columns
+    # all but the digits, and what lies at one end of them, stands in every text
+    assert sorted(tuple(r)[0:1] + tuple(r)[2:] for r in found.collect()) == [(i, "a", "b", "c", "d", "e") for i in range(3)]
+    assert all(passage not in r["text"] and str(r["doc_id"]) in r["text"] for r in found.collect())
+
+
 def test_suffix_dedup_past_16_mib(spark):
     rng = np.random.default_rng(3)
     prose = lambda n: rng.integers(97, 123, n, "u1").tobytes().decode()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Rolling, as_bytes, by_block, loose, mix, squeeze, staged, tidied, tidy
+from tickloom.llm.common import Rolling, as_bytes, by_block, loose, mix, squeeze, staged, tidied, tidy, unused
 from tickloom.llm.dictionary import ragged
 from tickloom.llm.suffixes import reaching, suffix_array
 
@@ -300,7 +300,8 @@ def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
 
     A character of which only some bytes are removed goes as a whole.
     """
-    spans = repeated_spans(as_bytes(docs, id_col, text_col), length).select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), F.col("hits").alias("__hits"))
+    name, one, two, held = (unused(n, docs) for n in ("name", "d1", "d2", "hits"))
+    spans = repeated_spans(as_bytes(docs, id_col, text_col), length).select(F.col("d1").alias(one), F.col("d2").alias(two), F.col("hits").alias(held))
 
     @F.arrow_udf("struct<d1:long,d2:long>")
     @tidied
@@ -317,10 +318,10 @@ def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
             yield pa.array([b.decode("utf-8", "ignore") for b in _strip((b.as_py() for b in bodies), hits, length)[2]], pa.string())
 
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    keyed = docs.withColumn("__name", named(body))
-    joined = keyed.join(spans, (F.col("__name.d1") == F.col("__d1")) & (F.col("__name.d2") == F.col("__d2")), "left")
-    new = F.when(F.col("__hits").isNull(), F.col(text_col)).otherwise(cut(body, F.col("__hits")))
-    return joined.withColumn(text_col, new).drop("__name", "__d1", "__d2", "__hits")
+    keyed = docs.withColumn(name, named(body))
+    joined = keyed.join(spans, (F.col(f"{name}.d1") == F.col(one)) & (F.col(f"{name}.d2") == F.col(two)), "left")
+    new = F.when(F.col(held).isNull(), F.col(text_col)).otherwise(cut(body, F.col(held)))
+    return joined.withColumn(text_col, new).drop(name, one, two, held)
 
 
 def digest(removed: DataFrame) -> DataFrame:
