@@ -65,7 +65,7 @@ def _shape_features(text: str, words: list[str]) -> list[int]:
 class Features:
     """Distinct features of texts; those of words are kept in a table of bounded size."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __init__(self, wanted: dict[int, int] | None = None):
         self.wanted = wanted
