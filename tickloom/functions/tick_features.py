@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tickloom.operators.clean import clip
-from tickloom.sources.ticks import by_symbol, last_rows, next_rows, so_far
+from tickloom.sources.ticks import by_symbol, last_rows, so_far
 
 
 def log_return(price: str = "mid", step: int = 1) -> Column:
@@ -17,37 +17,10 @@ def log_return(price: str = "mid", step: int = 1) -> Column:
     return F.when(before.isNotNull(), F.ln(F.col(price) / F.greatest(before, F.lit(1e-12))))
 
 
-def imbalance(window: int = 500) -> dict[str, Column]:
-    """Sum and mean of signs, and the shares of rises and falls."""
-    w = last_rows(window)
-    return {
-        "tib": F.sum(F.col("sign").cast("long")).over(w),
-        "cib": F.avg(F.col("sign").cast("double")).over(w),
-        "up_share": F.avg((F.col("sign") == 1).cast("int")).over(w),
-        "down_share": F.avg((F.col("sign") == -1).cast("int")).over(w),
-    }
-
-
 def last_returns(n: int = 5) -> dict[str, Column]:
     return {f"ret_{k}": F.coalesce(F.lag("log_return", k).over(by_symbol()), F.lit(0.0)) for k in range(n)}
 
 
-def volatility_ratio(short: int = 5, long: int = 512) -> Column:
-    """Log ratio of the variances of the last returns, bounded by 5."""
-    a, b = (F.var_pop("log_return").over(last_rows(n)) for n in (short, long - 1))
-    return clip(F.ln((a + 1e-12) / (b + 1e-12)), -5, 5)
-
-
-def spread_features(window: int = 512) -> dict[str, Column]:
-    w = last_rows(window)
-    mean, s = F.avg("spread").over(w), F.col("spread")
-    return {
-        "spread_z": clip((s - (mean + 1e-8)) / (F.stddev_pop("spread").over(w) + 1e-8), -5, 5),
-        "spread_ratio": clip(F.avg("spread").over(last_rows(10)) / (mean + 1e-8), 0, 10),
-        "spread_spike": clip(s / (F.percentile("spread", 0.95).over(w) + 1e-8), 0, 10),
-    }
-
-
 def momentum(n: int) -> Column:
     base = F.lag("mid", n).over(by_symbol())
     return F.when(base >= 1e-12, clip((F.col("mid") - base) / base, -1, 1)).otherwise(0.0)
@@ -73,10 +46,6 @@ def expanding_z(name: str) -> Column:
     return F.when(F.count(name).over(so_far()) >= 2, frozen_z(F.col(name), mean, std)).otherwise(0.0)
 
 
-def realised_variance(window: int = 1001) -> Column:
-    return F.var_pop("log_return").over(last_rows(window - 1))
-
-
 def forward_return(stride: int, price: str = "mid") -> Column:
     ahead = F.lead(price, stride).over(by_symbol())
     return F.coalesce(F.ln(F.greatest(ahead, F.lit(1e-12)) / F.greatest(F.col(price), F.lit(1e-12))), F.lit(0.0))
@@ -93,31 +62,6 @@ def wavelet_kernels(scales: int = 32) -> list[list[float]]:
     return out
 
 
-def wavelet_energy(window: int = 128, scales: int = 32) -> Column:
-    """Energies by scale of the last ``delta_t`` values, as an array; ``normalised`` makes shares of them.
-
-    The kernels are one constant array, and an energy is a fold over the last values, padded on the left
-    with the first of them, so that all of it stays in the JVM and in one small expression.
-    """
-    kernels = wavelet_kernels(scales)
-    taps = max(map(len, kernels))
-    logs = F.transform(F.collect_list("delta_t").over(last_rows(window)), lambda x: F.log1p(clip(x, 0, 1e6)))
-    rows = F.transform(F.array(logs), lambda v: F.concat(F.array_repeat(F.get(v, F.lit(0)), taps), v))
-    table = F.array(*(F.array(*map(F.lit, k)) for k in kernels))
-
-    def energy(values: Column, k: Column) -> Column:
-        part = F.zip_with(F.slice(values, -F.size(k), F.size(k)), k, lambda x, y: x * y)
-        return F.pow(F.aggregate(part, F.lit(0.0), lambda s, v: s + v), F.lit(2.0))
-
-    return F.flatten(F.transform(rows, lambda v: F.transform(table, lambda k: energy(v, k))))
-
-
-def normalised(energies: str) -> Column:
-    """Shares of the energies of a column, which stay as they are if they are next to nothing."""
-    total = F.aggregate(energies, F.lit(0.0), lambda s, v: s + v)
-    return F.when(total > 1e-8, F.transform(energies, lambda e: F.try_divide(e, total))).otherwise(F.col(energies))
-
-
 def rule_regime(hf_energy: Column, velocity_var: Column, cusum_energy: Column) -> Column:
     """volatile, sideways, up or down, by fixed rules in this order."""
     return F.when(hf_energy > 0.3, "volatile").when(velocity_var < 1e-5, "sideways").when(cusum_energy > 0, "up").otherwise("down")
@@ -132,11 +76,6 @@ def vector_history(vector: str, n: int = 10) -> Column:
     return F.flatten(F.collect_list(vector).over(last_rows(n)))
 
 
-def forward_window(name: str, first: int, last: int) -> Column:
-    return F.collect_list(name).over(next_rows(first, last))
-
-
-
 # Features over long frames: a chunk of a symbol's rows and the frame before it, in numpy.
 
 

@@ -225,6 +225,22 @@ def portfolio(assets: DataFrame) -> DataFrame:
     return assets.agg(F.sum("n_trades").alias("n_trades"), wins.alias("n_wins"), (100.0 * wins / F.sum("n_trades")).alias("win_rate_pct"), F.avg("ret").alias("ret"))
 
 
+def portfolio_ratios(returns: DataFrame, weights: DataFrame, asset: str, day: str, ret: str, periods: int = 252) -> DataFrame:
+    """(n, sharpe, cagr_pct, max_drawdown_pct, total_pct) of the daily sums of returns times weights; a missing weight is an equal share of all assets."""
+    n_assets = returns.select(asset).distinct().count()
+    both = returns.join(weights.select(asset, day, "weight"), [asset, day], "left")
+    daily = both.groupBy(day).agg(F.sum(F.coalesce(F.col(ret), F.lit(0.0)) * F.coalesce("weight", F.lit(1.0 / max(1, n_assets)))).alias("ret"))
+    so_far = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)  # one row a day
+    level = daily.withColumn("level", F.exp(F.sum(F.log1p("ret")).over(so_far)))
+    fall = level.withColumn("fall", F.col("level") / F.max("level").over(so_far) - 1)
+    end, years = F.max_by("level", day), F.count("*") / periods
+    std = F.stddev_samp("ret") * math.sqrt(periods)
+    return fall.agg(
+        F.count("*").alias("n"), F.when(std > 0, F.avg("ret") * periods / std).otherwise(0.0).alias("sharpe"), (100 * (F.pow(end, 1 / years) - 1)).alias("cagr_pct"),
+        (100 * F.min("fall")).alias("max_drawdown_pct"), (100 * (end - 1)).alias("total_pct"),
+    )
+
+
 def stability_index(*columns: str) -> Column:
     """Mean over the dimensions of their sample deviations."""
     total = F.lit(0.0)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators import clean, risk
+
 
 def position_size(equity: Column, budget: Column, stop_pips: Column, pip_value: Column, fraction: float = 1.0, most: float = 0.02, half_kelly: float = 0.25) -> Column:
     """Lots to two decimals (half to even), at least 0.01, cut to what the day's budget allows."""
@@ -31,6 +33,55 @@ def triple_gate(reversal: Column, trend: Column, strength: Column, quality: Colu
     return {"all_pass": every, "direction": F.when(~every, 0).when(reversal > trend, -1).otherwise(1)}
 
 
+#: What a gate asks for, by mode: of the regime's chance, and of the momentum for long and short.
+GATES = ("MOMENTUM", "MEAN_REV", "EXHAUSTION", "SLINGSHOT")
+
+
+def gate(mode: str, reversal: Column, trend: Column, momentum: Column, quality: Column, slope: Column | None = None, confident: float = 0.6) -> dict[str, Column]:
+    """Of one mode whether its gates pass, and the direction, 0 where they don't.
+
+    MOMENTUM follows a momentum beyond 0.1 in a trend more than ``confident``; SLINGSHOT any momentum in a trend of 0.51 or more.
+    MEAN_REV turns against one beyond 1.5 in a likely reversal of middling quality; EXHAUSTION buys a dip (momentum and quality
+    below -0.4) over a rising ``slope``, and sells its mirror, in a likely reversal or where neither regime is likely.
+    """
+    likely = reversal > 0.5
+    if mode == "MOMENTUM":
+        regime, long, short = trend > confident, momentum > 0.1, momentum < -0.1
+    elif mode == "SLINGSHOT":
+        regime, long, short = trend >= 0.51, momentum > 0, momentum < 0
+    elif mode == "MEAN_REV":
+        regime, long, short = likely & (quality > 0.5) & (quality < 2.5), momentum < -1.5, momentum > 1.5
+    elif mode == "EXHAUSTION":
+        steep = F.lit(0.0) if slope is None else slope
+        regime = likely | (1 - trend - reversal > 0.5)
+        long, short = (steep > 0) & (momentum < -0.4) & (quality < -0.4), (steep < 0) & (momentum > 0.4) & (quality > 0.4)
+    else:
+        raise ValueError(f"no such mode: {mode}; there are {', '.join(GATES)}")
+    direction = F.when(regime & long, 1).when(regime & short, -1).otherwise(0)
+    return {"all_pass": direction != 0, "direction": direction}
+
+
+def signals(bars: DataFrame, mode: str = "MOMENTUM", at: str = "bar_start", by: tuple[str, ...] = ("symbol",), **limits) -> DataFrame:
+    """Trades to make, with their sizes, stops and targets: rows whose gate passes and that risk does not veto.
+
+    Reads ``p_reversal``, ``p_trend``, ``p_stress``, ``momentum``, ``quality``, ``slope``, ``atr`` and ``close``, in all of which a null, NaN or
+    infinite value is an error, as no order may rest on one. ``pnl`` is the outcome of a row's trade, where it has one, and
+    counts for the rows after it. A symbol's first row makes no trade.
+    """
+    names = ("p_reversal", "p_trend", "p_stress", "momentum", "quality", "slope", "atr", "close")
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(at))
+    late = clean.forbid_odd(bars.withColumn("__number", number).where("__number > 1").drop("__number"), *names)
+    reversal, trend, stress, momentum, quality, slope = (F.col(n) for n in names[:6])
+    found = gate(mode, reversal, trend, momentum, quality, slope)
+    regime = F.when(trend >= F.greatest(reversal, stress), "TREND").when(reversal >= stress, "MEAN_REV").otherwise("STRESS")
+    basis = trend if mode in ("MOMENTUM", "SLINGSHOT") else reversal
+    ready = late.withColumns(
+        {"direction": found["direction"], "regime": regime, "p": basis, "price": F.col("close"), "scale": F.lit(1.0), "n_open": F.lit(0), "held": F.lit(False)}
+    )
+    decided = risk.decide(ready, at, "pnl", by, risk.RiskLimits(**limits))
+    return decided.where((F.col("direction") != 0) & (F.col("atr") > 0) & F.col("veto").isNull())
+
+
 def friction(asset: Column) -> Column:
     """Cost as a share of the price by asset class."""
     return F.when(asset == "fx", 0.0001).when(asset == "index", 0.0002).when(asset == "crypto", 0.001).otherwise(0.0005)
@@ -147,19 +198,29 @@ def challenge_tally(results: DataFrame) -> DataFrame:
     return results.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"), F.count_if("failed").alias("n_failed"), F.avg(F.col("passed").cast("int")).alias("pass_rate"))
 
 
-def bar_backtest(bars: DataFrame, stop: float = 1.0, take: float = 2.0, horizon: int = 24) -> DataFrame:
-    """Exit of a position opened at each signal bar's close (columns ``direction``, ``atr``): STOP, TAKE or TIME, and its return.
+def bar_trades(bars: DataFrame, stop: float = 1.0, take: float = 2.0, horizon: int = 24, spread: float = 1e-4, stressed: float = 10.0) -> DataFrame:
+    """Exit of a position opened at each signal bar's close (columns ``direction``, ``atr`` and, where there is one, ``stress``).
 
-    Every signal stands for itself; the exit is the first bar of the window that crosses a level, the stop being tested first.
+    Gives ``exit_type`` (STOP, TAKE, TIME after ``horizon`` bars, EOD at the data's end), ``bars_held``, ``ret`` before costs and ``net`` of half
+    a ``spread`` on either side, of which the entry's counts ``stressed`` times under stress. Every signal stands for itself; the exit is the
+    first bar of the window that crosses a level, the stop being tested first.
     """
     w = Window.partitionBy("symbol").orderBy("bar_start").rowsBetween(1, horizon)
-    d = F.col("direction")
-    marked = bars.withColumns({"__ahead": F.collect_list(F.struct("high", "low", "close")).over(w), "__stop": F.col("close") - d * stop * F.col("atr"), "__take": F.col("close") + d * take * F.col("atr")})
+    d, close = F.col("direction"), F.col("close")
+    marked = bars.withColumns({"__ahead": F.collect_list(F.struct("high", "low", "close")).over(w), "__stop": close - d * stop * F.col("atr"), "__take": close + d * take * F.col("atr")})
     stopped = lambda b: F.when(d == 1, b["low"] <= F.col("__stop")).otherwise(b["high"] >= F.col("__stop"))
     taken = lambda b: F.when(d == 1, b["high"] >= F.col("__take")).otherwise(b["low"] <= F.col("__take"))
-    hit = F.get(F.filter("__ahead", lambda b: stopped(b) | taken(b)), F.lit(0))
-    last = F.get("__ahead", F.size("__ahead") - 1)
-    kind = F.when(hit.isNull(), "TIME").when(stopped(hit), "STOP").otherwise("TAKE")
-    out = F.when(hit.isNull(), last["close"]).when(stopped(hit), F.col("__stop")).otherwise(F.col("__take"))
-    traded = marked.where((d != 0) & (F.size("__ahead") > 0))
-    return traded.select("symbol", "bar_start", "direction", kind.alias("exit_type"), (d * (out - F.col("close")) / F.col("close")).alias("ret"))
+    at = F.array_min(F.transform("__ahead", lambda b, i: F.when(stopped(b) | taken(b), i)))
+    hit, size = F.get("__ahead", at), F.size("__ahead")
+    kind = F.when(at.isNull(), F.when(size < horizon, "EOD").otherwise("TIME")).when(stopped(hit), "STOP").otherwise("TAKE")
+    out = F.when(at.isNull(), F.get("__ahead", size - 1)["close"]).when(stopped(hit), F.col("__stop")).otherwise(F.col("__take"))
+    stress = F.when(F.col("stress"), stressed).otherwise(1.0) if "stress" in bars.columns else F.lit(1.0)
+    gain = d * (out - close) / close
+    traded = marked.where((d != 0) & (size > 0))
+    return traded.select("symbol", "bar_start", "direction", kind.alias("exit_type"), F.coalesce(at + 1, size).alias("bars_held"), gain.alias("ret"), (gain - 0.5 * spread * (stress + out / close)).alias("net"))
+
+
+def bar_backtest(bars: DataFrame, stop: float = 1.0, take: float = 2.0, horizon: int = 24) -> DataFrame:
+    """``bar_trades`` before costs, in which a position at the data's end leaves by TIME."""
+    found = bar_trades(bars, stop, take, horizon)
+    return found.select("symbol", "bar_start", "direction", F.when(F.col("exit_type") == "EOD", "TIME").otherwise(F.col("exit_type")).alias("exit_type"), "ret")

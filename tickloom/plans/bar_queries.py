@@ -242,3 +242,17 @@ def inverse_vol_portfolio(spark, d):
     bars = six_hourly(spark, d).groupBy("symbol", F.to_date("bar_start").alias("day")).agg(F.max_by("close", "bar_start").alias("close"))
     bars = bars.withColumn("ret", F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("day")) - 1)
     return metrics.inverse_volatility(bars, "symbol", "day", "ret", 10).select("symbol", F.col("day").cast("string").alias("day"), r("weight").alias("weight"))
+
+
+@query(f"""WITH {_DAY}, s AS (SELECT *, stddev_samp(ret) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS std FROM dr),
+  i AS (SELECT *, 1 / nullif(lag(std) OVER (PARTITION BY symbol ORDER BY day), 0) AS inv FROM s), w AS (SELECT *, coalesce(inv / sum(inv) OVER (PARTITION BY day), 1.0e0 / (SELECT count(DISTINCT symbol) FROM dr)) AS weight FROM i),
+  p AS (SELECT day, sum(0.001 * coalesce(ret, 0) * weight) AS ret FROM w GROUP BY 1), l AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY day)) AS level FROM p), f AS (SELECT *, level / max(level) OVER (ORDER BY day) - 1 AS fall FROM l),
+  e AS (SELECT count(*) AS n, avg(ret) * 252 / (stddev_samp(ret) * sqrt(252)) AS sharpe, arg_max(level, day) AS level, min(fall) AS fall FROM f)
+  SELECT n, round(sharpe, 6) AS sharpe, round(100 * (pow(level, 252.0e0 / n) - 1), 4) AS cagr_pct, round(100 * fall, 6) AS max_drawdown_pct, round(100 * (level - 1), 6) AS total_pct FROM e""")
+def portfolio_ratios(spark, d):
+    """Sharpe ratio, growth and fall of the portfolio of inverse volatility, at a thousandth of the stake."""
+    bars = six_hourly(spark, d).groupBy("symbol", F.to_date("bar_start").alias("day")).agg(F.max_by("close", "bar_start").alias("close"))
+    bars = bars.withColumn("ret", F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("day")) - 1)
+    weights = metrics.inverse_volatility(bars, "symbol", "day", "ret", 10)
+    found = metrics.portfolio_ratios(bars.withColumn("ret", 0.001 * F.col("ret")), weights, "symbol", "day", "ret")
+    return found.select("n", *(r(c, 4 if c == "cagr_pct" else 6).alias(c) for c in ("sharpe", "cagr_pct", "max_drawdown_pct", "total_pct")))

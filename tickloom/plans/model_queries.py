@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tickloom.functions import bar_features as C
-from tickloom.operators import markov, whitening
+from tickloom.operators import isolation, jumps, markov, splits, trees, whitening
 from tickloom.plans.base import BAR_KEYS, BARS, BW, r, rounded, six_hourly
 
 QUERIES, ORACLE = {}, {}
@@ -172,3 +172,47 @@ def whitened_distance(spark, d):
     model = whitening.fit(bars.where("bar_start < '2024-01-21'"), COLUMNS)
     far = sum((F.col(f"w_{k}") * F.col(f"w_{k}") for k in range(3)), F.lit(0.0))
     return rounded(model.apply(bars), BAR_KEYS, {"distance": far}, 4).withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz"))
+
+
+def _rows(spark, d, *columns):
+    """Bars as rows in time, with columns that are standardised over all of them."""
+    df = _three(spark, d).withColumns({"ts": F.col("bar_start"), "timestamp_ns": F.unix_micros("bar_start") * 1000, "seq": F.lit(0)})
+    df = markov.standard(df.withColumn("log_return", F.coalesce("log_return", F.lit(0.0))), columns)
+    return df.select("symbol", "ts", "timestamp_ns", "seq", *(r(c, 9).alias(c) for c in columns))
+
+
+@query()
+def jump_kalman(spark, d):
+    """Levels of three columns under noise that is fitted anew every 20 bars on the last 60, and where surprises pile up."""
+    found = jumps.jump_filter(_rows(spark, d, *COLUMNS), list(COLUMNS), window=60, every=20)
+    return rounded(found, ("symbol", "timestamp_ns", "jump"), [*(f"level_{c}" for c in COLUMNS), "piled"], 4)
+
+
+@query()
+def regime_out_of_fold(spark, d):
+    """Regimes of bars (wide range, rising, falling) as a forest of earlier bars tells them from other columns, every bar of five folds once."""
+    bars = six_hourly(spark, d)
+    ratio = (F.col("close") - F.col("open")) / F.col("open")
+    wide = (F.col("high") - F.col("low")) / F.col("open") > 1.2
+    df = bars.select("symbol", F.col("bar_start").alias("ts"), (F.unix_micros("bar_start") * 1000).alias("timestamp_ns"), F.lit(0).alias("seq"), "volume", "tib", "spread_avg", "open", "close",
+      F.when(wide, "wide").when(ratio > 0, "rising").otherwise("falling").alias("regime"))
+    rows = splits.numbered_by_day(df)
+    n = rows.agg(F.max("row")).first()[0] or 0
+    found = trees.out_of_fold(splits.assign(rows, splits.time_series_ranges(n + 1)), ["volume", "tib", "spread_avg", "open", "close"], "regime", trees=10, depth=4)
+    return found.select("symbol", "timestamp_ns", "fold", "regime", "predicted")
+
+
+@query()
+def isolated_bars(spark, d):
+    """How soon a forest isolates each bar by its return, spread and volume."""
+    df = _rows(spark, d, *COLUMNS)
+    return rounded(isolation.score(df, isolation.fit(df, COLUMNS)), ("symbol", "timestamp_ns"), ["anomaly"])
+
+
+@query()
+def routed_experts(spark, d):
+    """Three guesses of the next return (none, more of the same, a turn), weighted by the posteriors of a mixture over return and spread."""
+    df = _rows(spark, d, "log_return", "spread_avg")
+    model = isolation.mixture(df, ("log_return", "spread_avg"), 3)
+    x = F.col("log_return")
+    return rounded(isolation.routed(df, model, ("log_return", "spread_avg"), [F.lit(0.0), 0.5 * x, -0.5 * x]), ("symbol", "timestamp_ns"), ["routed"], 4)

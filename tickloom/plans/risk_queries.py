@@ -325,6 +325,50 @@ def path_backtest(spark, d):
     return simulate.bar_backtest(df).select(*BAR_KEYS, "direction", "exit_type", r("ret").alias("ret"))
 
 
+@query(f"""WITH {ATR}, s AS (SELECT *, CAST(sign(close - open) AS INTEGER) AS direction, i % 7 = 0 AS stress FROM ranged), e AS (SELECT symbol, max(i) AS n FROM s GROUP BY 1),
+  h AS (SELECT x.symbol, x.i, min(y.i) AS j FROM s x JOIN s y ON x.symbol = y.symbol AND y.i > x.i AND y.i <= x.i + 24
+    AND CASE WHEN x.direction = 1 THEN y.low <= x.close - x.atr OR y.high >= x.close + 2 * x.atr ELSE y.high >= x.close + x.atr OR y.low <= x.close - 2 * x.atr END GROUP BY 1, 2),
+  x AS (SELECT s.*, h.j, e.n, CASE WHEN s.direction = 1 THEN b.low <= s.close - s.atr ELSE b.high >= s.close + s.atr END AS stopped, f.close AS fin FROM s JOIN e ON e.symbol = s.symbol LEFT JOIN h ON h.symbol = s.symbol AND h.i = s.i LEFT JOIN s b ON b.symbol = s.symbol AND b.i = h.j JOIN s f ON f.symbol = s.symbol AND f.i = least(s.i + 24, e.n) WHERE s.direction <> 0 AND s.i < e.n),
+  o AS (SELECT *, CASE WHEN j IS NULL THEN fin WHEN stopped THEN close - direction * atr ELSE close + direction * 2 * atr END AS out FROM x)
+  SELECT symbol, bar_start, direction, CASE WHEN j IS NULL AND i + 24 > n THEN 'EOD' WHEN j IS NULL THEN 'TIME' WHEN stopped THEN 'STOP' ELSE 'TAKE' END AS exit_type, CAST(coalesce(j, least(i + 24, n)) - i AS INTEGER) AS bars_held,
+    {_o(ret='direction * (out - close) / close', net='direction * (out - close) / close - 0.00005 * (CASE WHEN stress THEN 10 ELSE 1 END + out / close)')} FROM o""")
+def bar_trades(spark, d):
+    """Exits of positions opened at every bar of the path, at the data's end too, after costs that some bars enter under stress."""
+    df = _with_atr(spark, d).withColumns({"direction": F.signum(F.col("close") - F.col("open")).cast("int"), "stress": F.col("i") % 7 == 0})
+    found = simulate.bar_trades(df)
+    return found.select(*BAR_KEYS, "direction", "exit_type", "bars_held", r("ret").alias("ret"), r("net").alias("net"))
+
+
+_MODES = """CASE WHEN trend > 0.6 AND abs(momentum) > 0.1 THEN sign(momentum) ELSE 0 END AS m0,
+  CASE WHEN reversal > 0.5 AND quality > 0.5 AND quality < 2.5 AND abs(momentum) > 1.5 THEN -sign(momentum) ELSE 0 END AS m1,
+  CASE WHEN NOT (reversal > 0.5 OR 1 - trend - reversal > 0.5) THEN 0 WHEN slope > 0 AND momentum < -0.4 AND quality < -0.4 THEN 1 WHEN slope < 0 AND momentum > 0.4 AND quality > 0.4 THEN -1 ELSE 0 END AS m2,
+  CASE WHEN trend >= 0.51 THEN sign(momentum) ELSE 0 END AS m3"""
+
+
+def _gate_inputs(df):
+    a = (F.col("seq") % 11) / 10.0
+    return df.withColumns({"trend": a, "reversal": (1 - a) * (F.col("seq") % 3) / 2.0, "momentum": (F.col("mid") - 50) / 20, "quality": F.col("volume") / 2 - 1, "slope": (F.col("seq") % 5) - 2.0})
+
+
+@query(f"""WITH {TICKS}, s AS (SELECT symbol, seq, (seq % 11) / 10.0e0 AS trend, (1 - (seq % 11) / 10.0e0) * (seq % 3) / 2.0e0 AS reversal, (mid - 50) / 20 AS momentum, volume / 2 - 1 AS quality, (seq % 5) - 2.0e0 AS slope FROM ticks)
+  SELECT symbol, seq, CAST(m0 AS INTEGER) AS momentum, CAST(m1 AS INTEGER) AS mean_rev, CAST(m2 AS INTEGER) AS exhaustion, CAST(m3 AS INTEGER) AS slingshot FROM (SELECT symbol, seq, {_MODES} FROM s)""")
+def gate_modes(spark, d):
+    """The direction that each mode of the gate gives."""
+    c = [F.col(n) for n in ("reversal", "trend", "momentum", "quality", "slope")]
+    modes = {m.lower(): simulate.gate(m, *c)["direction"] for m in simulate.GATES}
+    return _gate_inputs(ticks(spark, d)).select(*KEYS, *(v.alias(k) for k, v in modes.items()))
+
+
+@query()
+def signal_trades(spark, d):
+    """Trades that momentum gates and risk let through on the path's bars."""
+    bars = _with_atr(spark, d).where("ret is not null")
+    x = F.greatest(F.least(0.5 + 8 * F.abs("ret"), F.lit(0.98)), F.lit(0.0))
+    df = bars.withColumns({"p_trend": x, "p_reversal": (1 - x) / 2, "p_stress": (1 - x) / 2, "momentum": 10 * F.col("ret"), "quality": F.lit(1.0), "slope": F.col("ret"), "pnl": 5000 * F.lag("ret").over(by_bar())})
+    found = simulate.signals(df)
+    return found.select(*BAR_KEYS, "direction", "regime", r("fraction").alias("fraction"), r("units").alias("units"), r("stop_loss").alias("stop_loss"), r("take_profit").alias("take_profit"))
+
+
 @query(f"""WITH RECURSIVE {ATR}, s AS (SELECT symbol, bar_start, i, high, low, close, CASE WHEN i % 5 = 0 THEN sign(close - open) ELSE 0 END AS d, atr FROM ranged),
   m AS (SELECT symbol, bar_start, i, close, 0.0e0 AS d, 0.0e0 AS stop, 0.0e0 AS target, CAST(NULL AS DOUBLE) AS y FROM s WHERE i = 0
     UNION ALL SELECT symbol, bar_start, i, close, CASE WHEN still THEN hd ELSE d END, CASE WHEN still THEN stop ELSE close - d * atr END, CASE WHEN still THEN target ELSE close + 2 * d * atr END,
