@@ -390,4 +390,4 @@ def test_empty_tables(spark, empty):
 
 def test_queries_are_registered():
     numbers = {int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
