@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tickloom.llm import bpe, chat, html_extraction, packing, quality_classifier, queries, suffix_dedup, token_counts
+from tickloom.llm import bpe, chat, dictionary, html_extraction, packing, quality_classifier, queries, suffix_dedup, token_counts
 from tickloom.llm.ann import nearest
 from tickloom.llm.jaccard import can_link, near_duplicates, set_name, sketch
 from tickloom.llm.quality_rules import quality_rules, verdict
@@ -361,6 +361,33 @@ def test_token_counts(docs):
     assert Counter(map(tuple, token_counts.token_counts(docs, path).collect())) == want
 
 
+def test_prefixes_are_scored_once(spark):
+    """Words dealt in order: a prefix has one node in all tries, but for those that a border cuts; a frequent prefix is cut."""
+    rng = random.Random(3)
+    words = ["http" + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(3000)] + ["w" + str(i) for i in range(600)]
+    words = sorted({w.encode() for w in words})
+    deal = dictionary.even_borders(rng.sample(words, 800), 16)
+    buckets = [[w.decode() for w in words if deal(w) == b] for b in range(16)]
+    assert sum(map(len, buckets)) == len(words) and max(map(len, buckets)) < 2 * len(words) / 16
+    tries = [token_counts.Trie({"h": -1.0, "tt": -2.0}) for _ in buckets]
+    for trie, part in zip(tries, buckets, strict=True):
+        for w in part:
+            trie.insert(w)
+    prefixes = {w[:n] for w in words for n in range(1, len(w) + 1)}
+    assert sum(len(t.best) - 1 for t in tries) <= len(prefixes) + 15 * max(map(len, words))
+    assert dictionary.even_borders([], 4)(b"any") == 0 and dictionary.even_borders([b"a"] * 9, 4)(b"b") == 1
+
+    rows = spark.createDataFrame([(i, bytearray(b" ".join(words[i::40]))) for i in range(40)], "id long, body binary")
+    found = dictionary.sampled_borders(rows, str.split, str, 8)
+    assert len(found.borders) == 7 and sorted(found.borders) == list(found.borders)
+
+
+def test_digest_tells_blocks_of_other_words():
+    tags = [(0, b"ab"), (0, b"c")]
+    assert dictionary._digest(tags) == dictionary._digest([(1, b"ab"), (2, b"c")])
+    assert len({dictionary._digest(t) for t in (tags, [(0, b"a"), (0, b"bc")], [(0, b"ab"), (0, b"d")], [])}) == 4
+
+
 def test_classifier_held_out(spark):
     data = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))

@@ -1,9 +1,10 @@
 """Token counts of the best unigram segmentation, by dynamic programming over a trie of pre-tokens.
 
 Pre-tokens are a text's words with the vocabulary's word mark before them. The distinct ones of the
-corpus (see ``dictionary``) are inserted in tries, one a bucket; a node's forward score, the best sum of
-piece scores up to it, is computed once for all pre-tokens that share the prefix, from the scores above
-it, and the nodes where pre-tokens end hold their counts. A character that no piece covers counts as its
+corpus (see ``dictionary``) are dealt in order, so that a bucket holds all those between two borders, and inserted in
+a trie of the bucket; a node's forward score, the best sum of piece scores up to it, is computed once for all
+pre-tokens that share the prefix, from the scores above it, and the nodes where pre-tokens end hold their counts.
+Only a prefix that a border cuts has a node in more than one trie, so a frequent prefix is many tasks' work. A character that no piece covers counts as its
 UTF-8 bytes, at a score below every piece's.
 
 Defined results: null text is an empty text (no tokens); of segmentations of equal score the one of
@@ -98,4 +99,4 @@ def _gather(flat: np.ndarray, offsets: np.ndarray, documents: Iterator[tuple[int
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens) of every whole text."""
-    return over_words(docs, id_col, text_col, _split, _name, _Count(path), _gather, "doc_id long, n_words long, n_tokens long")
+    return over_words(docs, id_col, text_col, _split, _name, _Count(path), _gather, "doc_id long, n_words long, n_tokens long", by_prefix=True)
