@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import markov as M
+from tickloom.operators import regimes
 
 COLUMNS, DRIVERS = ("a", "b"), ("z",)
 
@@ -175,3 +176,62 @@ def test_nothing_to_fit(spark):
     m = model()
     assert M.fit(frame(spark, []), m, rounds=2)[1] == []
     assert M.filtered(frame(spark, []), m).collect() == [] and M.decoded(frame(spark, []), m).collect() == []
+
+
+def test_walk_forward(spark):
+    """Every fold against plain rounds over its own training rows, and plain probabilities of its tested rows."""
+    train, test, rounds, least = 30, 12, 3, 20
+    rows = table((90, 5, 37))
+    first = model()
+    found = regimes.walk_forward(frame(spark, rows), lambda x: first, COLUMNS, DRIVERS, 3, train, test, rounds=rounds, least=least).toPandas()
+    seen = 0
+    for symbol in "xyw":
+        own = [r for r in rows if r[0] == symbol]
+        for fold, begin in enumerate(range(train, len(own), test)):
+            part = own[begin - train : begin + test]
+            x = np.array([[np.nan if v is None else v for v in r[3:5]] for r in part], float)
+            clean = x[:train][~np.isnan(x[:train]).any(1)]
+            assert len(clean) >= least
+            x = (x - clean.mean(0)) / clean.std(0)
+            part = [(*r[:3], *(None if math.isnan(v) else float(v) for v in z), r[5]) for r, z in zip(part, x, strict=True)]
+            m = first
+            for _ in range(rounds):
+                m, _ = plain_round(m, part[:train], 1e-3, 1e-3)
+            m = m.ordered()
+            want = np.array(plain(m, part[train:])[symbol][0])
+            got = found[(found["symbol"] == symbol) & (found["fold"] == fold)].sort_values("seq")
+            assert list(got["seq"]) == [r[2] for r in part[train:]] and got["fitted"].all()
+            np.testing.assert_allclose(got[["p_0", "p_1", "p_2"]].to_numpy(), want, atol=1e-6)
+            b = [np.ones(3) if v is None else density(m, v).sum(1) for _, v, _ in sequences(part[train:], DRIVERS)[symbol]]
+            a = [softmax(m, c) for _, _, c in sequences(part[train:], DRIVERS)[symbol]]
+            score, back = np.log(m.start) + np.log(b[0]), []
+            for t in range(1, len(b)):
+                ways = score[:, None] + np.log(a[t - 1])
+                back.append(ways.argmax(0))
+                score = ways.max(0) + np.log(b[t])
+            path = [int(score.argmax())]
+            for step in reversed(back):
+                path.append(int(step[path[-1]]))
+            assert list(got["state"]) == path[::-1]
+            seen += len(got)
+    assert seen == len(found) == 60 + 7
+
+    none = regimes.walk_forward(frame(spark, rows), lambda x: first, COLUMNS, DRIVERS, 3, train, test, least=31).toPandas()
+    assert len(none) == seen and not none["fitted"].any() and none["state"].isna().all() and (none["p_1"] == 1 / 3).all()
+    with pytest.raises(ValueError):
+        regimes.rolling(frame(spark, rows), 0, 5)
+
+
+def test_level_start_and_names(spark):
+    x = np.array([[3.0], [np.nan], [1.0], [2.0], [6.0]])
+    start = regimes.level_start(("a",), 2, stay=0.8)(x)
+    assert start.means.ravel().tolist() == [1.5, 4.5] and np.allclose(np.exp(start.moves[:, :, 0]), [[0.8, 0.2], [0.2, 0.8]])
+
+    def names(rows):
+        df = spark.createDataFrame(rows, "state int, v double")
+        return [r["name"] for r in regimes.state_names(df, "state", "v").orderBy("state").collect()]
+
+    assert names([(0, 5.0), (0, 7.0), (1, 1.0), (1, 1.1), (2, -9.0), (2, 0.0)]) == ["TREND", "COMPRESSION", "MEAN_REV"]
+    assert names([(0, 4.0), (0, 6.0), (1, 1.0), (1, 1.1), (2, -9.0), (2, -1.0), (2, None)]) == ["MEAN_REV", "COMPRESSION", "TREND"]  # equal drift
+    assert names([(0, 1.0)]) == ["COMPRESSION", "MEAN_REV", "TREND"]  # states without rows
+    assert names([]) == ["COMPRESSION", "MEAN_REV", "TREND"]

@@ -435,6 +435,22 @@ def fit(df: DataFrame, start: Markov, rounds: int = 50, tolerance: float = 1e-4,
     return model, history
 
 
+def fit_sequence(x: np.ndarray, c: np.ndarray, start: Markov, rounds: int = 50, tolerance: float = 1e-4, floor: float = 1e-3, ridge: float = 1e-3) -> tuple[Markov, list[float]]:
+    """``fit`` to one short sequence of rows (n, columns) and drivers (n, drivers), for use inside a task."""
+    model, history = start, []
+    frame = pd.DataFrame({"chunk": [0], "x": [x.ravel()], "c": [c.ravel()], "after": [None]})
+    for _ in range(rounds):
+        p, scale = Block(model, frame).product()
+        gain = float(np.log((model.start @ p[0]).sum()) + scale[0])
+        expected = Expected(model)
+        found = expected.named(expected.of(model, frame.assign(before=[model.start], gain=gain)))
+        history.append(gain)
+        if len(history) > 1 and history[-1] - history[-2] < tolerance:
+            break
+        model = improved(model, found, floor, ridge)
+    return model, history
+
+
 def best_fit(df: DataFrame, starts: list[Markov], order_by: int = 0, **how) -> tuple[Markov, list[float]]:
     """The fit of the highest likelihood, its states in the order of a column's means."""
     model, history = max((fit(df, s, **how) for s in starts), key=lambda found: found[1][-1] if found[1] else -np.inf)

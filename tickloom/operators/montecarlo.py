@@ -39,6 +39,16 @@ def stationary_bootstrap(returns: DataFrame, simulations: int, mean_block: int =
     return drawn.join(returns.select(F.col("step").alias("source"), "ret"), "source").select("sim", "step", "ret")
 
 
+def bootstrap_test(returns: DataFrame, simulations: int, mean_block: int = 20, seed: int = 42, periods: float = 252) -> DataFrame:
+    """(actual, p_value): the Sharpe ratio of returns (step, ret; steps from 0), and the share of stationary resamples that reach it."""
+    paths = stationary_bootstrap(returns, simulations, mean_block, seed).select("sim", "ret")
+    both = paths.unionByName(returns.select(F.lit(-1).cast("long").alias("sim"), "ret"))
+    spread = F.stddev_samp("ret")
+    ratio = both.groupBy("sim").agg(F.when(spread > 0, F.avg("ret") / spread * periods**0.5).otherwise(0.0).alias("value"))
+    found = ratio.agg(F.max(F.when(F.col("sim") < 0, F.col("value"))).alias("actual"), F.collect_list(F.when(F.col("sim") >= 0, F.col("value"))).alias("drawn"))
+    return found.select("actual", F.try_divide(F.size(F.filter("drawn", lambda v: v >= F.col("actual"))), F.size("drawn")).alias("p_value"))
+
+
 def challenges(paths: DataFrame, initial: float = 5000.0, target: float = 0.08, daily_usd: float = 125.0, total: float = 0.10) -> DataFrame:
     """(sim, passed, breached) of paths of daily returns: a day's loss or the total fall breaches, the final equity passes."""
     state = F.struct(F.lit(initial).alias("equity"), F.lit(False).alias("breached"))

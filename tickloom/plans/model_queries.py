@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tickloom.functions import bar_features as C
-from tickloom.operators import isolation, jumps, markov, splits, trees, whitening
+from tickloom.operators import isolation, jumps, markov, regimes, splits, trees, whitening
 from tickloom.plans.base import BAR_KEYS, BARS, BW, r, rounded, six_hourly
 
 QUERIES, ORACLE = {}, {}
@@ -216,3 +216,28 @@ def routed_experts(spark, d):
     model = isolation.mixture(df, ("log_return", "spread_avg"), 3)
     x = F.col("log_return")
     return rounded(isolation.routed(df, model, ("log_return", "spread_avg"), [F.lit(0.0), 0.5 * x, -0.5 * x]), ("symbol", "timestamp_ns"), ["routed"], 4)
+
+
+_NAMES = f"""WITH {_RETURNS}, f AS ({_filter_sql()}), g AS (SELECT CASE WHEN p_0 >= p_1 AND p_0 >= p_2 THEN 0 WHEN p_1 >= p_2 THEN 1 ELSE 2 END AS state, log_return
+    FROM f JOIN l ON l.symbol = f.symbol AND CAST(epoch_us(l.bar_start) * 1000 AS BIGINT) = f.timestamp_ns),
+  s AS (SELECT state, coalesce(variance, 1e9) AS variance, coalesce(drift, 0) AS drift FROM (SELECT CAST(unnest(range(3)) AS INTEGER) AS state)
+    LEFT JOIN (SELECT state, var_pop(log_return) AS variance, abs(avg(log_return)) AS drift FROM g GROUP BY 1) USING (state)),
+  quiet AS (SELECT state FROM s ORDER BY variance, state LIMIT 1), trend AS (SELECT state FROM s WHERE state NOT IN (FROM quiet) ORDER BY drift DESC, variance DESC, state DESC LIMIT 1)
+  SELECT state, round(variance, 6) + 0.0 AS variance, round(drift, 6) + 0.0 AS drift, CASE WHEN state IN (FROM quiet) THEN 'COMPRESSION' WHEN state IN (FROM trend) THEN 'TREND' ELSE 'MEAN_REV' END AS name FROM s"""
+
+
+@query(_NAMES)
+def named_regimes(spark, d):
+    """What the states of the model with fixed moves are called, by the returns of the bars that it sees in them."""
+    df = returns(spark, d)
+    found = rounded(markov.filtered(df, FIXED, carry=("timestamp_ns", "log_return")), ("timestamp_ns", "log_return"), [f"p_{s}" for s in STATES])
+    named = regimes.state_names(found.withColumn("state", regimes.likeliest(3)), "state", "log_return")
+    return named.select("state", r("variance").alias("variance"), r("drift").alias("drift"), "name")
+
+
+@query()
+def rolling_regimes(spark, d):
+    """Three states of mixtures of returns, moved by the spread, fitted anew every 20 bars on the 60 before and judged on the next 20."""
+    start = regimes.level_start(("log_return",), 3, components=2, drivers=("spread_avg",))
+    found = regimes.walk_forward(returns(spark, d), start, ("log_return",), ("spread_avg",), 3, train=60, test=20, rounds=10, least=40, carry=("timestamp_ns",))
+    return rounded(found, ("symbol", "fold", "timestamp_ns", "state", "fitted"), [f"p_{s}" for s in STATES], 4)

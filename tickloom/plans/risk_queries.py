@@ -608,14 +608,26 @@ def cost_scenarios(spark, d):
     return montecarlo.cost_scenarios(spark, g, {"none": 0.0, "low": 1.0, "normal": 2.5, "stress": 10.0}).select("symbol", "scenario", r("net").alias("net"))
 
 
-@query(f"""WITH {RETURNS}, sm AS (SELECT unnest(range(20)) AS sim), st AS (SELECT sim, n, CAST(unnest(range(n)) AS BIGINT) AS step FROM sm, rn),
+def _stationary(simulations: int) -> str:
+    """Rows ``dr`` (sim, ret) of stationary resamples."""
+    return RETURNS + f""", sm AS (SELECT unnest(range({simulations})) AS sim), st AS (SELECT sim, n, CAST(unnest(range(n)) AS BIGINT) AS step FROM sm, rn),
   nw AS (SELECT *, step = 0 OR {_draw('sim', 'step', '42')} / 4294967296.0e0 < 1 / 20.0e0 AS fresh FROM st), fr AS (SELECT *, last_value(CASE WHEN fresh THEN step END IGNORE NULLS) OVER (PARTITION BY sim ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b FROM nw),
-  dr AS (SELECT sim, rs.ret FROM fr JOIN rs ON rs.step = ({_draw('sim', 'b', '43')} % n + fr.step - b) % n), v AS (SELECT sim, avg(ret) AS m FROM dr GROUP BY 1) SELECT sim, {_o(mean='m')} FROM v""")
+  dr AS (SELECT sim, rs.ret FROM fr JOIN rs ON rs.step = ({_draw('sim', 'b', '43')} % n + fr.step - b) % n)"""
+
+
+@query(f"WITH {_stationary(20)}, v AS (SELECT sim, avg(ret) AS m FROM dr GROUP BY 1) SELECT sim, {_o(mean='m')} FROM v")
 def stationary_bootstrap(spark, d):
     found = montecarlo.stationary_bootstrap(_series(spark, d), 20).groupBy("sim").agg(F.avg("ret").alias("mean"))
     return found.select("sim", r("mean").alias("mean"))
 
 
+@query(f"""WITH {_stationary(50)}, v AS (SELECT sim, avg(ret) / stddev_samp(ret) * sqrt(252) AS m FROM dr GROUP BY 1), a AS (SELECT avg(ret) / stddev_samp(ret) * sqrt(252) AS actual FROM rs)
+  SELECT round(any_value(actual), 6) + 0.0 AS actual, round(avg(CAST(m >= actual AS INTEGER)), 6) + 0.0 AS p_value FROM v, a""")
+def bootstrap_test(spark, d):
+    """The Sharpe ratio of all trades' returns against stationary resamples of them."""
+    return montecarlo.bootstrap_test(_series(spark, d), 50).select(r("actual").alias("actual"), r("p_value").alias("p_value"))
+
+
 @query(f"""WITH {TICKS}, q AS (SELECT [quantile_cont(mid, i / 100.0e0) FILTER (symbol = 'click') FOR i IN range(1)] AS z FROM ticks),
   g AS (SELECT unnest(range(101)) / 100.0e0 AS p), a AS (SELECT p, (SELECT quantile_cont(mid, [{', '.join(f'{i / 100}' for i in range(101))}]) FROM ticks WHERE symbol = 'click') AS x, (SELECT quantile_cont(mid, [{', '.join(f'{i / 100}' for i in range(101))}]) FROM ticks WHERE symbol = 'view') AS y FROM g WHERE p = 0)
   SELECT round(list_sum([abs(x[i] - y[i]) FOR i IN range(1, 102)]) / 101, 6) AS distance, CASE WHEN list_sum([abs(x[i] - y[i]) FOR i IN range(1, 102)]) / 101 > 0.1 THEN 0.25e0 ELSE 1.0e0 END AS scale FROM a""".replace("q AS (SELECT [quantile_cont(mid, i / 100.0e0) FILTER (symbol = 'click') FOR i IN range(1)] AS z FROM ticks),\n", ""))
