@@ -147,6 +147,7 @@ def _block_words(rows: DataFrame, split: Splitter, name: Namer, deal: Dealer) ->
             tagged, _ = _ordered(list(seen), name, deal)
             digest = _digest(tagged)
             out = [(b, number, digest, pack([w for _, w in ws])) for b, ws in itertools.groupby(tagged, lambda t: t[0])]
+            del seen, tagged
             columns = list(zip(*out, strict=True)) or [()] * 4
             types = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "block", "digest", "words"])
@@ -168,14 +169,16 @@ def _block_documents(rows: DataFrame, split: Splitter, name: Namer, deal: Dealer
             rank = np.empty(len(seen), np.uint32)
             rank[often] = np.arange(len(seen))
             tagged, place = _ordered(list(seen), name, deal)
+            digest, ranks, places = _digest(tagged), _squeeze(rank[every]), _squeeze(place[often])
+            del seen, at, every, often, rank, tagged, place  # nothing of them waits for the reader of the block
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()),
-                    pa.array([_digest(tagged)], pa.int64()),
+                    pa.array([digest], pa.int64()),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([sizes], pa.list_(pa.int64())),
-                    pa.array([_squeeze(rank[every])], pa.binary()),
-                    pa.array([_squeeze(place[often])], pa.binary()),
+                    pa.array([ranks], pa.binary()),
+                    pa.array([places], pa.binary()),
                 ],
                 ["block", "digest", "ids", "sizes", "ranks", "places"],
             )
