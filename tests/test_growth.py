@@ -1,5 +1,7 @@
 """Queries over ticks where symbols are long or values extreme: against their SQL, and against plain versions."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -23,3 +25,30 @@ def test_hmm_filter_beyond_its_densities(spark, data, tmp_path):
     assert found.keys() == wanted.keys() and sum(np.isnan(v[0]) for v in wanted.values()) == 99
     for k, v in wanted.items():
         np.testing.assert_array_equal(np.array(found[k], float), np.array(v))
+
+
+LONG = ["tib_window", "vol_ratio", "realised_variance", "triple_barrier", "risk_window", "log_returns"]
+
+
+@pytest.fixture(scope="module")
+def flat(spark, data, tmp_path_factory):
+    """Events with long runs of one value, over days, and some that share their time."""
+    folder = tmp_path_factory.mktemp("flat")
+    events = spark.read.parquet(f"{data}/events.parquet")
+    many = events.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumns({
+        "event_id": F.col("event_id") + 1000 * F.col("k"), "ts": F.col("ts") + F.make_dt_interval(days=9 * F.floor(F.col("k") / 2).cast("int")),
+        "value": F.when(F.col("event_id") % 400 < 150, 42.0).otherwise(F.col("value")), "event_type": F.when(F.col("event_id") < 700, "view").otherwise(F.col("event_type")),
+    }).drop("k")
+    many.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_no_task_holds_a_symbol(spark, flat, name):
+    found = catalogue.queries()[name](spark, flat)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"windowspecdefinition\((symbol|event_type)#\d+, (timestamp_ns|mid|y|__x|__y)#", plan)
+    rows, wanted = sorted(map(tuple, found.collect())), sorted(duck(flat, name))
+    assert len(rows) == len(wanted) > 0
+    for a, b in zip(rows, wanted, strict=True):
+        assert a == pytest.approx(b, abs=1.1e-6)

@@ -11,9 +11,9 @@ from tickloom.operators.clean import clip
 from tickloom.sources.ticks import by_symbol, last_rows, so_far
 
 
-def log_return(price: str = "mid", step: int = 1) -> Column:
-    """Null for the first rows, which have nothing before them."""
-    before = F.lag(price, step).over(by_symbol())
+def log_return(price: str = "mid", step: int = 1, before: Column | None = None) -> Column:
+    """Null for the first rows, which have nothing before them; ``before`` is the earlier price, where it is known."""
+    before = F.lag(price, step).over(by_symbol()) if before is None else before
     return F.when(before.isNotNull(), F.ln(F.col(price) / F.greatest(before, F.lit(1e-12))))
 
 
@@ -21,6 +21,11 @@ def last_returns(n: int = 5) -> dict[str, Column]:
     return {f"ret_{k}": F.coalesce(F.lag("log_return", k).over(by_symbol()), F.lit(0.0)) for k in range(n)}
 
 
+def lagged_returns(n: int = 5) -> dict:
+    """``last_returns`` as functions of a window, for chunks."""
+    return {f"ret_{k}": lambda w, k=k: F.coalesce(F.lag("log_return", k).over(w), F.lit(0.0)) for k in range(n)}
+
+
 def momentum(n: int) -> Column:
     base = F.lag("mid", n).over(by_symbol())
     return F.when(base >= 1e-12, clip((F.col("mid") - base) / base, -1, 1)).otherwise(0.0)

@@ -147,25 +147,29 @@ def grid_scores(df: DataFrame, choices: dict[str, list], score: Callable[[DataFr
 
 
 def chunked(df: DataFrame, frame: int, chunk_rows: int, ahead: int = 0) -> DataFrame:
-    """Adds ``__chunk`` and ``__halo``: chunks of a symbol's rows, each also with the ``frame`` - 1 rows before and the ``ahead`` rows after it, marked as halo.
+    """Adds ``row``, ``__chunk`` and ``__halo``: chunks of a symbol's rows, each also with the ``frame`` - 1 rows before and the ``ahead`` rows after it, marked as halo.
 
     A long symbol is thus many tasks' work; frames should be short beside a chunk. A chunk shorter than they are is an error.
+    Rows that bring their number as ``__row`` are not numbered again; each goes to its chunks at once, so ``df`` is computed once.
     """
     if max(frame - 1, ahead) > chunk_rows:
         raise ValueError(f"chunks of {chunk_rows} rows are shorter than frames of {max(frame - 1, ahead)} rows beside them")
-    rows = numbered_by_day(df).withColumn("__chunk", F.floor(F.col("row") / chunk_rows))
-    place = F.col("row") % chunk_rows
-    out = rows.withColumn("__halo", F.lit(False))
-    for held, step in ((place >= chunk_rows - frame + 1, 1), (place < ahead, -1)):
-        if (frame > 1) if step > 0 else ahead:
-            out = out.unionByName(rows.where(held & (F.col("__chunk") + step >= 0)).withColumns({"__chunk": F.col("__chunk") + step, "__halo": F.lit(True)}))
-    return out
-
-
-def windowed(df: DataFrame, features: dict, frame: int, chunk_rows: int) -> DataFrame:
-    """Features over frames of at most ``frame`` rows, chunk by chunk; ``features`` maps names to functions of a window."""
+    rows = df.withColumn("row", F.col("__row")).drop("__row") if "__row" in df.columns else numbered_by_day(df)
+    chunk, place = F.floor(F.col("row") / chunk_rows), F.col("row") % chunk_rows
+    to = lambda step, halo: F.struct((chunk + step).alias("__chunk"), F.lit(halo).alias("__halo"))
+    homes = [to(0, False)]
+    if frame > 1:
+        homes.append(F.when(place >= chunk_rows - frame + 1, to(1, True)))
+    if ahead:
+        homes.append(F.when((place < ahead) & (chunk > 0), to(-1, True)))
+    dealt = rows.withColumn("__home", F.explode(F.array_compact(F.array(*homes))))
+    return dealt.select(*rows.columns, "__home.__chunk", "__home.__halo")
+
+
+def windowed(df: DataFrame, features: dict, frame: int, chunk_rows: int, ahead: int = 0) -> DataFrame:
+    """Features over frames of at most ``frame`` rows and ``ahead`` rows after, chunk by chunk; ``features`` maps names to functions of a window."""
     w = Window.partitionBy("symbol", "__chunk").orderBy("row")
-    return chunked(df, frame, chunk_rows).withColumns({n: f(w) for n, f in features.items()}).where("not __halo").drop("__chunk", "__halo")
+    return chunked(df, frame, chunk_rows, ahead).withColumns({n: f(w) for n, f in features.items()}).where("not __halo").drop("__chunk", "__halo")
 
 
 def in_chunks(df: DataFrame, compute: Callable[[pd.DataFrame], pd.DataFrame | dict], outputs: str, frame: int, chunk_rows: int = 20_000, ahead: int = 0) -> DataFrame:

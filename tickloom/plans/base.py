@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions import tick_features as T
 from tickloom.operators import bars as B
 from tickloom.sources import ticks as S
 
@@ -30,6 +31,11 @@ def path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.events_as_path(spark, sf_dir)
 
 
+def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path with the log return of each row and its number in the symbol (``__row``)."""
+    return S.events_as_walk(spark, sf_dir).withColumn("log_return", T.log_return("price", before=F.col("before"))).drop("before")
+
+
 def six_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bars of all bar queries and of ``BARS``: six hours wide."""
     return B.ohlcv(S.events_as_ticks(spark, sf_dir), "6 hours")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import scalar as X
 from tickloom.operators import clean, joins, labels, metrics, montecarlo, recurrences, risk, simulate, splits
 from tickloom.operators.bars import by_bar
-from tickloom.plans.base import BAR_KEYS, BW, KEYS, PATH, TICKS, W, last, path, r, rounded, ticks
+from tickloom.plans.base import BAR_KEYS, BW, KEYS, PATH, TICKS, W, last, path, r, returns, rounded, ticks
 
 QUERIES, ORACLE = {}, {}
 
@@ -239,17 +239,15 @@ VAR = PATH + f", lr AS (SELECT *, CASE WHEN lag(price) OVER ({W}) IS NOT NULL TH
 
 
 def _with_variance(spark, d):
-    from tickloom.functions import tick_features as T
-    from tickloom.sources.ticks import last_rows
-
-    df = path(spark, d).withColumn("log_return", T.log_return("price"))
-    return df.withColumn("v", F.coalesce(F.var_pop("log_return").over(last_rows(50)), F.lit(0.0)) + 1e-10)
+    """The path with its log returns and their variance over the last 50 rows, chunk by chunk."""
+    variance = lambda w: F.coalesce(F.var_pop("log_return").over(w.rowsBetween(-49, 0)), F.lit(0.0)) + 1e-10
+    return splits.windowed(returns(spark, d), {"v": variance}, 50, 20_000).withColumnRenamed("row", "__row")
 
 
 @query(f"""WITH {VAR}, h AS (SELECT a.symbol, a.k, min(b.k) AS j FROM vr a JOIN vr b ON a.symbol = b.symbol AND b.k > a.k AND b.k < a.k + 60 AND (b.price >= a.price * (1 + 2 * sqrt(a.v)) OR b.price <= a.price * (1 - 2 * sqrt(a.v))) GROUP BY 1, 2)
   SELECT a.symbol, a.seq, CAST(CASE WHEN b.price >= a.price * (1 + 2 * sqrt(a.v)) THEN 1 WHEN b.price IS NOT NULL THEN -1 ELSE 0 END AS INTEGER) AS label FROM vr a LEFT JOIN h ON a.symbol = h.symbol AND a.k = h.k LEFT JOIN vr b ON b.symbol = h.symbol AND b.k = h.j""")
 def triple_barrier(spark, d):
-    return labels.triple_barrier(_with_variance(spark, d), "price", "v", horizon=60).select(*KEYS, "label")
+    return labels.triple_barrier(_with_variance(spark, d).select(*KEYS, "price", "v", "__row"), "price", "v", horizon=60).select(*KEYS, "label")
 
 
 @query(f"""WITH {VAR}, rv AS (SELECT *, coalesce(var_samp(log_return) OVER {last(20)}, 0) AS rv, mid - lag(mid) OVER ({W}) AS velocity FROM vr)
@@ -268,7 +266,7 @@ _PATHS = f"""WITH {VAR}, p AS (SELECT symbol, seq, list(log_return) OVER ({W} RO
 
 @query(_PATHS)
 def risk_window(spark, d):
-    return labels.risk_window(_with_variance(spark, d), "log_return", limit=700.0).select(*KEYS, "risky")
+    return labels.risk_window(returns(spark, d).select(*KEYS, "log_return", "__row"), "log_return", limit=700.0).select(*KEYS, "risky")
 
 
 _TOXIC = f"""WITH {PATH}, n AS (SELECT *, row_number() OVER ({W}) - 1 AS row FROM path),
