@@ -27,7 +27,7 @@ def test_hmm_filter_beyond_its_densities(spark, data, tmp_path):
         np.testing.assert_array_equal(np.array(found[k], float), np.array(v))
 
 
-LONG = ["tib_window", "vol_ratio", "realised_variance", "triple_barrier", "risk_window", "log_returns"]
+LONG = ["tib_window", "vol_ratio", "realised_variance", "triple_barrier", "risk_window", "rank_ic", "log_returns"]
 
 
 @pytest.fixture(scope="module")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import normal_cdf
+from tickloom.operators.staging import kept
 
 INF = float("inf")
 
@@ -111,17 +112,34 @@ def moments(x: Column) -> dict[str, Column]:
     return {"skew": F.skewness(x), "excess_kurtosis": F.kurtosis(x)}
 
 
-def ranks(df: DataFrame, by: str, x: str) -> Column:
-    """Average ranks of a column: equal values share the mean of their places."""
-    w = Window.partitionBy(by)
-    return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(by, x)) - 1) / 2.0
+def ranks(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """(by, x, rank) of the values of a column: equal values share the mean of their places.
+
+    Counts of values are sorted over all tasks; a value's rank is what its task's part and the parts before hold. So neither a
+    group nor a value is one task's work.
+    """
+    counts = kept(df.groupBy(*by, x).agg(F.count("*").alias("__c")).orderBy(*by, x)).withColumn("__part", F.spark_partition_id())
+    parts = counts.groupBy(*by, "__part").agg(F.sum("__c").alias("__sum"))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.withColumn("__before", F.coalesce(F.sum("__sum").over(earlier), F.lit(0))).drop("__sum")
+    so_far = F.sum("__c").over(Window.partitionBy(*by, "__part").orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    return _matched(counts, before, [*by, "__part"]).select(*by, x, (F.col("__before") + so_far - (F.col("__c") - 1) / 2.0).alias("rank"))
+
+
+def _matched(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """A join in which nulls are equal."""
+    named = other.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    return df.join(named, [df[c].eqNullSafe(named[f"__r_{c}"]) for c in on]).drop(*(f"__r_{c}" for c in on))
 
 
-def rank_correlation(df: DataFrame, by: str, x: str, y: str, least: int = 100) -> DataFrame:
+def rank_correlation(df: DataFrame, by: str | list[str], x: str, y: str, least: int = 100) -> DataFrame:
     """(by, n, ic, p): correlation of ranks and its two-sided normal p-value; 0 and 1 up to ``least`` rows."""
-    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    ranked = known.withColumns({"__x": ranks(known, by, x), "__y": ranks(known, by, y)})
-    found = ranked.groupBy(by).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("ic"))
+    keys = [by] if isinstance(by, str) else by
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    ranked = known
+    for c in ("__x", "__y"):
+        ranked = _matched(ranked, ranks(known, keys, c).withColumnRenamed("rank", f"{c}_rank"), [*keys, c])
+    found = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("__x_rank", "__y_rank").alias("ic"))
     z = F.abs("ic") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("ic") * F.col("ic"), F.lit(1e-12)))
     enough = F.col("n") > least
     return found.withColumn("p", F.when(enough, 2 * (1 - normal_cdf(z))).otherwise(1.0)).withColumn("ic", F.when(enough, F.col("ic")).otherwise(0.0))

@@ -9,6 +9,7 @@ from tickloom.functions import scalar as X
 from tickloom.operators import clean, joins, labels, metrics, montecarlo, recurrences, risk, simulate, splits
 from tickloom.operators.bars import by_bar
 from tickloom.plans.base import BAR_KEYS, BW, KEYS, PATH, TICKS, W, last, path, r, returns, rounded, ticks
+from tickloom.sources import ticks as S
 
 QUERIES, ORACLE = {}, {}
 
@@ -158,14 +159,12 @@ def _cdf(z: str) -> str:
   SELECT symbol, CAST(k AS INTEGER) AS k, n, round(CASE WHEN n > 100 THEN ic ELSE 0 END, 6) + 0.0 AS ic, round(CASE WHEN n > 100 THEN 2 * (1 - {_cdf('z')}) ELSE 1 END, 5) + 0.0 AS p FROM z""")
 def rank_ic(spark, d):
     """Rank correlation of the mid price with the log return of the next 1, 3 and 5 rows."""
-    out = None
-    for k in (1, 3, 5):
-        ahead = F.lead("price", k).over(Window.partitionBy("symbol").orderBy("timestamp_ns", "seq"))
-        df = path(spark, d).withColumns({"y": F.round(F.ln(ahead / F.col("price")), 9), "mid": F.round("mid", 6)})  # equal prices tie, whatever their last digit
-        found = metrics.rank_correlation(df, "symbol", "mid", "y")
-        found = found.select("symbol", F.lit(k).alias("k"), "n", r("ic").alias("ic"), r("p", 5).alias("p"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    walk = S.events_as_walk(spark, d).select(*KEYS, "mid", "price", "__row")
+    ahead = splits.windowed(walk, {f"ahead_{k}": lambda w, k=k: F.lead("price", k).over(w) for k in (1, 3, 5)}, 1, 20_000, 5)
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.round(F.ln(F.col(f"ahead_{k}") / F.col("price")), 9).alias("y")) for k in (1, 3, 5))))
+    rows = ahead.select("symbol", F.round("mid", 6).alias("mid"), pairs.alias("pair")).select("symbol", "mid", "pair.*")  # equal prices tie, whatever their last digit
+    found = metrics.rank_correlation(rows, ["symbol", "k"], "mid", "y")
+    return found.select("symbol", "k", "n", r("ic").alias("ic"), r("p", 5).alias("p"))
 
 
 FOLD = TR + """, fo AS (SELECT *, i // 20 AS fold, 5000 + sum(pnl) OVER (PARTITION BY symbol, i // 20 ORDER BY entry ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM tr),
