@@ -52,3 +52,8 @@ def test_no_task_holds_a_symbol(spark, flat, name):
     assert len(rows) == len(wanted) > 0
     for a, b in zip(rows, wanted, strict=True):
         assert a == pytest.approx(b, abs=1.1e-6)
+
+
+def test_feature_vector_runs_its_recurrences_once(spark, flat):
+    plan = catalogue.queries()["feature_vector"](spark, flat)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1

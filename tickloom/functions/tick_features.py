@@ -146,6 +146,29 @@ def chunk_spread_features(f: pd.DataFrame, window: int = 512) -> dict[str, np.nd
     }
 
 
+def _before(x: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate([np.full(min(n, len(x)), np.nan), x[: max(0, len(x) - n)]])
+
+
+def chunk_moves(f: pd.DataFrame, returns: int = 5, momenta: tuple[int, ...] = (5, 20)) -> dict[str, np.ndarray]:
+    """``log_return``, ``last_returns`` and ``momentum`` of the mid price; a price that is not positive has no logarithm."""
+    x = f["mid"].to_numpy(float)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        logs = np.log(np.where(x > 0, x, np.nan) / np.maximum(_before(x, 1), 1e-12))
+        out = {"log_return": logs, **{f"ret_{k}": np.nan_to_num(_before(logs, k)) for k in range(returns)}}
+        for n in momenta:
+            base = _before(x, n)
+            out[f"momentum_{n}"] = np.where(base >= 1e-12, np.clip((x - base) / base, -1, 1), 0.0)
+    return out
+
+
+def chunk_gaps(f: pd.DataFrame) -> np.ndarray:
+    """``delta_t``: seconds since the last tick, from a microsecond to a minute; a first row takes the second one's."""
+    at = f["timestamp_ns"].to_numpy()
+    gaps = np.diff(at) / 1e9
+    return np.clip(np.concatenate([gaps[:1] if len(gaps) else [1e-6], gaps]), 1e-6, 60.0)
+
+
 def chunk_wavelet_energy(f: pd.DataFrame, scales: int = 32) -> np.ndarray:
     """Shares of energy by row and scale, of the last ``delta_t`` values; before a symbol's first value that stands for all."""
     kernels = wavelet_kernels(scales)
